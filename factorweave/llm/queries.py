@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factorweave.llm import decontamination, sharding, simhash, substring_dedup
+from factorweave.llm import decontamination, media, records, sharding, simhash, substring_dedup
 
-_MODULES = (substring_dedup, decontamination, simhash, sharding)
+_MODULES = (substring_dedup, media, decontamination, simhash, records, sharding)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
