@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id long, text string): other columns, whatever their names, don't matter."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+_LOCAL = (1 << 33) - 1  # monotonically_increasing_id() counts the rows of a partition in these bits
+
+
+def ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df sorted over all partitions and stored, with `part` and the row's place `at` in it."""
+    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
+    return saved(out.select("*", F.shiftright("place", 33).cast("int").alias("part"), F.col("place").bitwiseAND(F.lit(_LOCAL)).alias("at")).drop("place"), name)
+
+
+def sums_before(df: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """One row for each partition: what all partitions before it sum up to; as many rows as partitions."""
+    parts = df.groupBy("part").agg(*[F.expr(e).alias(c) for c, e in sums.items()])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factorweave.llm import decontamination, media, pii, records, sharding, simhash, substring_dedup
+from factorweave.llm import decontamination, media, packing, pii, preferences, records, sharding, simhash, substring_dedup, toxicity
 
-_MODULES = (substring_dedup, media, pii, decontamination, simhash, records, sharding)
+_MODULES = (substring_dedup, media, toxicity, pii, decontamination, preferences, packing, simhash, records, sharding)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}

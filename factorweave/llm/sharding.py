@@ -10,29 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorweave.llm.common import saved
-
-_LOCAL = (1 << 33) - 1  # monotonically_increasing_id() counts the rows of a partition in these bits
-
-
-def _ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """df sorted over all partitions and stored, with `part` and the row's place `at` in it."""
-    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
-    return saved(out.select("*", F.shiftright("place", 33).cast("int").alias("part"), F.col("place").bitwiseAND(F.lit(_LOCAL)).alias("at")).drop("place"), name)
-
-
-def _before(df: DataFrame, sums: dict[str, str]) -> DataFrame:
-    """One row for each partition: what all partitions before it sum up to; as many rows as partitions."""
-    parts = df.groupBy("part").agg(*[F.expr(e).alias(c) for c, e in sums.items()])
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums])
-
+from factorweave.llm.common import ordered, saved, sums_before
 
 def group_sums(rows: DataFrame) -> DataFrame:
     """Groups (first, key, bytes, members) with the bytes and rows of all groups before them."""
     groups = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("members"))
-    groups = _ordered(groups, ["first", "key"], "groups")
-    before = _before(groups, {"bytes": "sum(bytes)", "members": "sum(members)"})
+    groups = ordered(groups, ["first", "key"], "groups")
+    before = sums_before(groups, {"bytes": "sum(bytes)", "members": "sum(members)"})
     own = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return saved(
         groups.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"{c}_own") for c in ("bytes", "members")])
@@ -88,8 +72,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     start = F.array(*[F.lit(x).cast("long") for x in starts])
     number = F.size(F.filter(start, lambda x: x <= F.col("bytes_before"))) - 1
     placed = rows.join(sums.select("key", "first", number.alias("shard")), "key")
-    placed = _ordered(placed, ["first", "key", "doc_id", "size"], "placed-rows")
-    before = _before(placed, {"n": "count(*)"})
+    placed = ordered(placed, ["first", "key", "doc_id", "size"], "placed-rows")
+    before = sums_before(placed, {"n": "count(*)"})
     first = sums.groupBy(number.alias("shard")).agg(F.min("members_before").alias("shard_first"))  # a row for each shard
     return (
         placed.join(F.broadcast(before), "part")
