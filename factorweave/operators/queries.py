@@ -31,7 +31,7 @@ _TS = {
     "ts_norm_min": f"min(x) {_WIN} / nullif({_RMS}, 0)",
     "ts_norm_min_max": f"(max(x) {_WIN} - min(x) {_WIN}) / nullif({_RMS}, 0)",
     "ts_mean_over_1norm": f"avg(x) {_WIN} / nullif(avg(abs(x)) {_WIN}, 0)",
-    "ts_norm": f"greatest(least((x - avg(x) {_WIN}) / nullif(stddev_samp(x) {_WIN}, 0), 3.0), -3.0)",
+    "ts_norm": f"CASE WHEN stddev_samp(x) {_WIN} <> 0 THEN greatest(least((x - avg(x) {_WIN}) / nullif(stddev_samp(x) {_WIN}, 0), 3.0), -3.0) END",
 }
 _SQUARES = "list_sum([(v - m) * (v - m) for v in l])"
 _FLAGS = lambda sign: f"'0' || array_to_string([CASE WHEN v {sign} m THEN '1' ELSE '0' END for v in l], '')"
@@ -75,7 +75,7 @@ def _sql(name: str) -> str:
         rank = f"rank() OVER (PARTITION BY TradingDay ORDER BY {_X} NULLS LAST)"
         return _result(PANEL_SQL, f"CASE WHEN {_X} IS NOT NULL THEN ({rank} + ({ties} - 1) / 2.0) / count({_X}) {_DAY_KEYS} END")
     if name == "cs_norm":
-        return _result(PANEL_SQL, f"CASE WHEN {_X} IS NOT NULL THEN greatest(least(({_X} - avg({_X}) {_DAY_KEYS}) / nullif(stddev_pop({_X}) {_DAY_KEYS}, 0), 3.0), -3.0) END")
+        return _result(PANEL_SQL, f"CASE WHEN {_X} IS NOT NULL AND stddev_pop({_X}) {_DAY_KEYS} <> 0 THEN greatest(least(({_X} - avg({_X}) {_DAY_KEYS}) / nullif(stddev_pop({_X}) {_DAY_KEYS}, 0), 3.0), -3.0) END")
     if name == "ind_neu":
         keys = "OVER (PARTITION BY TradingDay, SWF)"
         return _result(PANEL_SQL, f"CASE WHEN SWF IS NOT NULL THEN ({_X} - avg({_X}) {keys}) / nullif(stddev_samp({_X}) {keys}, 0) END")
@@ -113,4 +113,4 @@ _C10 = "OVER (PARTITION BY SecuCode ORDER BY TradingDay ROWS BETWEEN 9 PRECEDING
 ORACLE_SQL["expr_norm_of_neutral"] = f"""WITH {PANEL_SQL},
 s AS (SELECT *, raw_close_low - raw_close_high AS d FROM panel),
 t AS (SELECT *, CASE WHEN SWF IS NOT NULL THEN (d - avg(d) OVER (PARTITION BY TradingDay, SWF)) / nullif(stddev_samp(d) OVER (PARTITION BY TradingDay, SWF), 0) END AS z FROM s)
-SELECT SecuCode, TradingDay, CASE WHEN count(z) {_C10} = 10 THEN round(greatest(least((z - avg(z) {_C10}) / nullif(stddev_samp(z) {_C10}, 0), 3.0), -3.0), 6) + 0.0 END AS value FROM t"""
+SELECT SecuCode, TradingDay, CASE WHEN count(z) {_C10} = 10 AND stddev_samp(z) {_C10} <> 0 THEN round(greatest(least((z - avg(z) {_C10}) / nullif(stddev_samp(z) {_C10}, 0), 3.0), -3.0), 6) + 0.0 END AS value FROM t"""

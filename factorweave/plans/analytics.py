@@ -195,7 +195,7 @@ def _factor_sql(source: str = "panel") -> str:
 based AS (SELECT SecuCode, TradingDay, CASE WHEN count(raw_close_close) {w} = 20 THEN avg(raw_close_close) {w} END AS f, lead(excess_return, 2) {_SECU_W} AS ret FROM {source})"""
 
 
-_CLIP = lambda z: f"greatest(least({z}, 3.0), -3.0)"
+_CLIP = lambda z: f"CASE WHEN ({z}) IS NOT NULL THEN greatest(least({z}, 3.0), -3.0) END"
 _RANK = lambda c, keys: f"(rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY {keys})"
 _Z = lambda c, keys: f"({c} - avg({c}) OVER (PARTITION BY {keys})) / nullif(stddev_pop({c}) OVER (PARTITION BY {keys}), 0)"
 _ROWS = f""",
