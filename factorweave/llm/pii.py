@@ -28,8 +28,10 @@ _ANY = "|".join(PATTERNS.values())
 _ISO, _SLASHED = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}$"
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HEX = "0123456789abcdef"
-#: Days are counted in the 400 years from here: 146,097 = 189 * 773.
+#: Days are counted in the 400 years from here: 146,097 = 189 * 773, and 88,497 = 9 * 9,833 from the 13th of a month on.
 _ORIGIN = "date'1700-01-01'"
+#: The number of days from the 13th on, in all months before month m from the origin.
+_LATE_DAYS = f"(datediff(add_months({_ORIGIN}, m), {_ORIGIN}) - 12 * m)"
 
 
 def _quoted(s: str) -> str:
@@ -112,25 +114,28 @@ def _stages(key: str, sign: int) -> list[str]:
         when length(s.d) between 13 and 19 and s.d rlike '[1-9]' then if({_luhn("s.d", 0)} % 10 = 0, 'card', null)
         end"""
     body = """case s.kind when 'card' then substr(s.d, 1, length(s.d) - 1) when 'phone' then substr(s.d, 3) when 'nanp' then right(s.d, 10) when 'ssn' then s.d else '' end"""
-    day = f"datediff(case s.kind when 'iso' then {_ymd(0, 1, 2)} when 'dmy' then {_ymd(2, 1, 0)} when 'mdy' then {_ymd(2, 0, 1)} end, {_ORIGIN})"
+    day = f"datediff(case s.kind when 'iso' then {_ymd(0, 1, 2)} when 'dmy' then {_ymd(2, 1, 0)} when 'mdy' then {_ymd(2, 0, 1)} end, {_ORIGIN}) - if(s.kind = 'mdy', 12 * ((cast(s.cut[2] as int) - 1700) * 12 + cast(s.cut[0] as int)), 0)"
     word = "case s.kind when 'email' then regexp_replace(s.m, '[.][A-Za-z]+$', '') when 'iban' then substr(s.m, 5) when 'secret' then s.m else '' end"
     part = lambda x, i, n: f"cast(substr({x}, {i}, {n}) as bigint)"
     half = "length(s.body) div 2"
     by_kind = lambda digits, nanp, ssn, ip, date: f"case when s.kind in ('card', 'phone') then {digits} when s.kind = 'nanp' then {nanp} when s.kind = 'ssn' then {ssn} when s.kind = 'ip' then {ip} when s.day is not null then {date} end"
     area = part("s.body", 1, 3)
-    le = by_kind(f"cast(substr(s.body, 1, cast({half} as int)) as bigint)", f"{area} - 200", f"{area} - 1 - if({area} > 666, 1, 0)", "cast(s.cut[0] as bigint) * 256 + cast(s.cut[1] as bigint)", "cast(s.day div 773 as bigint)")
-    ri = by_kind(f"cast(substr(s.body, cast({half} as int) + 1) as bigint)", f"{part('s.body', 4, 7)} - 2000000", f"({part('s.body', 4, 2)} - 1) * 9999 + {part('s.body', 6, 4)} - 1", "cast(s.cut[2] as bigint) * 256 + cast(s.cut[3] as bigint)", "cast(s.day % 773 as bigint)")
+    le = by_kind(f"cast(substr(s.body, 1, cast({half} as int)) as bigint)", f"{area} - 200", f"{area} - 1 - if({area} > 666, 1, 0)", "cast(s.cut[0] as bigint) * 256 + cast(s.cut[1] as bigint)", "cast(s.day div if(s.kind = 'mdy', 9833, 773) as bigint)")
+    ri = by_kind(f"cast(substr(s.body, cast({half} as int) + 1) as bigint)", f"{part('s.body', 4, 7)} - 2000000", f"({part('s.body', 4, 2)} - 1) * 9999 + {part('s.body', 6, 4)} - 1", "cast(s.cut[2] as bigint) * 256 + cast(s.cut[3] as bigint)", "cast(s.day % if(s.kind = 'mdy', 9833, 773) as bigint)")
     power = lambda n: f"cast(rpad('1', cast({n} as int) + 1, '0') as bigint)"
-    a = by_kind(power(half), "800L", "898L", "65536L", "189L")
-    b = by_kind(power(f"length(s.body) - {half}"), "8000000L", "989901L", "65536L", "773L")
-    tweak = "case when s.day is not null then 'date' when s.kind in ('card', 'phone') then concat(s.kind, length(s.body)) else s.kind end"
+    a = by_kind(power(half), "800L", "898L", "65536L", "if(s.kind = 'mdy', 9L, 189L)")
+    b = by_kind(power(f"length(s.body) - {half}"), "8000000L", "989901L", "65536L", "if(s.kind = 'mdy', 9833L, 773L)")
+    tweak = "case when s.kind in ('iso', 'dmy') then 'date' when s.kind in ('card', 'phone') then concat(s.kind, length(s.body)) else s.kind end"
     left = f"cast({half} as int)"
     digits = f"""case s.kind
         when 'nanp' then concat(left(s.d, length(s.d) - 10), s.p.l + 200, s.p.r + 2000000)
         when 'ssn' then concat(lpad(s.p.l + 1 + if(s.p.l >= 665, 1, 0), 3, '0'), lpad(s.p.r div 9999 + 1, 2, '0'), lpad(s.p.r % 9999 + 1, 4, '0'))
         when 'phone' then concat(left(s.d, 2), lpad(s.p.l, {left}, '0'), lpad(s.p.r, length(s.body) - {left}, '0'))
         when 'card' then concat(lpad(s.p.l, {left}, '0'), lpad(s.p.r, length(s.body) - {left}, '0')) end"""
-    date = f"date_add({_ORIGIN}, cast(s.p.l * 773 + s.p.r as int))"
+    late = "cast(s.p.l * 9833 + s.p.r as int)"
+    months = f"filter(sequence(greatest({late} * 4800 div 88497 - 3, 0), {late} * 4800 div 88497 + 3), m -> {late} >= {_LATE_DAYS} and {late} < {_LATE_DAYS.replace('m)', 'm + 1)').replace('* m', '* (m + 1)')})"
+    late_date = _let("m", f"cast({months}[0] as int)", f"date_add(add_months({_ORIGIN}, m), 12 + {late} - {_LATE_DAYS})")
+    date = f"if(s.kind = 'mdy', {late_date}, date_add({_ORIGIN}, cast(s.p.l * 773 + s.p.r as int)))"
     checked = f"if(s.kind = 'card', concat(s.new, (10 - {_luhn('s.new', 1)} % 10) % 10), s.new)"
     mark = "regexp_extract(s.m, '[/.]', 0)"
     slashed = lambda x, y: f"if(length(s.m) = 10, date_format(s.date, concat('{x}', {mark}, '{y}', {mark}, 'yyyy')), concat_ws({mark}, cast(date_format(s.date, '{x}') as int), cast(date_format(s.date, '{y}') as int), date_format(s.date, 'yyyy')))"
@@ -163,7 +168,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", restore: boo
 
     Kinds: email, iban, secret (32 to 64 hex digits), phone, card, date, ssn, ip.  What fails
     its validation stays as it is.  Slashed dates are read day first where that is a date,
-    else month first; dates outside 1700 to 2099 stay.  restore=True undoes it with the same
+    and are then linked with the same day in other formats; those that can only be read month
+    first are permuted among themselves.  Dates outside 1700 to 2099 stay.  restore=True undoes it with the same
     key.  Null text: null, with no kinds.  Empty text: empty.  All other columns stay; one
     of the name pii_kinds is replaced.  Rows are neither dropped nor merged.
     """
