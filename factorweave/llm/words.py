@@ -95,7 +95,7 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, step: int = 1 << 21) -> np.ndarray:
+    def hashes(self, step: int = 1 << 19) -> np.ndarray:
         """64-bit hash of every word, in pieces that keep the memory bounded."""
         out = np.empty(len(self.starts), np.uint64)
         a = 0
@@ -122,7 +122,7 @@ def window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def pieces(batch, text: str, most: int = 1 << 22):
+def pieces(batch, text: str, most: int = 1 << 20):
     """Cuts a record batch into runs of rows of at most `most` text bytes (one row at least)."""
     if not batch.num_rows:
         return
