@@ -64,3 +64,9 @@ def test_query_digests(spark, sf):
         raw = texts[r.doc_id].encode()
         padded = raw + b"\0" * (r.payload_bytes - len(raw))
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+def test_tiles_are_written(spark, docs, tmp_path):
+    media.write_tiles(media.media_features(media.store_texts(docs([(1, "abc"), (2, None)]))), str(tmp_path / "tiles"))
+    tiles = {r.doc_id: np.load(io.BytesIO(r.tile)) for r in spark.read.parquet(str(tmp_path / "tiles")).collect()}
+    assert tiles[1].shape == (1, 32) and not tiles[2].any()
