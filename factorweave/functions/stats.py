@@ -16,9 +16,10 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """a / b; null where b is 0 or either is missing."""
-    return F.when(b != 0, a.cast("double") / b)
+def ratio(a: Column, b: Column, inf: bool = False) -> Column:
+    """a / b; null where either is missing or b is 0, with inf signed infinity for a value over 0."""
+    out = F.when(b != 0, a.cast("double") / b)
+    return out.when((b == 0) & (a != 0), F.signum(a.cast("double")) * float("inf")) if inf else out
 
 
 def clip(x: Column, low: float, high: float) -> Column:

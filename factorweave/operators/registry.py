@@ -187,11 +187,11 @@ register_operator("cs_norm", "cs", lambda x: ({}, lambda: clip(zscore(x, over_da
 register_operator("ind_neu", "cs", lambda x: ({}, lambda: F.when(F.col(INDUSTRY).isNotNull(), zscore(x, over_day(INDUSTRY), sample=True))), 0.5, "same", keys=(DAY, INDUSTRY))
 
 
-def _corr(n: int) -> Callable[..., Built]:
-    """Minus the correlation over the last n rows of a security."""
+def correlation(n: int, within_day: bool = False) -> Callable[..., Built]:
+    """Minus the correlation over the last n rows of a security, or of a day in order of security."""
 
     def build(a: Column, b: Column) -> Built:
-        w = history(n)
+        w = Window.partitionBy(DAY).orderBy(SECU).rowsBetween(-(n - 1), 0) if within_day else history(n)
         both = F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).over(w) == n
         flat = (F.max(a).over(w) == F.min(a).over(w)) | (F.max(b).over(w) == F.min(b).over(w))
         return {}, lambda: F.when(both & ~flat, -ratio(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)))
@@ -205,4 +205,4 @@ _pair("comb_sub", lambda a, b: a - b, 10, "sum")
 _pair("comb_mul", lambda a, b: a * b, 10, "ticker_float")
 _pair("comb_div", ratio, 10, "ticker_float")
 for _n in (10, 20, 40):
-    register_operator(f"ts_corr_{_n}D", "pair", _corr(_n), 0.33, "uniform", keys=(SECU,))
+    register_operator(f"ts_corr_{_n}D", "pair", correlation(_n), 0.33, "uniform", keys=(SECU,))

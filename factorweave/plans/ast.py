@@ -89,6 +89,11 @@ def apply(op: str, *children: Node, n: int | None = None) -> Node:
     return Node(op, "", tuple(children), spec.rewrite(n) if n is not None else None)
 
 
+def combine(op: str, a: Node, b: Node, comparable: bool = True) -> Node:
+    """a pair operator over a and b, or over their ranks by day if they aren't comparable."""
+    return apply(op, a, b) if comparable else apply(op, apply("cs_rank", a), apply("cs_rank", b))
+
+
 def parse(text: str) -> Node:
     """Reads op(a,b,...,n); spaces are allowed.  parse(str(tree)) gives an equal tree."""
     tokens, at = [], 0

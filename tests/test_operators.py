@@ -76,3 +76,30 @@ def test_unknown_column(spark):
 
 def test_empty_panel(spark):
     assert evaluate(panel(spark, []), ["ts_mean(close,3)"]).collect() == []
+
+
+def test_infinity_on_request(spark):
+    from pyspark.sql import functions as F
+
+    from factorweave.functions.stats import ratio
+
+    df = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (1.0, 2.0), (None, 0.0)], "a double, b double")
+    assert [r[0] for r in df.select(ratio(F.col("a"), F.col("b"), inf=True)).collect()] == [math.inf, -math.inf, None, 0.5, None]
+
+
+def test_ranks_of_what_is_not_comparable():
+    from factorweave.plans import ast
+
+    assert str(ast.combine("comb_add", ast.column("close"), ast.column("vwap"), comparable=False)) == "comb_add(cs_rank(close),cs_rank(vwap))"
+
+
+def test_correlation_within_a_day(spark):
+    from factorweave.operators.registry import OPERATORS, correlation, register_operator
+
+    register_operator("day_corr_3", "pair", correlation(3, within_day=True), keys=("TradingDay",))
+    try:
+        df = spark.createDataFrame([(s, date(2020, 1, 1), "i", x, y) for s, x, y in zip("abcd", [1.0, 2.0, 3.0, 1.0], [2.0, 4.0, 6.0, 8.0])], "SecuCode string, TradingDay date, SWF string, close double, open double")
+        got = {r["SecuCode"]: r["v"] for r in evaluate(df, {"v": "day_corr_3(close,open)"}).collect()}
+        assert got["a"] is None and got["b"] is None and got["c"] == pytest.approx(-1.0) and got["d"] == pytest.approx(0.5)
+    finally:
+        del OPERATORS["day_corr_3"]
