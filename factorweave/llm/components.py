@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from factorweave.llm.common import saved
 
 
+def _least(edges: DataFrame, own: bool) -> DataFrame:
+    """(a, m): the least node among the neighbours b of a, and a itself if `own`.
+
+    It is stored, so that a join with it deals both sides by a shuffle of their own: then
+    adaptive execution can split the rows of a hub.
+    """
+    least = F.least(F.min("b"), F.first("a")) if own else F.min("b")
+    return saved(edges.groupBy("a").agg(least.alias("m")), "least")
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round over edges (a, b) with a > b."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    large = large.unionByName(_least_of_down(edges, least)).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a")
+    least = _least(both, own=True)
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = saved(large.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "large-star")
+    small = large.join(_least(large, own=False), "a")
     return small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _least_of_down(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Each node keeps an edge to the least node around it."""
-    return least.where("m < a").select("a", F.col("m").alias("b"))
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of edges (a long, b long); root is the least node reachable.
 
