@@ -115,7 +115,8 @@ def _spans(hit: np.ndarray) -> list[dict]:
 def _search(q: _Queries, slop: int):
     def rows(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # without a copy of the block
+                row = {c: batch.column(k)[i].as_buffer() for k, c in enumerate(_INDEX_ARROW.names)}
                 block = _Block(row)
                 n, total = len(block.first) - 1, int(block.first[-1])
                 cover, items, near_items = np.zeros(total + 1, np.int64), {}, {}

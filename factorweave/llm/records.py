@@ -203,7 +203,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, w
         name, records, tokens, place, shard, ids_out = uuid.uuid4().hex, 0, 0, 0, None, []
         with fs.open_output_stream(posixpath.join(base, f"{name}.rec")) as rec, fs.open_output_stream(posixpath.join(base, f"{name}.idx")) as idx:
             for batch in batches:
-                for part in pieces(batch, "text", 1 << 22):
+                for part in pieces(batch, "text", 1 << 21):
                     shard = part.column(2)[0].as_py()
                     ids, count = encode(part.column(1))
                     ids, ends = ids.astype(f"<u{width}"), np.cumsum(count)

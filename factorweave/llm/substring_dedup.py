@@ -185,10 +185,11 @@ def _apply(lengths: list[int], buckets: int):
     return rows
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, levels: int = 2, block_rows: int = 1024, bucket_rows: int = 4096) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, levels: int = 2, block_bytes: int = 3 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
     """Removes words covered by a window of `window` words that also starts earlier.
 
-    The levels have window/2**(levels-1), ..., window/2, window words.  Returns doc_id,
+    The levels have window/2**(levels-1), ..., window/2, window words.  Blocks and buckets
+    have about block_bytes and bucket_bytes of text, which bounds what a task holds.  Returns doc_id,
     n_words, n_removed, kept (words joined by one space) and spans of removed words
     [start, end), in words of the input.
 
@@ -201,8 +202,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window % (1 << (levels - 1)) or not lengths[0]:
         raise ValueError("window must be a multiple of 2**(levels-1)")
     docs = texts(docs, id_col, text_col)
-    n = docs.count()
-    blocks, buckets = math.ceil(n / block_rows) or 1, math.ceil(n / bucket_rows) or 1
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, buckets = math.ceil(total / block_bytes) or 1, math.ceil(total / bucket_bytes) or 1
     placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     answers = None
     for k in range(levels):

@@ -31,7 +31,7 @@ def test_equals_brute_force(docs, odd, levels):
     shared = [" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(4)]
     rows = odd + [(20 + i, " ".join(rng.choice([rng.choice("abcdefgh"), rng.choice(shared), "x\ny"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
     rows += [(200, "z " * 500), (201, "z " * 30), (202, shared[0]), (203, shared[0])]
-    out = substring_dedup(docs(rows), window=8, levels=levels, block_rows=10, bucket_rows=20)
+    out = substring_dedup(docs(rows), window=8, levels=levels, block_bytes=1500, bucket_bytes=3000)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()), key=repr)
     assert got == brute(rows, 8)
     for r in out.collect():
