@@ -257,7 +257,8 @@ def read_records(manifest: DataFrame, path: str, width: int = 2, part_bytes: int
                         yield pa.record_batch([pa.array(row["ids"][a:b], pa.int64()), pa.array(start + np.cumsum(size) - size), pa.array(size), pa.array(payloads, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
                         start, a = start + int(size.sum()), b
 
-    return shards.repartition(F.col("file")).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
+    # a number of partitions: by their own small size the manifest's rows would all go to one task
+    return shards.repartition(max(1, manifest.count()), F.col("file")).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op9_records(spark, sf_dir: str) -> DataFrame:
