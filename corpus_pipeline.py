@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from factorweave.llm.common import scratch
 from factorweave.llm.decontamination import decontaminate
+from factorweave.llm.near_copies import distinct_documents
 from factorweave.llm.packing import pack, word_lengths
 from factorweave.llm.pii import QUERY_KEY, pseudonymize
-from factorweave.llm.simhash import near_duplicates
 from factorweave.llm.toxicity import toxicity
 
 
@@ -24,15 +24,8 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document whose id names the group.
-
-    Repeated rows of equal id and text count once.  Rows of a null id have no name that a
-    group could keep them by, and all stay.
-    """
-    known = docs.where("doc_id is not null")
-    kept = near_duplicates(known).where("doc_id = component_id").select("doc_id")
-    once = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies (five-word Jaccard similarity of 0.8 or more) the row of the least id."""
+    return distinct_documents(docs)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +55,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the trained scorer, the fingerprints or the packing.
+#: SQL can't express the trained scorer, the min-hashes or the packing.
 ORACLE_SQL = None
 
 

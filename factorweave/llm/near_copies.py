@@ -1,0 +1,191 @@
+"""Near copies by the exact Jaccard similarity of their sets of word shingles.
+
+1. Rows of equal shingle sets are one node.  A node has 56 keys, each of 7 min-hashes: two
+   sets of similarity 0.8 have none in common with a chance of (1 - 0.8**7)**56 = 2e-6.
+2. Nodes that share a key are compared by their whole sets; only those that reach the bound
+   are linked.  Pairs come in rounds, the nearest places within a key first, and pairs that
+   are connected by then are left out: the components stay those of all links.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from factorweave.llm.common import saved, small_batches
+from factorweave.llm.components import components
+from factorweave.llm.words import SPACE_WORD, Words, mix, pieces, window_hashes
+
+BANDS, DEPTH = 56, 7
+_DRAW = np.random.Generator(np.random.PCG64(20250611)).integers(0, 2**32, (BANDS, DEPTH, 2), dtype=np.uint32)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A hash of id and text in which nulls count: only repeated rows are alike in it."""
+    id_, text_ = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    return F.xxhash64(F.coalesce(id_.cast("long"), F.lit(0)), id_.isNull(), F.coalesce(text_, F.lit("")), text_.isNull())
+
+
+def shingle_sets(column, length: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, first): the sorted distinct shingle hashes of each text, one text after another.
+
+    Words are cut at white space and lower-cased; a text of fewer words is one shingle, one
+    without words none.
+    """
+    words = Words(column, SPACE_WORD, lower=True)
+    ids, counts = words.hashes(), words.counts
+    fits = words.fits(length)
+    h, doc = [window_hashes(ids, length)[fits]], [words.doc[fits]]
+    for k in range(1, length):
+        short = np.flatnonzero(counts == k)
+        h.append(window_hashes(ids, k)[words.first[short]])
+        doc.append(short)
+    h, doc = np.concatenate(h), np.concatenate(doc)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+    h, doc = h[new], doc[new]
+    return h, np.searchsorted(doc, np.arange(len(counts) + 1))
+
+
+def signatures(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, keys): a hash of each set, and BANDS keys of it; an empty set's are 0."""
+    some = np.flatnonzero(np.diff(first))
+    node, keys = np.zeros(len(first) - 1, np.uint64), np.zeros((len(first) - 1, BANDS), np.uint64)
+    if len(some):
+        head, low = first[some], (mix(shingles) >> np.uint64(32)).astype(np.uint32)
+        node[some] = mix(np.add.reduceat(mix(shingles ^ _ODD), head) + np.diff(first)[some].astype(np.uint64))
+        for b in range(BANDS):
+            key = np.full(len(some), b + 1, np.uint64)
+            for c, a in _DRAW[b]:
+                key = mix(key * _ODD + np.minimum.reduceat((low ^ c) * (a | np.uint32(1)), head))
+            keys[some, b] = key
+    return node, keys
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(key, doc_id, node, n, keys) of rows (key, doc_id, text)."""
+
+    def sign(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                shingles, first = shingle_sets(part.column(2))
+                node, keys = signatures(shingles, first)
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel()))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], names=["key", "doc_id", "node", "n", "keys"])
+
+    return rows.mapInArrow(sign, "key long, doc_id long, node long, n int, keys array<long>")
+
+
+def _gather(batches):
+    """The columns of a task's batches as arrays; None without rows."""
+    got = [b for b in batches if b.num_rows]
+    return [np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(got[0].num_columns)] if got else None
+
+
+def _shared(batches):
+    """Rows (value, node, band, n) whose value another node has, too."""
+    if (got := _gather(batches)) is not None:
+        order = np.lexsort((got[1], got[0]))
+        value = got[0][order]
+        same = value[1:] == value[:-1]
+        keep = order[np.append(same, False) | np.append(False, same)]
+        yield pa.record_batch([pa.array(c[keep]) for c in got], names=["value", "node", "band", "n"])
+
+
+def _pairs(low: int, high: int, least: float):
+    """Distinct pairs (a, b) that share a value, are low + 1 to high places apart there, and aren't connected."""
+
+    def rows(batches):
+        if (got := _gather(batches)) is None:
+            return
+        value, node, n, root = got
+        order = np.lexsort((node, value))
+        value, node, n, root = value[order], node[order], n[order], root[order]
+        for step in range(low + 1, high + 1):
+            a = np.flatnonzero(value[step:] == value[:-step]) if step < len(value) else np.zeros(0, np.int64)
+            if not len(a):
+                return
+            b = a + step
+            ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9)
+            pair = np.unique(np.stack([node[a[ok]], node[b[ok]]], 1), axis=0)
+            yield pa.record_batch([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
+
+    return rows
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets."""
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both / (len(x) + len(y) - both)
+
+
+def _verify(least: float):
+    def rows(batches):
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            ok = [jaccard(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= least for i in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return rows
+
+
+def _links(rows: DataFrame, own: DataFrame, least: float) -> DataFrame | None:
+    """(node, root) of the nodes that are linked to others; None if there are none."""
+    classes = own.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    index = classes.select("node", "n", F.posexplode("keys").alias("band", "value"))
+    index = index.select("value", "node", F.col("band").cast("byte").alias("band"), "n")
+    groups = saved(index.repartition("value").mapInArrow(_shared, "value long, node long, band byte, n int"), "groups")
+    most = groups.groupBy("value").count().agg(F.max("count")).first()[0] or 0
+    if not most:
+        return None
+    texts_of = own.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+
+    def sets(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                shingles, first = shingle_sets(part.column(1))
+                data = [shingles[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+                yield pa.record_batch([part.column(0), pa.array(data, pa.binary())], names=["node", "shingles"])
+
+    own_sets = rows.select("key", "text").join(texts_of, "key").dropDuplicates(["key"]).select("node", "text")
+    own_sets = saved(own_sets.mapInArrow(sets, "node long, shingles binary"), "sets")
+    links, roots, low, high, bands = None, None, 0, 1, BANDS // 7
+    while low < most - 1:
+        of = groups.where(F.col("band") < bands).select("value", "node", "n")
+        if roots is None:
+            of = of.withColumn("root", F.col("node"))
+        else:
+            of = of.join(roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
+        pairs = saved(of.repartition("value").mapInArrow(_pairs(low, high, least), "a long, b long").distinct(), "pairs")
+        x, y = own_sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), own_sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        found = saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long"), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
+        if bands < BANDS:
+            bands = BANDS  # the first round takes few keys: most copies are connected by them
+        else:
+            low, high = high, high * 8
+    return roots
+
+
+def distinct_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """One row of each group of near copies: that of the least doc_id, a null one last.
+
+    Texts of which the sets of five-word shingles have a Jaccard similarity of `least` or more are
+    linked.  Texts without words (null, empty, blank) are copies of each other.  Columns
+    stay as they are; repeated and null ids don't matter, as rows are told apart by id and text.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = saved(_nodes(rows), "nodes")
+    roots = _links(rows, own, least)
+    first = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    if roots is not None:
+        first = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.key").alias("near_copies_key"))
+    return docs.withColumn("near_copies_key", row_key()).join(kept, "near_copies_key", "left_semi").dropDuplicates(["near_copies_key"]).select(docs.columns)

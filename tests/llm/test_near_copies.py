@@ -1,0 +1,65 @@
+import random
+
+import corpus_pipeline
+import numpy as np
+
+from factorweave.llm.near_copies import shingle_sets
+
+
+def words_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute(rows):
+    """The rows kept: the least of each group of texts that are linked at 0.8 or more."""
+    sets = [words_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or x and y and len(x & y) / len(x | y) >= 0.8:
+                root[find(i)] = find(j)
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(find(i), []).append(row)
+    return groups.values()
+
+
+def test_shingle_sets():
+    import pyarrow as pa
+
+    texts = ["a b c d e f", None, "x", "A  b c\td e f", "one two three four", " ", "a b c d e a b c d e"]
+    h, first = shingle_sets(pa.array(texts))
+    own = [set(h[a:b].tolist()) for a, b in zip(first, first[1:])]
+    assert [len(x) for x in own] == [len(words_set(t)) for t in texts] and own[0] == own[3] and own[0] & own[6]
+
+
+def test_stage_keeps_one_of_each_group_at_0_8(spark, docs, odd):
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefghijklmnop") + str(rng.randrange(99))
+    rows = [*odd, (None, "a"), (None, "no id"), (10, "another text of a repeated id"), (11, "another TEXT of a repeated id")]
+    for k in range(60):  # copies with a few words replaced: similarities from 0.5 to 1, some just at the bound
+        base = [word() for _ in range(rng.choice([30, 120, 300]))]
+        for j in range(4):
+            own = base[:]
+            for _ in range(rng.randrange(1 + len(base) // 20)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((1000 + 4 * k + j, " ".join(own)))
+    passage = [word() for _ in range(40)]  # shared by many, but no copies
+    rows += [(5000 + k, " ".join([*passage, *[word() for _ in range(30)]])) for k in range(60)]
+    whole = [word() for _ in range(200)]  # one group that is linked by steps
+    for k in range(80):
+        whole[rng.randrange(200)] = word()
+        rows.append((6000 + k, " ".join(whole)))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs(rows, 5), "").collect()]
+    groups = brute(rows)
+    assert len(got) == len(groups)
+    for group in groups:
+        mine = [r for r in group if r in got]
+        assert len(set(mine)) == 1 and mine[0][0] == min((i for i, _ in group if i is not None), default=None)
