@@ -2,9 +2,10 @@
 
 1. A character 4-gram model is counted over all documents.
 2. Words with digits or symbols among their letters, letters repeated three times or more,
-   and runs of single spaced letters become lattices: an observed character may stand for
-   itself, for a letter that it imitates, or for nothing.  The Viterbi path with the least
-   channel and language-model cost is the restored word.
+   and runs of three or more single spaced characters become lattices: an observed character
+   may stand for itself, for a letter that it imitates, or for nothing, and a space in a run
+   for nothing or for a word's edge.  The Viterbi path with the least channel and
+   language-model cost is the restored word or phrase.
 3. Words, and word beginnings of 3 to 10 bytes, of the restored text are weighed by how
    often documents with them are labelled toxic; a document's score is the noisy-or of the
    weights it contains.
@@ -31,6 +32,7 @@ _SEPARATORS = "._-*~^'`,:;/\\=\"" + "@$!|+(<&#%"
 _EDGE, _OTHER = 0, 27  # of the alphabet: word edge, a-z as 1-26, any other letter
 _A = 28
 _SUBSTITUTE, _SKIP, _UNDOUBLE, _STAY = 1.5, 2.0, 1.0, 9.0  # channel costs in nats
+_SPLIT, _JOIN = 3.0, 6.0  # of a word's edge at a space as narrow as any of its run, and of none at a wider one
 _CODE = np.zeros(256, np.uint8)
 _CODE[0x61:0x7B] = np.arange(1, 27)
 _CODE[0x41:0x5B] = np.arange(1, 27)
@@ -39,6 +41,13 @@ _LETTER = _CODE > 0
 _LETTER[0x80:] = True
 _NOISE = np.zeros(256, bool)
 _NOISE[[ord(c) for c in set(LEET) | set("._-*~^")]] = True
+_LEAD = ~((np.arange(256) >= 0x80) & (np.arange(256) < 0xC0))  # the first byte of any character
+_SIGN = _NOISE.copy()  # a character that can be one of a spaced run: a Latin letter, digit or symbol
+_SIGN[0x61:0x7B] = _SIGN[0x41:0x5B] = _SIGN[0xC3:0xC6] = True
+_AFTER, _BEFORE = np.zeros(256, bool), np.zeros(256, bool)
+_AFTER[list(b".,!?;:\"')]")] = True
+_BEFORE[list(b".,?;:\"'[(")] = True
+_NO_SIGN = frozenset("._-*~^")  # symbols that stand for no letter
 _TAIL = re.compile(rb"[.,!?;:\"')\]]+$|(?:([^a-z0-9\x80-\xff])\1{2,}[.,!?;:]*)+$")
 _HEAD = re.compile(rb"^[.,?;:\"'\[(]+")
 #: Numbers, addresses and keys are not words.
@@ -83,9 +92,13 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
-def restore_word(word: str, model: np.ndarray, beam: int = 48) -> str:
-    """The Viterbi path through the lattice of one lower-case word."""
-    states = {(0, 0, 0): (0.0, "")}
+def restore_word(word: str, model: np.ndarray, beam: int = 48, wide: list[bool] | None = None) -> str:
+    """The Viterbi path through the lattice of one lower-case word.
+
+    With `wide`, word is a run of spaced characters, each of which may begin a new word:
+    wide[i] says whether the space before character i + 1 is wider than others of the run.
+    """
+    states: dict[tuple, tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}  # what is put out is linked backwards
     for i, c in enumerate(word):
         arcs: list[tuple[str, int, float]] = []
         if c.isalpha():
@@ -97,23 +110,38 @@ def restore_word(word: str, model: np.ndarray, beam: int = 48) -> str:
             if c in _SEPARATORS or (i and word[i - 1] == c):
                 arcs.append(("", -1, _SKIP))
             arcs.append((c, _OTHER, _STAY))
-        after: dict[tuple, tuple[float, str]] = {}
-        for (a, b, d), (cost, out) in states.items():
-            for text, code, price in arcs:
+        starts = [(k, cost, out, arcs) for k, (cost, out) in states.items()]
+        if wide is not None and i:
+            edges = [(cost + float(model[(*k, _EDGE)]) + (0.0 if wide[i - 1] else _SPLIT), out) for k, (cost, out) in states.items() if k[2] != _EDGE]
+            starts = [(k, cost + _JOIN * wide[i - 1], out, arcs) for k, cost, out, _ in starts]
+            if edges:
+                cost, out = min(edges, key=lambda x: x[0])
+                starts.append(((_EDGE, _EDGE, _EDGE), cost, (out, " "), [x for x in arcs if x[1] >= 0]))
+        after: dict[tuple, tuple[float, tuple]] = {}
+        for (a, b, d), cost, out, own in starts:
+            for text, code, price in own:
                 key = (a, b, d) if code < 0 else (b, d, code)
                 total = cost + price + (0.0 if code < 0 else float(model[a, b, d, code]))
                 if key not in after or total < after[key][0]:
-                    after[key] = (total, out + text)
+                    after[key] = (total, (out, text) if text else out)
         states = dict(sorted(after.items(), key=lambda kv: kv[1][0])[:beam])
-    best = min((cost + float(model[(*k, _EDGE)]), out) for k, (cost, out) in states.items())
-    return best[1] or word
+    _, out = min(((cost + float(model[(*k, _EDGE)]), out) for k, (cost, out) in states.items()), key=lambda x: x[0])
+    found = []
+    while out:
+        out, text = out
+        found.append(text)
+    return "".join(reversed(found)) or word
 
 
 class Restorer:
     """Restores whole texts; words seen before come from a table that is emptied when full."""
 
     def __init__(self, model: np.ndarray, most: int = 100_000):
-        self.model, self.most, self.known = model, most, {}
+        self.model, self.most, self.known, self.also = model, most, {}, []
+
+    def readings(self, column) -> list[bytes]:
+        """The restored texts, each with other readings of its spaced phrases behind it."""
+        return [a + b" " + b if b else a for a, b in zip(self(column), self.also, strict=True)]
 
     def word(self, raw: bytes) -> bytes:
         got = self.known.get(raw)
@@ -130,12 +158,63 @@ class Restorer:
             self.known[raw] = got
         return got
 
+    def runs(self, words: Words, count, letters: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of three or more single characters within a text, one of them a letter.
+
+        The first may have punctuation before it and the last behind it.
+        """
+        chars = count(_LEAD[words.data])
+        plain = (chars == 1) & _SIGN[words.data[words.starts]]
+        last = words.data[words.ends - 1]
+        closes = (chars > 1) & _SIGN[words.data[words.starts]] & ~_AFTER[words.data[words.starts]] & (count(_AFTER[words.data]) == chars - 1)
+        opens = (chars > 1) & ~_BEFORE[last] & (count(_BEFORE[words.data]) == chars - 1) & (letters > 0) & ~closes
+        own = plain | closes | opens
+        # a word goes on with the run of the word before it
+        on = own[1:] & own[:-1] & ~closes[:-1] & ~opens[1:] & (words.doc[1:] == words.doc[:-1])
+        turn = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
+        out = []
+        for a, b in zip(turn[::2].tolist(), (turn[1::2] + 1).tolist(), strict=True):
+            if b - a < 3 or not letters[a:b].any():
+                continue
+            at, signs = words.starts[a:b].tolist(), words.data
+            while b - a >= 3 and not letters[a] and _BEFORE[signs[at[0]]] | (chr(signs[at[0]]) in _NO_SIGN):
+                a, at = a + 1, at[1:]
+            while b - a >= 3 and not letters[b - 1] and _AFTER[signs[at[-1]]] | (chr(signs[at[-1]]) in _NO_SIGN):
+                b, at = b - 1, at[:-1]
+            if b - a >= 3 and sum(chr(signs[i]) not in _NO_SIGN for i in at) >= 3:
+                out.append((a, b))
+        return out
+
+    def run(self, signs: list[bytes], gaps: list[bytes]) -> tuple[bytes, bytes]:
+        """(phrase, also): what a run of spaced characters spells; punctuation at its ends is left out.
+
+        The character model can misplace a word's edge ('y oustupid'), so for a phrase of more
+        than one word `also` has what begins at each of its letters.
+        """
+        least, lines = min(map(len, gaps)), [b"\n" in g for g in gaps]
+        wide = tuple(len(g) > least or line and not all(lines) for g, line in zip(gaps, lines, strict=True))
+        if len(signs[0]) > 1:
+            signs[0] = _HEAD.sub(b"", signs[0])
+        if len(signs[-1]) > 1:
+            signs[-1] = signs[-1].rstrip(b".,!?;:\"')]")
+        word = b"".join(signs).decode("utf-8", "replace")
+        got = self.known.get((word, wide))
+        if got is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            got = restore_word(word, self.model, wide=list(wide))
+            whole = got.replace(" ", "")
+            also = [whole[i : i + 24] for i in range(len(whole) - 2)] if whole != got else []
+            got = self.known[word, wide] = got.encode(), " ".join(also).encode()
+        return got
+
     def __call__(self, column) -> list[bytes]:
-        """The texts in lower case, with their obfuscated words restored."""
+        """The texts in lower case, with their obfuscated words restored; `also` has other readings of each."""
         words = Words(column, SPACE_WORD, lower=True)
         data, n = words.data, len(words.starts)
         whole = data.tobytes()
         out: list[list] = [[] for _ in range(len(words.offsets) - 1)]
+        self.also = [b""] * len(out)
         if n:
             def count(mask):
                 c = np.concatenate([[0], np.cumsum(mask)])
@@ -146,14 +225,20 @@ class Restorer:
             three = np.zeros(len(data), bool)
             three[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
             odd = (letters > 0) & ((count(_NOISE[data]) > 0) | (count(three) > 0))
-            single = (words.ends - words.starts == 1) & (letters == 1)
-            joined = np.concatenate([[False], single, [False]])
-            turn = np.flatnonzero(joined[1:] != joined[:-1])
-            runs = [(a, b) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True) if b - a >= 4 and words.doc[a] == words.doc[b - 1]]
-            todo = [(i, i + 1) for i in np.flatnonzero(odd).tolist()] + runs
+            runs = self.runs(words, count, letters)
+            todo = [(i, i + 1) for i in np.flatnonzero(odd).tolist()]
+            if runs:
+                in_run = np.zeros(n, bool)
+                for a, b in runs:
+                    in_run[a:b] = True
+                todo = [(i, j) for i, j in todo if not in_run[i]] + runs
             for a, b in sorted(todo):
-                raw = b"".join(whole[words.starts[i] : words.ends[i]] for i in range(a, b))
-                new = self.word(raw) if b - a == 1 else restore_word(raw.decode(), self.model).encode()
+                if b - a == 1:
+                    new = self.word(whole[words.starts[a] : words.ends[a]])
+                else:
+                    new, also = self.run([whole[i:j] for i, j in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)], [whole[i:j] for i, j in zip(words.ends[a : b - 1].tolist(), words.starts[a + 1 : b].tolist(), strict=True)])
+                    if also:
+                        self.also[words.doc[a]] += b" " + also
                 out[words.doc[a]].append((int(words.starts[a]), int(words.ends[b - 1]), new))
         texts_ = []
         for d, changes in enumerate(out):
@@ -263,7 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most_rows: int
         restorer = Restorer(model)
         for batch in batches:
             for part in pieces(batch, "text"):
-                yield pa.record_batch([pa.array(scorer.evidence(restorer(part.column(1)))), part.column(2)], names=["x", "toxic"])
+                yield pa.record_batch([pa.array(scorer.evidence(restorer.readings(part.column(1)))), part.column(2)], names=["x", "toxic"])
 
     known = rows_in.where(apart).mapInArrow(evidence, "x double, toxic int").toArrow()  # two numbers for each of most_rows / 5 rows
     scorer.calibrate(known.column("x").to_numpy(), known.column("toxic").to_numpy().astype(float))
@@ -283,7 +368,8 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", restored: boo
             for part in pieces(batch, text_col):
                 texts_ = restorer(part.column(at))
                 own = [pa.array([x.decode("utf-8", "replace") for x in texts_])] if restored else []
-                yield pa.record_batch([*part.columns, pa.array(scorer(texts_)), *own], names=[*part.schema.names, *new])
+                seen = [a + b" " + b if b else a for a, b in zip(texts_, restorer.also, strict=True)]
+                yield pa.record_batch([*part.columns, pa.array(scorer(seen)), *own], names=[*part.schema.names, *new])
 
     return docs.mapInArrow(rows, schema)
 

@@ -166,6 +166,36 @@ def test_texts_are_restored(model):
     assert r(pa.array(["You i d i o t go", None, "", "plain Text é", "a.b@mail1.example.com 4111111111111111"])) == [b"you idiot go", b"", b"", "plain text é".encode(), b"a.b@mail1.example.com 4111111111111111"]
 
 
+SPACED = [
+    ("s c u m.", "scum"), ("s c u m!", "scum"), ("i d i o t, go", "idiot go"), ("i d 1 o t", "idiot"), ("1 d 1 0 t", "idiot"), ('"s c u m" he said', 'scum he said'),
+    ("y o u i d i o t", "you idiot"), ("y o u   i d i o t", "you idiot"), ("s c u m !", "scum !"), ("s c u m.\ni d i o t!", "scum\nidiot"), ("i - d - i - o - t", "idiot"),
+]
+
+
+@pytest.mark.parametrize(("seen", "meant"), SPACED)
+def test_spaced_words_are_restored(model, seen, meant):
+    import pyarrow as pa
+
+    assert tox.Restorer(model)(pa.array([seen])) == [meant.encode()]
+
+
+def test_spaced_runs_end_with_their_text(model):
+    import pyarrow as pa
+
+    texts = ["go i d i o t", "s c u m", None, "l o s e r", "a b"]
+    assert tox.Restorer(model)(pa.array(texts)) == [b"go idiot", b"scum", b"", b"loser", b"a b"]
+
+
+def test_spaced_phrases_are_read_from_each_letter(model):
+    import pyarrow as pa
+
+    r = tox.Restorer(model)
+    for phrase in ("y o u p a t h e t i c", "s u c h a g a r b a g e", "w o r t h l e $ $ s c u m"):
+        seen = r.readings(pa.array([phrase]))[0]
+        assert any(x in seen.split() for x in (b"pathetic", b"garbage", b"scum"))
+    assert r.readings(pa.array(["plain i d i o t"])) == [b"plain idiot"]
+
+
 def test_scores(spark, docs, odd):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
