@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factorweave.llm.common import scratch
 from factorweave.llm.decontamination import decontaminate
-from factorweave.llm.near_copies import distinct_documents
+from factorweave.llm.near_copies import distinct_documents, row_key
 from factorweave.llm.packing import pack, word_lengths
 from factorweave.llm.pii import QUERY_KEY, pseudonymize
 from factorweave.llm.toxicity import toxicity
@@ -29,9 +29,11 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold too much of the benchmark."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that don't hold too much of the benchmark; rows are told apart by id and text."""
+    keyed = docs.withColumn("contamination_key", row_key())
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="contamination_key")
+    drop = found.where("contaminated").select(F.col("doc_id").alias("contamination_key")).distinct()
+    return keyed.join(drop, "contamination_key", "left_anti").select(docs.columns)
 
 
 def mask_pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

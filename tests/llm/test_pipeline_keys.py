@@ -1,0 +1,9 @@
+import corpus_pipeline
+
+
+def test_contaminated_rows_of_null_and_repeated_ids(spark, docs, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean without id"), (None, None), (1, item), (1, "clean text of a repeated id"), (1, item), (2, "clean"), (2, "clean"), (0, ""), (3, f"so {item} then")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs(rows), str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted((r for r in rows if item not in (r[1] or "")), key=repr)
