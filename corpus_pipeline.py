@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorweave.llm.common import scratch
+from factorweave.llm.common import row_key, scratch
 from factorweave.llm.decontamination import decontaminate
-from factorweave.llm.near_copies import distinct_documents, row_key
 from factorweave.llm.packing import pack, word_lengths
 from factorweave.llm.pii import QUERY_KEY, pseudonymize
+from factorweave.llm.simhash import distinct_documents
 from factorweave.llm.toxicity import toxicity
 
 
@@ -57,7 +57,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the trained scorer, the min-hashes or the packing.
+#: SQL can't express the trained scorer, the fingerprints or the packing.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,12 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash of id and text in which nulls count: only repeated rows are alike in it."""
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    return F.xxhash64(F.coalesce(id_, F.lit(0)), id_.isNull(), F.coalesce(text, F.lit("")), text.isNull())
+
+
 _LOCAL = (1 << 33) - 1  # monotonically_increasing_id() counts the rows of a partition in these bits
 
 

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from factorweave.llm.components import components
-from factorweave.llm.simhash import fingerprint, linked, masks, near_duplicates
+from factorweave.llm.simhash import Routes, fingerprint, keys, linked, links, majority, near_duplicates, odd_sketches
 
 
 def slow(text, n=4):
@@ -33,24 +33,28 @@ def test_fingerprint():
         assert fingerprint(b" ".join(t.encode().lower().split())) == slow(t)
 
 
-def test_some_segment_differs_in_one_bit_at_most():
-    rng, own = random.Random(1), masks(4)
-    assert len(own) == 64
+@pytest.mark.parametrize("together", [1, 2, 3])
+def test_some_variant_is_shared(together):
+    rng, routes = random.Random(1), Routes(keys(4, together))
+    assert together > 1 or routes.used.sum() == 64  # 3 segments, a wildcard for each bit
+    every = np.arange(len(routes))
     for _ in range(300):
         x = rng.getrandbits(64)
         y = x
         for b in rng.sample(range(64), 4):
             y ^= 1 << b
-        assert any(x & m == y & m for m in own)
+        own = [set(zip(*map(np.ndarray.tolist, (key, every[row])))) for row, key in (routes.variants(np.full(len(routes), v, np.uint64), every, every) for v in (x, y))]
+        assert own[0] & own[1]
+        assert any((x & int(routes.masks[r])) == (y & int(routes.masks[r])) for r in {r for _, r in own[0] & own[1]})
 
 
-def test_linked_gives_the_components_of_all_links():
-    rng = np.random.default_rng(4)
+def near_values(seed):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
-    fps = np.unique(np.array([int(b) ^ sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 4))) for b in base for _ in range(40)], np.uint64))
-    rows = [(f, j, f & m) for f in map(int, fps) for j, m in enumerate(masks(4))]
-    names = {k: i for i, k in enumerate(sorted({(j, v) for _, j, v in rows}))}
-    a, b = linked(np.array([r[0] for r in rows], np.uint64).view(np.int64), np.array([names[r[1:]] for r in rows], np.uint64), 4)
+    return np.unique(np.array([int(b) ^ sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 4))) for b in base for _ in range(40)], np.uint64))
+
+
+def same_components(fps, edges):
     parent = {int(f): int(f) for f in fps.view(np.int64)}
 
     def find(x):
@@ -58,11 +62,44 @@ def test_linked_gives_the_components_of_all_links():
             x = parent[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist()):
+    for x, y in edges:
         parent[max(find(x), find(y))] = min(find(x), find(y))
-    got = [find(int(f)) for f in fps.view(np.int64)]
-    want = brute(fps)
-    assert len({*zip(got, want.tolist())}) == len(set(got)) == len(set(want.tolist()))
+    got, want = [find(int(f)) for f in fps.view(np.int64)], brute(fps)
+    return len({*zip(got, want.tolist())}) == len(set(got)) == len(set(want.tolist()))
+
+
+def test_linked_gives_the_components_of_all_links():
+    fps, routes = near_values(4), Routes(keys(4))
+    x, route = np.repeat(fps, len(routes)), np.tile(np.arange(len(routes)), len(fps))
+    a, b = linked(x.view(np.int64), *routes.variants(x, route, route), [x], 4)
+    assert same_components(fps, zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("together", [None, 2, 3])
+def test_links_by_longer_keys_are_the_same(spark, together):
+    fps = near_values(5)
+    edges = links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), 4, together).collect()
+    assert same_components(fps, [(r.a, r.b) for r in edges])
+
+
+def test_majority():
+    rng = np.random.default_rng(3)
+    counts = np.array([0, 1, 2, 3, 4, 5, 9, 0, 31, 200, 1])
+    words = rng.integers(0, 2**63, (counts.sum(), 3), dtype=np.uint64) & rng.integers(0, 2**63, (counts.sum(), 3), dtype=np.uint64) | np.uint64(6)
+    got, at = majority(words, counts), 0
+    for i, n in enumerate(counts):
+        bits = np.unpackbits(words[at : at + n].view(np.uint8).reshape(n, 24), axis=1, bitorder="little")
+        assert (np.packbits(2 * bits.sum(0) > n, bitorder="little").view(np.uint64) == got[i]).all()
+        at += n
+
+
+def test_sketches_differ_in_no_more_cells_than_sets_in_elements():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 800):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.append(x[n // 4 :], rng.integers(0, 2**63, n // 5, dtype=np.uint64)))
+        s = odd_sketches(np.concatenate([x, y]), np.array([len(x), len(y)]))
+        assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(x, y))
 
 
 def test_near_duplicates(docs, odd):

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 
-from factorweave.llm.near_copies import shingle_sets
+from factorweave.llm.simhash import shingle_sets
 
 
 def words_set(text):
