@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a local folder is made.
+    Only where that is unset on one machine, as in tests, a local folder is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"factorweave-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -36,6 +39,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path in the shared folder and the path there, for readers and writers in tasks."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Lets Arrow batches have at most so many rows: by default they may hold 10,000 long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

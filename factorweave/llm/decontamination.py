@@ -15,10 +15,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorweave.llm.common import saved, texts
+from factorweave.llm.common import filesystem, saved, texts
 from factorweave.llm.words import ALNUM_WORD, Words, pieces
 
 _INDEX = "doc_ids binary, missing binary, first binary, terms binary, heads binary, places binary"
@@ -112,27 +113,63 @@ def _spans(hit: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)]
 
 
-def _search(q: _Queries, slop: int):
+class _Found:
+    """What some shards of items have found in one block so far."""
+
+    def __init__(self, row: dict):
+        self.row, self.block = row, _Block(row)
+        self.cover = np.zeros(int(self.block.first[-1]) + 1, np.int64)
+        self.items: dict[int, set[str]] = {}
+        self.near: dict[int, set[str]] = {}
+
+    def look(self, q: _Queries, slop: int) -> None:
+        for item, exact, near, size in self.block.find(q, slop):
+            np.add.at(self.cover, exact, 1)
+            np.subtract.at(self.cover, exact + size, 1)
+            for places, into in ((exact, self.items), (near, self.near)):
+                for d in np.unique(np.searchsorted(self.block.first, places, "right") - 1).tolist():
+                    into.setdefault(d, set()).add(q.item_ids[item])
+
+    def batch(self) -> pa.RecordBatch:
+        first, n = self.block.first, len(self.block.first) - 1
+        hit = np.cumsum(self.cover)[:-1] > 0
+        ids = pa.array(np.frombuffer(self.row["doc_ids"], "<i8"), mask=np.unpackbits(np.frombuffer(self.row["missing"], np.uint8), count=n).astype(bool))
+        spans = [_spans(hit[first[d] : first[d + 1]]) if d in self.items else [] for d in range(n)]
+        items = [sorted(self.items.get(d, ())) for d in range(n)]
+        near = [sorted(self.near.get(d, set()) - self.items.get(d, set())) for d in range(n)]
+        return pa.record_batch([ids, pa.array(np.diff(first)), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))], schema=_FOUND_ARROW)
+
+
+def _search(files: list[str], length: int, slop: int, most_bytes: int):
+    """Looks up the items of all files in every block; some blocks are held while the files are gone through."""
+
+    def queries(file: str) -> _Queries:
+        fs, path = filesystem(file)
+        with fs.open_input_file(path) as f:
+            table = pq.read_table(f, columns=["item_id", "text"])
+        return _Queries(table.column(0).to_pylist(), table.column(1), length)
+
     def rows(batches):
+        only = queries(files[0]) if len(files) == 1 else None
+        held, size = [], 0
+
+        def done():
+            for file in files:
+                q = only or queries(file)
+                for found in held:
+                    found.look(q, slop)
+            for found in held:
+                yield found.batch()
+
         for batch in batches:
             for i in range(batch.num_rows):  # without a copy of the block
                 row = {c: batch.column(k)[i].as_buffer() for k, c in enumerate(_INDEX_ARROW.names)}
-                block = _Block(row)
-                n, total = len(block.first) - 1, int(block.first[-1])
-                cover, items, near_items = np.zeros(total + 1, np.int64), {}, {}
-                for item, exact, near, size in block.find(q, slop):
-                    np.add.at(cover, exact, 1)
-                    np.subtract.at(cover, exact + size, 1)
-                    for places, into in ((exact, items), (near, near_items)):
-                        for d in np.unique(np.searchsorted(block.first, places, "right") - 1).tolist():
-                            into.setdefault(d, set()).add(q.item_ids[item])
-                hit = np.cumsum(cover)[:-1] > 0
-                ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.unpackbits(np.frombuffer(row["missing"], np.uint8), count=n).astype(bool))
-                spans = [_spans(hit[block.first[d] : block.first[d + 1]]) if d in items else [] for d in range(n)]
-                yield pa.record_batch(
-                    [ids, pa.array(np.diff(block.first)), pa.array(spans, _SPANS), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                     pa.array([sorted(near_items.get(d, set()) - items.get(d, set())) for d in range(n)], pa.list_(pa.string()))], schema=_FOUND_ARROW,
-                )
+                held.append(_Found(row))
+                size += sum(x.size for x in row.values())
+                if only or size >= most_bytes:
+                    yield from done()
+                    held, size = [], 0
+        yield from done()
 
     return rows
 
@@ -141,47 +178,14 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     """Looks up all windows of the items in every block; one row for each indexed document.
 
     Returns doc_id, n_words, spans of words inside an exact match, items with one, and
-    near_items: those with proximity matches only.  Items are sent to the tasks in shards
-    of about `most_bytes` of text; one shard for most benchmarks, more searches for more.
-    Rows of items with a null id are no items.
+    near_items: those with proximity matches only.  Items are stored in files of about
+    `most_bytes` of text, that the tasks read one after another; a block gathers what all
+    files find.  Rows of items with a null id are no items; repeated ones count once.
     """
-    items = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+    items = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where("item_id is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(size / most_bytes))
-    found = []
-    for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).toArrow()
-        queries = _Queries(part.column(0).to_pylist(), part.column(1), length)
-        if shards == 1:
-            return index.mapInArrow(_search(queries, slop), _FOUND)
-        found.append(index.withColumn("at", F.xxhash64("doc_ids", "places")).mapInArrow(_numbered(_search(queries, slop)), f"{_FOUND}, at string"))
-    together = found[0]
-    for more in found[1:]:
-        together = together.unionByName(more)
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    merged = together.groupBy("at").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), flat("spans").alias("spans"), flat("items").alias("items"), flat("near_items").alias("near_items"))
-    joined = F.aggregate(  # overlapping spans become one
-        "spans",
-        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)).start <= x.start) & (F.try_element_at(a, F.lit(-1)).end >= x.start),
-                            F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1)).start.alias("start"), F.greatest(F.try_element_at(a, F.lit(-1)).end, x.end).alias("end")))))
-        .otherwise(F.concat(a, F.array(x))),
-    )
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items", F.array_except("near_items", "items").alias("near_items"))
-
-
-def _numbered(rows):
-    """Adds to each document of a block a name that is the same for every shard."""
-
-    def numbered(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = batch.slice(i, 1)
-                at = own.column(own.schema.names.index("at"))[0].as_py()
-                for found in rows([own.select(_INDEX_ARROW.names)]):
-                    yield pa.record_batch([*found.columns, pa.array([f"{at}:{d}:{found.num_rows}" for d in range(found.num_rows)])], schema=_FOUND_ARROW.append(pa.field("at", pa.string())))
-
-    return numbered
+    stored = saved(items.repartition(max(1, math.ceil(size / most_bytes)), F.xxhash64("item_id", "text")), "items")
+    return index.mapInArrow(_search(sorted(stored.inputFiles()), length, slop, 4 * most_bytes), _FOUND)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, share: int = 20, slop: int = 0) -> DataFrame:

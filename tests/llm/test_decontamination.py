@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from factorweave.llm.decontamination import build_index, decontaminate, search
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,6 +57,16 @@ def test_shards_of_items_give_the_same(spark, docs, odd):
     assert flat(one) == flat(many)
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 20, 30])
+def test_repeated_rows_and_equal_places_stay_apart(spark, docs, most_bytes):
+    """Blocks of one text with equal ids and word places, repeated rows and null ids."""
+    rows = [(1, "alpha"), (1, "beta"), (None, "alpha"), (None, "gamma"), (2, "alpha beta"), (2, "alpha beta"), (0, "alpha")]
+    items = [(1, "alpha"), (2, "beta delta"), (3, "beta"), (4, "one more item that is long enough"), (3, "beta")]
+    got = search(build_index(docs(rows), block_bytes=5), spark.createDataFrame(items, "item_id long, text string"), most_bytes=most_bytes)
+    out = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), tuple(r["items"])) for r in got.collect()), key=repr)
+    assert out == [x[:4] for x in brute(rows, items, 13)]
+
+
 def test_proximity(spark, docs):
     table = spark.createDataFrame([(1, "one two three four"), (2, "five six seven eight")], "item_id long, text string")
     got = search(build_index(docs([(1, "one two big three four"), (2, "five six seven eight"), (3, "one two 3 4")])), table, slop=1)
