@@ -3,24 +3,26 @@
 A record is: payload length (8 bytes, little endian), masked checksum of those 8 bytes (4),
 payload, masked checksum of the payload (4).  Payloads are little-endian unsigned ids, of 2
 bytes if the vocabulary allows it, else 4.  The index of a shard holds the place of each
-record as 8 bytes, so a reader can shuffle records and seek.  Checksums are CRC-32, masked
-by a rotation and a constant so that a checksum of checksums is not degenerate.
+record as 8 bytes, so a reader can shuffle records and seek; a third file has each record's
+document id and whether there is one.  Checksums are CRC-32, masked by a rotation and a
+constant so that a checksum of checksums is not degenerate.
 """
 
 from __future__ import annotations
 
+import math
 import posixpath
+import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorweave.llm.common import saved, scratch, texts
+from factorweave.llm.common import filesystem, saved, scratch, texts
 from factorweave.llm.words import mix, pieces, text_buffer
 
 _MASK_DELTA = 0xA282EAD8  # fixed value of the record format
@@ -57,14 +59,22 @@ class Encoder:
     and BPE never crosses a cut.  So a batch is cut with whole-array operations, and only
     pieces not seen before go to the library.  The table of known pieces is emptied when it
     holds `most` pieces, so the memory is bounded.
+
+    As in the library, the string of a special token in a text is that token's id; with
+    special_as_text it is ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_500_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.most = most
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (special_as_text and t.special)}
+        self.added = added
+        self.added_pattern = re.compile(b"|".join(re.escape(x) for x in sorted(added, key=lambda x: -len(x)))) if added else None
+        largest = max([self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, *added.values()])
+        self.width = 2 if largest < 1 << 16 else 4
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         self.classes = np.zeros(0x110000, np.uint8)
         for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _SPACE)):
@@ -132,6 +142,29 @@ class Encoder:
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         data, offsets = text_buffer(column)
+        found = []  # (start, end, id) of the added tokens within a text
+        if self.added_pattern:
+            whole = data.tobytes()
+            if self.added_pattern.search(whole):
+                for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+                    found += [(m.start(), m.end(), self.added[m[0]]) for m in self.added_pattern.finditer(whole, a, b)]
+        if not found:
+            return self.plain(data, offsets)
+        start, end, own = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        cuts = np.unique(np.concatenate([offsets, start, end]))  # a text goes on after a token as a new one
+        ids, count = self.plain(data, cuts)
+        before = np.concatenate([[0], np.cumsum(count)])
+        at = np.searchsorted(cuts, start)
+        keep = np.ones(len(ids), bool)
+        for k in at.tolist():
+            keep[before[k] + 1 : before[k + 1]] = False
+        ids = ids.copy()
+        ids[before[at]] = own
+        count[at] = 1
+        return ids[keep], np.diff(np.concatenate([[0], np.cumsum(count)])[np.searchsorted(cuts, offsets)])
+
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for bytes of texts without added tokens."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         lead = (data & 0xC0) != 0x80
@@ -177,54 +210,66 @@ def _piece_keys(chars: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(value, heads) + size.astype(np.uint64))
 
 
-def _filesystem(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, special_as_text: bool = False
+) -> DataFrame:
     """Encodes and writes all texts in ascending id order; the stored manifest of the shards.
 
-    A task sorts and writes one shard: NAME.rec with the records, NAME.idx with their places.
-    A retried task writes files of another name, and the manifest has those of the task that
-    counted.  Columns: shard, file, records, tokens, and ids (the documents' ids, packed).
-    Null and empty texts give a record of the end id only; a null doc_id sorts first.
+    A task sorts and writes one shard of about `shard_bytes` of text: NAME.rec with the
+    records, NAME.idx with their places, NAME.ids with the documents' ids.  A retried task
+    writes files of another name, and the manifest has those of the task that counted.
+    Columns of the manifest: shard, file, records, tokens, width.  width: bytes of an id, by
+    default 2 or 4 as the vocabulary needs; too small a one is an error.
+
+    Null and empty texts give a record of the end id only; a null doc_id sorts first.  Rows
+    of an equal doc_id are ordered by a hash of their text, and repeated rows each give a
+    record.  Other columns are ignored; an empty table gives no shard.
     """
-    ordered = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id())
+    rows_in = texts(docs, id_col, text_col)
+    total = rows_in.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows_in.repartitionByRange(max(1, math.ceil(total / shard_bytes)), *keys).sortWithinPartitions(*keys).withColumn("shard", F.spark_partition_id())
 
     def rows(batches):
-        encode = _encoders.get(tokenizer)
+        encode = _encoders.get((tokenizer, special_as_text))
         if encode is None:
-            encode = _encoders[tokenizer] = Encoder(tokenizer)
-        fs, base = _filesystem(path)
+            encode = _encoders[tokenizer, special_as_text] = Encoder(tokenizer, special_as_text=special_as_text)
+        size = width or (4 if end_id >= 1 << 16 else encode.width)
+        if size < encode.width or end_id >= 1 << 8 * size:
+            raise ValueError(f"ids of this vocabulary don't fit into {size} bytes")
+        fs, base = filesystem(path)
         fs.create_dir(base, recursive=True)
-        name, records, tokens, place, shard, ids_out = uuid.uuid4().hex, 0, 0, 0, None, []
-        with fs.open_output_stream(posixpath.join(base, f"{name}.rec")) as rec, fs.open_output_stream(posixpath.join(base, f"{name}.idx")) as idx:
-            for batch in batches:
-                for part in pieces(batch, "text", 1 << 21):
-                    shard = part.column(2)[0].as_py()
-                    ids, count = encode(part.column(1))
-                    ids, ends = ids.astype(f"<u{width}"), np.cumsum(count)
-                    places = []
-                    tail = np.array([end_id], f"<u{width}").tobytes()
-                    for a, b in zip(ends - count, ends, strict=True):
-                        record = frame(ids[a:b].tobytes() + tail)
-                        rec.write(record)
-                        places.append(place)
-                        place += len(record)
-                    idx.write(np.array(places, "<u8").tobytes())
-                    records, tokens = records + len(count), tokens + int(count.sum()) + len(count)
-                    ids_out.append(part.column(0))
+        name, records, tokens, place, shard = uuid.uuid4().hex, 0, 0, 0, None
+        opened = [fs.open_output_stream(posixpath.join(base, f"{name}.{kind}")) for kind in ("rec", "idx", "ids")]
+        rec, idx, ids_out = opened
+        tail = np.array([end_id], f"<u{size}").tobytes()
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 21):
+                shard = part.column(2)[0].as_py()
+                ids, count = encode(part.column(1))
+                ids, ends = ids.astype(f"<u{size}"), np.cumsum(count)
+                places = []
+                for a, b in zip(ends - count, ends, strict=True):
+                    record = frame(ids[a:b].tobytes() + tail)
+                    rec.write(record)
+                    places.append(place)
+                    place += len(record)
+                idx.write(np.array(places, "<u8").tobytes())
+                doc = part.column(0)
+                ids_out.write(np.stack([doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False)], 1).astype("<i8").tobytes())
+                records, tokens = records + len(count), tokens + int(count.sum()) + len(count)
+        for f in opened:
+            f.close()
         if records:
-            own = pa.array([pa.chunked_array(ids_out).to_pylist()], pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name]), pa.array([records]), pa.array([tokens]), own], names=["shard", "file", "records", "tokens", "ids"])
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name]), pa.array([records]), pa.array([tokens]), pa.array([size], pa.int32())], names=["shard", "file", "records", "tokens", "width"])
 
-    return saved(ordered.mapInArrow(rows, "shard int, file string, records long, tokens long, ids array<long>"), "record-manifest")
+    return saved(ordered.mapInArrow(rows, "shard int, file string, records long, tokens long, width int"), "record-manifest")
 
 
-def read_records(manifest: DataFrame, path: str, width: int = 2, part_bytes: int = 1 << 22) -> DataFrame:
+def read_records(manifest: DataFrame, path: str, part_bytes: int = 1 << 22) -> DataFrame:
     """Reads the shards of a manifest back: doc_id, start, n_tokens and ids (packed, 4 bytes each).
 
     start counts the ids of all records before this one, in shard order.  Every checksum is
@@ -232,29 +277,31 @@ def read_records(manifest: DataFrame, path: str, width: int = 2, part_bytes: int
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row a shard
     starts = manifest.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
-    shards = manifest.join(F.broadcast(starts), "shard").select("file", "start", "ids")
+    shards = manifest.join(starts, "shard").select("file", "start", "records", "width")
 
     def rows(batches):
-        fs, base = _filesystem(path)
+        fs, base = filesystem(path)
         for batch in batches:
             for row in batch.to_pylist():
-                with fs.open_input_file(posixpath.join(base, f"{row['file']}.idx")) as f:
-                    places = np.frombuffer(f.read(), "<u8")
-                if len(places) != len(row["ids"]):
-                    raise ValueError(f"{row['file']} has {len(places)} records, the manifest {len(row['ids'])}")
+                at = lambda kind: fs.open_input_file(posixpath.join(base, f"{row['file']}.{kind}"))  # noqa: B023, E731
+                with at("idx") as f:
+                    places = np.frombuffer(f.read(), "<u8").astype(np.int64)
+                if len(places) != row["records"]:
+                    raise ValueError(f"{row['file']} has {len(places)} records, the manifest {row['records']}")
                 start = row["start"]
-                with fs.open_input_file(posixpath.join(base, f"{row['file']}.rec")) as f:
-                    ends = np.append(places[1:], f.size()).astype(np.int64)
+                with at("rec") as rec, at("ids") as ids_in:
+                    ends = np.append(places[1:], rec.size())
                     a = 0
                     while a < len(places):
                         b = max(a + 1, int(np.searchsorted(ends, int(places[a]) + part_bytes, "right")))
-                        data, size, payloads = memoryview(f.read_at(int(ends[b - 1] - places[a]), int(places[a]))), [], []
+                        data, size, payloads = memoryview(rec.read_at(int(ends[b - 1] - places[a]), int(places[a]))), [], []
                         for p in (places[a:b] - places[a]).tolist():
-                            payload, _ = unframe(data, int(p))
-                            size.append(len(payload) // width)
-                            payloads.append(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes())
+                            payload, _ = unframe(data, p)
+                            size.append(len(payload) // row["width"])
+                            payloads.append(np.frombuffer(payload, f"<u{row['width']}").astype("<u4").tobytes())
                         size = np.array(size, np.int64)
-                        yield pa.record_batch([pa.array(row["ids"][a:b], pa.int64()), pa.array(start + np.cumsum(size) - size), pa.array(size), pa.array(payloads, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                        doc, known = np.frombuffer(ids_in.read_at(16 * (b - a), 16 * a), "<i8").reshape(-1, 2).T
+                        yield pa.record_batch([pa.array(doc, mask=known == 0), pa.array(start + np.cumsum(size) - size), pa.array(size), pa.array(payloads, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
                         start, a = start + int(size.sum()), b
 
     # a number of partitions: by their own small size the manifest's rows would all go to one task
