@@ -1,16 +1,20 @@
 """Substring dedup by level-wise doubling.
 
-Level 1 asks which windows of `base` words occur more than once.  Only places where two
-such windows stand end to end can hold a repeated window of twice that length, so only
-those are asked about at the next level, until the wanted length is reached or no
-candidate survives.  At the last level the earliest start of each window is found; every
-other window that equals it is removed.
-
-How it is spread: documents are dealt once into blocks by a hash of their id, and that
-exchange is read again by every level.  A block sends each distinct window hash once,
-packed by hash bucket; a bucket answers with one bit for each hash it was sent.  So a
-window that stands in a third of all documents costs one entry a block, and no group
-holds more than one bucket's or block's share of the data.
+The first level asks which windows of a few words occur more than once.  Only places where
+two such windows stand end to end can hold a repeated window of twice that length, so only
+those are asked about at the next level.  At the level of the wanted length the earliest
+start of each window is found as well; every other window that equals it is removed.  The
+levels beyond it, on demand, go on until no candidate survives: they tell how long the
+repeats of a document are, and can't change what is removed.
+
+How it is spread: documents are dealt into blocks by a hash of id and text, and that
+exchange is read again by every level up to the wanted length.  A block sends each distinct
+window hash once, packed by hash bucket; a bucket answers with one or two bits for each hash
+it was sent.  So a window that stands in a third of all documents costs one entry a block,
+and no group holds more than one bucket's or block's share of the data.
+
+Shorter windows are told apart by their bucket and 24 bits, as a wrong candidate only costs
+a question at the next level; windows of the wanted length by 96 bits.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorweave.llm.common import texts
-from factorweave.llm.words import Words, window_hashes
+from factorweave.llm.common import saved, texts
+from factorweave.llm.words import Words, mix, window_hashes
 
 _SENT = "level int, bucket int, block int, keys binary, extra binary"
 _BITS = "level int, bucket int, block int, bits binary"
@@ -56,39 +60,56 @@ class _Level:
         for b in np.flatnonzero(np.diff(self.cut)):
             yield int(b), self.by_bucket[self.cut[b] : self.cut[b + 1]]
 
-    def answer(self, bits: dict[int, bytes]) -> np.ndarray:
-        """The buckets' bits, one for each distinct key."""
+    def answer(self, bits: dict[int, bytes], which: int = 0) -> np.ndarray:
+        """The buckets' bits, one for each distinct key; which: the first or second bit of a key."""
         out = np.zeros(len(self.keys), bool)
-        for b, which in self.sent():
-            out[which] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(which)).astype(bool)
+        for b, own in self.sent():
+            skip = which * ((len(own) + 7) // 8)
+            out[own] = np.unpackbits(np.frombuffer(bits[b], np.uint8, offset=skip), count=len(own)).astype(bool)
         return out
 
 
+class _Ladder:
+    """The lengths of the levels; `wanted` is the place of the wanted length."""
+
+    def __init__(self, window: int, shorter: int, longer: int = 0):
+        if shorter < 0 or window % (1 << shorter):
+            raise ValueError("window must be a multiple of 2**shorter")
+        self.wanted = shorter
+        self.lengths = [window >> (shorter - i) if i < shorter else window << (i - shorter) for i in range(shorter + 1 + longer)]
+
+
 class _Block:
     """One block of documents, in order of id, and the levels that its answers allow."""
 
-    def __init__(self, table: pa.Table, lengths: list[int], buckets: int):
+    def __init__(self, table: pa.Table, ladder: _Ladder, buckets: int):
         ids = table.column("doc_id").fill_null(_NO_ID).to_numpy()
         order = np.argsort(ids, kind="stable")
         self.table, self.doc_ids = table.take(pa.array(order)), ids[order]
-        self.words, self.lengths, self.buckets = Words(self.table.column("text")), lengths, buckets
+        self.words, self.ladder, self.buckets = Words(self.table.column("text")), ladder, buckets
         self.ids = self.words.hashes()
         self.start = np.arange(len(self.ids)) - self.words.first[:-1][self.words.doc]
 
     def level(self, k: int, bits: dict[int, dict[int, bytes]]) -> _Level:
         """Level k, given the answers to all levels before it."""
-        at = np.flatnonzero(self.words.fits(self.lengths[0]))
-        for i, length in enumerate(self.lengths[: k + 1]):
+        at = np.flatnonzero(self.words.fits(self.ladder.lengths[0]))
+        for i, length in enumerate(self.ladder.lengths[: k + 1]):
             if i:
                 half = length // 2
                 at = at[repeated[at] & self.words.fits(length)[at]]
                 at = at[repeated[at + half]]
             level = _Level(self.words, self.ids, length, at, self.buckets)
             if i < k:
-                repeated = np.zeros(len(self.ids), bool)
-                repeated[at] = level.answer(bits.get(i, {}))[level.of] if len(at) else False
+                repeated = self.repeated(i, level, bits)
         return level
 
+    def repeated(self, k: int, level: _Level, bits: dict[int, dict[int, bytes]]) -> np.ndarray:
+        """Of each word: whether a window of level k that occurs elsewhere starts there."""
+        out = np.zeros(len(self.ids), bool)
+        if len(level.at):
+            out[level.at] = level.answer(bits.get(k, {}), int(k == self.ladder.wanted))[level.of]
+        return out
+
 
 def _bits_of(table: pa.Table) -> dict[int, dict[int, bytes]]:
     out: dict[int, dict[int, bytes]] = {}
@@ -97,23 +118,29 @@ def _bits_of(table: pa.Table) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def _send(k: int, lengths: list[int], buckets: int):
-    last = k == len(lengths) - 1
+_KEY_BYTES = 3  # of windows shorter than the wanted one
+
 
+def _send(k: int, ladder: _Ladder, buckets: int):
     def rows(docs: pa.Table, answers: pa.Table | None = None) -> pa.Table:
         out = {name: [] for name in _SENT_ARROW.names}
         if docs.num_rows:
-            block = _Block(docs, lengths, buckets)
+            block = _Block(docs, ladder, buckets)
             level = block.level(k, _bits_of(answers) if answers is not None else {})
+            # a second hash of each window, so that unlike windows are told apart in any corpus
+            second = window_hashes(mix(block.ids), ladder.lengths[k])[level.at[level.first]].astype("<u4") if k >= ladder.wanted else None
             for b, which in level.sent():
-                if last:
-                    p = level.at[level.first[which]]
-                    keys = level.keys[which]
-                    extra = block.doc_ids[block.words.doc[p]].astype("<i8").tobytes() + block.start[p].astype("<u4").tobytes()
-                else:  # enough to choose candidates: equal windows always agree in it
-                    keys = (level.keys[which] // np.uint64(buckets)).astype("<u4")
-                    extra = np.packbits(level.many[which]).tobytes()
-                for name, v in zip(_SENT_ARROW.names, (k, b, docs.column("block")[0].as_py(), keys.tobytes(), extra), strict=True):
+                p, keys = level.at[level.first[which]], level.keys[which]
+                many = np.packbits(level.many[which]).tobytes()
+                if k >= ladder.wanted:
+                    extra = second[which].tobytes() + many
+                    if k == ladder.wanted:
+                        extra += block.doc_ids[block.words.doc[p]].astype("<i8").tobytes() + block.start[p].astype("<u4").tobytes()
+                    keys = keys.tobytes()
+                else:
+                    extra = many
+                    keys = np.ascontiguousarray((keys // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]).tobytes()
+                for name, v in zip(_SENT_ARROW.names, (k, b, docs.column("block")[0].as_py(), keys, extra), strict=True):
                     out[name].append(v)
         return pa.table(out, _SENT_ARROW)
 
@@ -124,49 +151,69 @@ def _alone(send):
     return lambda docs: send(docs)  # of one argument, as groupBy().applyInArrow() wants it
 
 
-def _judge(last: bool):
+def _judge(k: int, wanted: int):
     def rows(table: pa.Table) -> pa.Table:
         blobs, extra = table.column("keys").to_pylist(), table.column("extra").to_pylist()
-        keys = np.frombuffer(b"".join(blobs), "<u8" if last else "<u4")
-        size = [len(x) // (8 if last else 4) for x in blobs]
-        _, of, count = np.unique(keys, return_inverse=True, return_counts=True)
-        if last:  # is it the earliest (doc_id, start) of its window?
-            ids = np.frombuffer(b"".join(x[: 8 * n] for x, n in zip(extra, size, strict=True)), "<i8")
-            start = np.frombuffer(b"".join(x[8 * n :] for x, n in zip(extra, size, strict=True)), "<u4")
-            order = np.lexsort((start, ids, of))
-            first = order[np.append(True, of[order][1:] != of[order][:-1])]  # of each key, in the order of keys
-            yes = (ids == ids[first][of]) & (start == start[first][of])
-        else:  # does it occur twice?
-            many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(extra, size, strict=True)])
-            yes = (count > 1)[of] | many.astype(bool)
+        long = k >= wanted
+        size = [len(x) // (8 if long else _KEY_BYTES) for x in blobs]
+        bits_at = 4 if long else 0
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, (n + 7) // 8, bits_at * n), count=n) for x, n in zip(extra, size, strict=True)]).astype(bool)
+        if long:
+            keys, second = np.frombuffer(b"".join(blobs), "<u8"), np.frombuffer(b"".join(x[: 4 * n] for x, n in zip(extra, size, strict=True)), "<u4")
+        else:
+            low = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, _KEY_BYTES).astype(np.uint32)
+            keys, second = (low << (8 * np.arange(_KEY_BYTES, dtype=np.uint32))).sum(1, dtype=np.uint32), np.zeros(len(low), np.uint32)
+        if k == wanted:
+            tail = [4 * n + (n + 7) // 8 for n in size]
+            ids = np.frombuffer(b"".join(x[t : t + 8 * n] for x, t, n in zip(extra, tail, size, strict=True)), "<i8")
+            start = np.frombuffer(b"".join(x[t + 8 * n :] for x, t, n in zip(extra, tail, size, strict=True)), "<u4")
+            order = np.lexsort((start, ids, second, keys))
+        else:
+            order = np.lexsort((second, keys)) if long else np.argsort(keys, kind="stable")
+        new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (second[order][1:] != second[order][:-1]))
+        group, head = np.cumsum(new) - 1, np.flatnonzero(new)
+        count = np.diff(np.append(head, len(order)))
+        repeated = np.empty(len(order), bool)  # does it occur twice?
+        repeated[order] = (count > 1)[group] | np.maximum.reduceat(many[order], head)[group]
+        answers = [repeated]
+        if k == wanted:  # is it the earliest (doc_id, start) of its window?
+            least = order[head][group]
+            first = np.empty(len(order), bool)
+            first[order] = (ids[order] == ids[least]) & (start[order] == start[least])
+            answers = [first, repeated]
         cut = np.cumsum([0, *size])
-        bits = [np.packbits(yes[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+        bits = [b"".join(np.packbits(x[a:b]).tobytes() for x in answers) for a, b in zip(cut, cut[1:], strict=False)]
         return pa.table([table.column("level"), table.column("bucket"), table.column("block"), pa.array(bits, pa.binary())], schema=_BITS_ARROW)
 
     return rows
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
+_RESULT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>, longest long"
 _RESULT_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-)
+    [
+        ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
+        ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("longest", pa.int64()),
+    ]
+)
 
 
-def _apply(lengths: list[int], buckets: int):
-    k, width = len(lengths) - 1, lengths[-1]
-
+def _apply(ladder: _Ladder, buckets: int):
     def rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _RESULT_ARROW.empty_table()
-        block, bits = _Block(docs, lengths, buckets), _bits_of(answers)
-        level, words = block.level(k, bits), block.words
+        block, bits, k = _Block(docs, ladder, buckets), _bits_of(answers), ladder.wanted
+        level, words, width = block.level(k, bits), block.words, ladder.lengths[k]
         gone = np.zeros(len(block.ids) + 1, np.int64)
+        longest = np.zeros(len(block.doc_ids), np.int64)
         if len(level.at):
             first = level.at[level.first][level.of]
             own = (block.doc_ids[words.doc[first]] == block.doc_ids[words.doc[level.at]]) & (block.start[first] == block.start[level.at])
             away = level.at[~(own & level.answer(bits.get(k, {}))[level.of])]
             gone[away] += 1
             np.subtract.at(gone, away + width, 1)
+            for i in range(k, len(ladder.lengths)):
+                level = level if i == k else block.level(i, bits)
+                longest[words.doc[np.flatnonzero(block.repeated(i, level, bits))]] = ladder.lengths[i]
         gone = np.cumsum(gone)[:-1] > 0
         kept, spans, removed = [], [], []
         data = words.data.tobytes()
@@ -180,38 +227,58 @@ def _apply(lengths: list[int], buckets: int):
             else:
                 spans.append([])
             kept.append(b" ".join(parts).decode())
-        return pa.table([block.table.column("doc_id"), words.counts, removed, kept, spans], schema=_RESULT_ARROW)
+        return pa.table([block.table.column("doc_id"), words.counts, removed, kept, spans, longest], schema=_RESULT_ARROW)
 
     return rows
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, levels: int = 2, block_bytes: int = 3 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, shorter: int = 2, to_the_end: bool = False, block_bytes: int = 3 << 20, bucket_bytes: int = 12 << 20
+) -> DataFrame:
     """Removes words covered by a window of `window` words that also starts earlier.
 
-    The levels have window/2**(levels-1), ..., window/2, window words.  Blocks and buckets
-    have about block_bytes and bucket_bytes of text, which bounds what a task holds.  Returns doc_id,
-    n_words, n_removed, kept (words joined by one space) and spans of removed words
-    [start, end), in words of the input.
+    The levels have window/2**shorter, ..., window/2, window words; with to_the_end also 2,
+    4, 8, ... times the window, until no candidate survives.  Blocks and buckets have about
+    block_bytes and bucket_bytes of text, which bounds what a task holds, and up to 8 times
+    that from 64 GB of text on, so that what a block sends to a bucket doesn't get tiny.
+
+    Returns doc_id, n_words, n_removed, kept (words joined by one space), spans of removed
+    words [start, end), in words of the input, and longest: the longest level at which one
+    of the document's windows occurs elsewhere or twice, 0 for none; at most `window`
+    without to_the_end.  Each longer level is a job that deals the documents again.
 
     Null text: no words, kept is empty.  Empty text and texts shorter than a window: nothing
     is removed.  Null doc_id: sorts before every other.  Rows with an equal doc_id count as
     one place in the order: of two equal windows at the same (doc_id, start) neither is
     earlier.  Empty table: no rows.  Other columns are ignored.
     """
-    lengths = [window >> i for i in range(levels - 1, -1, -1)]
-    if window % (1 << (levels - 1)) or not lengths[0]:
-        raise ValueError("window must be a multiple of 2**(levels-1)")
+    ladder = _Ladder(window, shorter)
     docs = texts(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = math.ceil(total / block_bytes) or 1, math.ceil(total / bucket_bytes) or 1
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    answers = None
-    for k in range(levels):
-        send = _send(k, lengths, buckets)
+    grown = min(8.0, max(1.0, math.sqrt(total / 2**36)))
+    blocks, buckets = math.ceil(total / (block_bytes * grown)) or 1, math.ceil(total / (bucket_bytes * grown)) or 1
+    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+
+    def bits(k: int, answers: DataFrame | None) -> DataFrame:
+        send = _send(k, ladder, buckets)
         sent = placed.groupBy("block").applyInArrow(_alone(send), _SENT) if answers is None else placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, _SENT)
-        bits = sent.groupBy("bucket").applyInArrow(_judge(k == levels - 1), _BITS)
-        answers = bits if answers is None else answers.unionByName(bits)
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_apply(lengths, buckets), _RESULT)
+        return sent.groupBy("bucket").applyInArrow(_judge(k, ladder.wanted), _BITS)
+
+    answers = None
+    for k in range(shorter + 1):
+        own = bits(k, answers)
+        answers = own if answers is None else answers.unionByName(own)
+    if to_the_end:
+        answers, k = saved(answers, "answers"), shorter
+        while True:
+            k += 1
+            ladder = _Ladder(window, shorter, k - shorter)
+            own = saved(bits(k, answers), "answers")
+            if own.isEmpty():
+                ladder = _Ladder(window, shorter, k - 1 - shorter)
+                break
+            answers = answers.unionByName(own)
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_apply(ladder, buckets), _RESULT)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
