@@ -92,24 +92,26 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
-def restore_word(word: str, model: np.ndarray, beam: int = 48, wide: list[bool] | None = None) -> str:
-    """The Viterbi path through the lattice of one lower-case word.
+def arcs_of(word: str, i: int) -> list[tuple[str, int, float]]:
+    """What character i of a word may stand for: (text, its code or -1 for none, channel cost)."""
+    c = word[i]
+    again = i > 0 and word[i - 1] == c
+    if c.isalpha():
+        return [(c, ord(c) - 96 if "a" <= c <= "z" else _OTHER, 0.0), *[("", -1, _UNDOUBLE)] * again]
+    return [*[(x, ord(x) - 96, _SUBSTITUTE) for x in LEET.get(c, "")], *[("", -1, _SKIP)] * (c in _SEPARATORS or again), (c, _OTHER, _STAY)]
 
+
+def restore_word(word: str, model: np.ndarray, wide: list[bool] | None = None) -> str:
+    """The Viterbi path through the lattice of one lower-case word, exact over all states.
+
+    A state is the last three characters put out, and holds the cheapest way to it with a
+    link backwards, so the work is linear in the word.
     With `wide`, word is a run of spaced characters, each of which may begin a new word:
     wide[i] says whether the space before character i + 1 is wider than others of the run.
     """
     states: dict[tuple, tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}  # what is put out is linked backwards
-    for i, c in enumerate(word):
-        arcs: list[tuple[str, int, float]] = []
-        if c.isalpha():
-            arcs.append((c, ord(c) - 96 if "a" <= c <= "z" else _OTHER, 0.0))
-            if i and word[i - 1] == c:
-                arcs.append(("", -1, _UNDOUBLE))
-        else:
-            arcs += [(x, ord(x) - 96, _SUBSTITUTE) for x in LEET.get(c, "")]
-            if c in _SEPARATORS or (i and word[i - 1] == c):
-                arcs.append(("", -1, _SKIP))
-            arcs.append((c, _OTHER, _STAY))
+    for i in range(len(word)):
+        arcs = arcs_of(word, i)
         starts = [(k, cost, out, arcs) for k, (cost, out) in states.items()]
         if wide is not None and i:
             edges = [(cost + float(model[(*k, _EDGE)]) + (0.0 if wide[i - 1] else _SPLIT), out) for k, (cost, out) in states.items() if k[2] != _EDGE]
@@ -124,7 +126,7 @@ def restore_word(word: str, model: np.ndarray, beam: int = 48, wide: list[bool]
                 total = cost + price + (0.0 if code < 0 else float(model[a, b, d, code]))
                 if key not in after or total < after[key][0]:
                     after[key] = (total, (out, text) if text else out)
-        states = dict(sorted(after.items(), key=lambda kv: kv[1][0])[:beam])
+        states = after
     _, out = min(((cost + float(model[(*k, _EDGE)]), out) for k, (cost, out) in states.items()), key=lambda x: x[0])
     found = []
     while out:

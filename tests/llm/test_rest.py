@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -159,6 +160,98 @@ def test_words_are_restored(model, seen, meant):
     assert tox.restore_word(seen, model) == meant
 
 
+def every_path(word, model, wide=None):
+    """The cheapest reading of a lattice by trying all of them."""
+    best = (float("inf"), "")
+    codes = [[a for a in tox.arcs_of(word, i)] for i in range(len(word))]
+    for own in itertools.product(*codes):
+        for edges in itertools.product((False, True), repeat=len(word) - 1 if wide else 0):
+            cost, text, last = 0.0, "", (0, 0, 0)
+            for i, (out, code, price) in enumerate(own):
+                if wide and i:
+                    if edges[i - 1]:
+                        if last[2] == 0 or code < 0:
+                            break
+                        cost, text, last = cost + float(model[(*last, 0)]) + (0.0 if wide[i - 1] else tox._SPLIT), text + " ", (0, 0, 0)
+                    else:
+                        cost += tox._JOIN * wide[i - 1]
+                if code >= 0:
+                    cost, last = cost + float(model[(*last, code)]), (*last[1:], code)
+                cost, text = cost + price, text + out
+            else:
+                best = min(best, (cost + float(model[(*last, 0)]), text), key=lambda x: x[0])
+    return best
+
+
+def cost_of(word, got, model, wide=None):
+    """The least cost of the paths that put out a given text."""
+    costs = {}
+    for own in itertools.product(*[tox.arcs_of(word, i) for i in range(len(word))]):
+        text = "".join(o for o, _, _ in own)
+        last, cost = (0, 0, 0), 0.0
+        for _, code, price in own:
+            if code >= 0:
+                cost, last = cost + float(model[(*last, code)]), (*last[1:], code)
+            cost += price
+        cost += float(model[(*last, 0)])
+        costs[text] = min(cost, costs.get(text, cost))
+    return costs[got]
+
+
+def test_viterbi_finds_the_cheapest_of_all_paths(model):
+    rng = random.Random(8)
+    for _ in range(150):
+        word = "".join(rng.choice("aaidotsrn014!$@.6|") for _ in range(rng.randint(1, 7)))
+        got = tox.restore_word(word, model)
+        if got != word:
+            assert abs(cost_of(word, got, model) - every_path(word, model)[0]) < 1e-4
+
+
+def test_viterbi_of_spaced_runs(model):
+    rng = random.Random(9)
+    for _ in range(60):
+        word = "".join(rng.choice("youaid1t0s$") for _ in range(rng.randint(2, 5)))
+        wide = [rng.random() < 0.4 for _ in word[1:]]
+        assert tox.restore_word(word, model, wide=wide) == every_path(word, model, wide)[1]
+
+
+def test_long_words_take_linear_time(model):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        tox.restore_word("a1b!x0z9" * (n // 8), model)
+        return time.process_time() - began
+
+    seconds(800)
+    assert seconds(32_000) < 8 * seconds(8_000)
+
+
+def test_score_is_a_plain_noisy_or():
+    """Whole words and their first 3 to 10 bytes, each known one once a text."""
+    import pyarrow as pa
+
+    texts = [b"zorkling abc zork", b"", b"zorkling zorkling", b"abc", "é漢zork".encode()]
+    weights = {b"zorkling": 0.9, b"zork": 0.7, b"abc": 0.2}
+    hashed = {}
+    for w in weights:
+        h, _ = tox._features([w])
+        hashed[w] = h[0]  # the whole word's
+    prefix = tox._features([b"zorkling"])[0][1 + [3, 4, 5, 6, 7].index(5)]
+    scorer = tox.Scorer(None, np.array([*hashed.values(), prefix], np.uint64), np.array([*weights.values(), 0.5]))
+
+    def plain(text):
+        p = 1.0
+        found = {w for w in text.split()}
+        for w, x in weights.items():
+            p *= 1 - x if w in found else 1
+        if any(w.startswith(b"zorkl") and len(w) > 5 for w in found):
+            p *= 0.5
+        return 1 / (1 + np.exp(-(scorer.slope * -np.log(p) + scorer.shift)))
+
+    assert np.allclose(scorer(texts), [plain(t) for t in texts])
+
+
 def test_texts_are_restored(model):
     import pyarrow as pa
 
