@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorweave.llm.common import texts
+from factorweave.llm.common import scratch, texts
 from factorweave.llm.words import pieces, text_buffer
 
 #: Bytes of a payload are stored as the samples of a gray image of this width.
@@ -53,6 +53,10 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     w, h, most = (*fields, 1)[:3]
     depth = 3 if kind in (3, 6) else 1
+    if not 0 < most < 1 << 16:
+        raise ValueError(f"Netpbm samples of up to {most}")
+    if not 0 < w * h * depth <= 8 * len(data):
+        raise ValueError(f"Netpbm of {w} x {h} in {len(data)} bytes")
     if kind == 1:
         out = np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:]), np.uint8)[: w * h] - 0x30
     elif kind in (2, 3):
@@ -64,6 +68,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         out = np.frombuffer(data, np.uint8 if most < 256 else ">u2", w * h * depth, at + 1)
     if out.size != w * h * depth:
         raise ValueError("Netpbm samples are cut short")
+    if out.max() > most:
+        raise ValueError("Netpbm samples beyond their maximum")
     if kind in (1, 4):
         out = 1 - out  # 1 is black
     if most != 255:
@@ -77,6 +83,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if packed or bits not in (1, 4, 8, 24, 32):
         raise ValueError(f"BMP of {bits} bits, compression {packed}")
     row = -(-w * bits // 32) * 4
+    if w <= 0 or not 0 < row * abs(h) <= len(data):
+        raise ValueError(f"BMP of {w} x {h} in {len(data)} bytes")
     raw = np.frombuffer(data, np.uint8, row * abs(h), start).reshape(abs(h), row)
     raw = raw[::-1] if h > 0 else raw
     if bits >= 24:
@@ -187,7 +195,7 @@ def media_features(images: DataFrame, id_col: str = "doc_id", media_col: str = "
                         image = decode(data)
                         small = np.clip(np.rint(area_resize(image, min(tile, image.shape[0]), min(tile, image.shape[1]))), 0, 255)
                         got = (image.tobytes(), npy(small.astype(np.uint8)), difference_hash(image), None)
-                    except (ValueError, struct.error, ZeroDivisionError) as e:
+                    except (ValueError, struct.error, ArithmeticError, LookupError) as e:
                         got = (None, None, None, str(e))
                     for c, v in zip(out.values(), got, strict=True):
                         c.append(v)
@@ -197,18 +205,22 @@ def media_features(images: DataFrame, id_col: str = "doc_id", media_col: str = "
     return images.mapInArrow(rows, schema)
 
 
-def write_tiles(features: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """The NPY tiles as a Parquet table of (id, tile) at path."""
-    features.select(id_col, "tile").write.mode("overwrite").parquet(path)
+def write_tiles(features: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Writes the NPY tiles with other columns, by default doc_id, as Parquet at path; that table."""
+    tiles = features.select(*(columns or ["doc_id"]), "tile")
+    tiles.write.mode("overwrite").parquet(path)
+    return tiles.sparkSession.read.schema(tiles.schema).parquet(path)
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
     out = media_features(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return out.select(
+    out = out.select(
         "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(samples, -64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), F.col("dhash").alias("feature"), F.sha2("tile", 256).alias("tile_sha256"),
+        F.sha2("media", 256).alias("media_sha256"), F.col("dhash").alias("feature"), "tile",
     )
+    tiles = write_tiles(out, scratch(spark, "tiles"), [c for c in out.columns if c != "tile"])
+    return tiles.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 QUERIES = {"op2_media": op2_media}

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -23,12 +24,19 @@ def test_other_netpbm_forms():
     assert media.decode(b"P5 2 1 65535\n" + bytes([0, 0, 255, 255])).tolist() == [[0, 255]]
 
 
-@pytest.mark.parametrize("data", [b"", b"P5", b"P5 2 2 255\n\x01", b"GIF89a", b"BM123", b"P9 1 1"])
+@pytest.mark.parametrize("data", [b"", b"P5", b"P5 2 2 255\n\x01", b"GIF89a", b"BM123", b"P9 1 1", b"P5 99999999999999999999 1 255\n\0", b"P5 1 1 0\n\0", b"P2 1 1 15 99", b"P2 1 1 255 99999999999999999999", b"P5 0 0 255\n"])
 def test_bad_images(data):
-    with pytest.raises(Exception):
+    with pytest.raises((ValueError, ArithmeticError, LookupError, struct.error)):
         media.decode(data)
 
 
+def test_huge_bmp_sizes_are_refused():
+    data = bytearray(media.encode_bmp(np.zeros((4, 4), np.uint8)))
+    data[18:26] = struct.pack("<ii", 2**31 - 1, 2**31 - 1)
+    with pytest.raises(ValueError, match="BMP of"):
+        media.decode(bytes(data))
+
+
 @pytest.mark.parametrize(("h", "w", "strip"), [(10, 7, 3), (64, 64, 1 << 14), (3, 64, 2), (100, 5, 1)])
 def test_area_resize_is_the_mean_over_areas(h, w, strip):
     x = np.random.default_rng(2).integers(0, 256, (h, w)).astype(float)
@@ -51,9 +59,9 @@ def test_stored_texts(docs, odd):
 
 
 def test_bad_media_are_null(spark):
-    df = spark.createDataFrame([(1, None), (2, b"nonsense"), (3, media.encode_bmp(np.zeros((4, 4), np.uint8)))], "doc_id long, media binary")
+    df = spark.createDataFrame([(1, None), (2, b"nonsense"), (4, b"P5 99999999999999999999 1 255\n\0"), (5, b"P5 1 1 0\n\0"), (6, b"P2 1 1 255 x"), (3, media.encode_bmp(np.zeros((4, 4), np.uint8)))], "doc_id long, media binary")
     got = {r.doc_id: (r.tile is None, r.error is None) for r in media.media_features(df).collect()}
-    assert got == {1: (True, False), 2: (True, False), 3: (False, True)}
+    assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (True, False), 5: (True, False), 6: (True, False)}
 
 
 def test_query_digests(spark, sf):
@@ -64,9 +72,14 @@ def test_query_digests(spark, sf):
         raw = texts[r.doc_id].encode()
         padded = raw + b"\0" * (r.payload_bytes - len(raw))
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+        assert r.media_sha256 == hashlib.sha256(media.encode_pgm(image)).hexdigest() and r.feature == media.difference_hash(image)
+        tile = np.clip(np.rint(media.area_resize(image, min(32, len(image)), 32)), 0, 255).astype(np.uint8)
+        assert r.tile_sha256 == hashlib.sha256(media.npy(tile)).hexdigest()
 
 
 def test_tiles_are_written(spark, docs, tmp_path):
-    media.write_tiles(media.media_features(media.store_texts(docs([(1, "abc"), (2, None)]))), str(tmp_path / "tiles"))
+    written = media.write_tiles(media.media_features(media.store_texts(docs([(1, "abc"), (2, None)]))), str(tmp_path / "tiles"))
+    assert written.columns == ["doc_id", "tile"]
     tiles = {r.doc_id: np.load(io.BytesIO(r.tile)) for r in spark.read.parquet(str(tmp_path / "tiles")).collect()}
     assert tiles[1].shape == (1, 32) and not tiles[2].any()
