@@ -8,6 +8,8 @@ path is DataFrame functions only.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ _ROUNDS = 8
 #: What is looked for, in order of preference where values overlap.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,6})(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<by>[ -])[0-9]{4}\k<by>[0-9]{4}\k<by>[0-9]{1,7}|[0-9]{4}(?<of>[ -])[0-9]{6}\k<of>[0-9]{5})(?![0-9])",
@@ -103,7 +105,7 @@ def _stages(key: str, sign: int) -> list[str]:
     fits = lambda x: f"coalesce(year({x}) between 1700 and 2099, false)"
     kind = f"""case
         when contains(s.m, '@') then 'email'
-        when s.m rlike '^[A-Z]' then if({_mod97("(substr(s.m, 5) || substr(s.m, 1, 4))")} = 1, 'iban', null)
+        when s.m rlike '^[A-Z]' then if(length(s.c) between 15 and 34 and {_mod97("(substr(s.c, 5) || substr(s.c, 1, 4))")} = 1, 'iban', null)
         when s.m rlike '^[0-9a-f]{{32,}}$' then if(s.m rlike '[a-f]' and s.m rlike '[0-9]', 'secret', null)
         when startswith(s.m, '+') then case when s.d rlike '^1[2-9][0-9][0-9][2-9][0-9]{{6}}$' then 'nanp' when length(s.d) between 8 and 15 then 'phone' end
         when s.m rlike {_quoted(_ISO)} then if({fits(_ymd(0, 1, 2))}, 'iso', null)
@@ -115,7 +117,7 @@ def _stages(key: str, sign: int) -> list[str]:
         end"""
     body = """case s.kind when 'card' then substr(s.d, 1, length(s.d) - 1) when 'phone' then substr(s.d, 3) when 'nanp' then right(s.d, 10) when 'ssn' then s.d else '' end"""
     day = f"datediff(case s.kind when 'iso' then {_ymd(0, 1, 2)} when 'dmy' then {_ymd(2, 1, 0)} when 'mdy' then {_ymd(2, 0, 1)} end, {_ORIGIN}) - if(s.kind = 'mdy', 12 * ((cast(s.cut[2] as int) - 1700) * 12 + cast(s.cut[0] as int)), 0)"
-    word = "case s.kind when 'email' then regexp_replace(s.m, '[.][A-Za-z]+$', '') when 'iban' then substr(s.m, 5) when 'secret' then s.m else '' end"
+    word = "case s.kind when 'email' then regexp_replace(s.m, '[.][A-Za-z]+$', '') when 'iban' then substr(s.c, 5) when 'secret' then s.m else '' end"
     part = lambda x, i, n: f"cast(substr({x}, {i}, {n}) as bigint)"
     half = "length(s.body) div 2"
     by_kind = lambda digits, nanp, ssn, ip, date: f"case when s.kind in ('card', 'phone') then {digits} when s.kind = 'nanp' then {nanp} when s.kind = 'ssn' then {ssn} when s.kind = 'ip' then {ip} when s.day is not null then {date} end"
@@ -138,11 +140,13 @@ def _stages(key: str, sign: int) -> list[str]:
     date = f"if(s.kind = 'mdy', {late_date}, date_add({_ORIGIN}, cast(s.p.l * 773 + s.p.r as int)))"
     checked = f"if(s.kind = 'card', concat(s.new, (10 - {_luhn('s.new', 1)} % 10) % 10), s.new)"
     mark = "regexp_extract(s.m, '[/.]', 0)"
+    bare = f"concat(substr(s.m, 1, 2), lpad(98 - {_mod97("(s.w || substr(s.m, 1, 2) || '00')")}, 2, '0'), s.w)"
+    iban = f"if(contains(s.m, ' '), trim(regexp_replace({bare}, '(.{{4}})', '$1 ')), {bare})"
     slashed = lambda x, y: f"if(length(s.m) = 10, date_format(s.date, concat('{x}', {mark}, '{y}', {mark}, 'yyyy')), concat_ws({mark}, cast(date_format(s.date, '{x}') as int), cast(date_format(s.date, '{y}') as int), date_format(s.date, 'yyyy')))"
     out = f"""case s.kind
         when 'email' then concat(s.w, regexp_extract(s.m, '[.][A-Za-z]+$', 0))
         when 'secret' then s.w
-        when 'iban' then concat(substr(s.m, 1, 2), lpad(98 - {_mod97("(s.w || substr(s.m, 1, 2) || '00')")}, 2, '0'), s.w)
+        when 'iban' then {iban}
         when 'ip' then concat_ws('.', s.p.l div 256, s.p.l % 256, s.p.r div 256, s.p.r % 256)
         when 'iso' then date_format(s.date, 'yyyy-MM-dd')
         when 'dmy' then {slashed("dd", "MM")}
@@ -152,8 +156,8 @@ def _stages(key: str, sign: int) -> list[str]:
         end"""
     name = "case when s.kind in ('iso', 'dmy', 'mdy') then 'date' when s.kind = 'nanp' then 'phone' else s.kind end"
     return [
-        more(m="s", d="regexp_replace(s, '[^0-9]', '')", cut="split(s, '[-/.]')"),
-        more(m="s.m", d="s.d", cut="s.cut", kind=kind),
+        more(m="s", c="replace(s, ' ', '')", d="regexp_replace(s, '[^0-9]', '')", cut="split(s, '[-/.]')"),
+        more(m="s.m", c="s.c", d="s.d", cut="s.cut", kind=kind),
         more(m="s.m", d="s.d", cut="s.cut", kind="s.kind", body=body, day=day, word=word),
         more(m="s.m", d="s.d", kind="s.kind", body="s.body", word="s.word", tweak=tweak, l=le, r=ri, a=a, b=b),
         more(m="s.m", d="s.d", kind="s.kind", body="s.body", p=_cipher_pair(key, sign), w=_cipher_word(key, sign)),
@@ -174,7 +178,9 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", restore: boo
     of the name pii_kinds is replaced.  Rows are neither dropped nor merged.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    names = [f"__pii{i}" for i in range(9)]  # dropped again; they clash with nothing sensible
+    taken = {c.lower() for c in docs.columns}
+    mark = next(m for m in (f"pii{k}_" for k in count()) if not any(c.startswith(m) for c in taken))
+    names = [f"{mark}{i}" for i in range(9)]  # dropped again
     none = F.expr("cast(array() as array<string>)")
     out = docs.withColumn(names[0], F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none))
     for i, fields in enumerate(_stages(_quoted(key), -1 if restore else 1)):
