@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factorweave.llm.common import ordered, saved, sums_before
 
+
 def group_sums(rows: DataFrame) -> DataFrame:
     """Groups (first, key, bytes, members) with the bytes and rows of all groups before them."""
     groups = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("members"))
@@ -26,14 +27,22 @@ def group_sums(rows: DataFrame) -> DataFrame:
     )
 
 
-def _walk(sums: DataFrame, capacities: list[int], shards: int) -> list[list[int]]:
-    """For each capacity the bytes before each cut of a greedy walk: a job for each shard, over all capacities."""
+def _walk(sums: DataFrame, capacities: list[int], shards: int, total: int, most: int) -> list[list[int]]:
+    """For each capacity the bytes before each cut of a greedy walk: a job for each shard, over all capacities.
+
+    The stored groups are in order of bytes_before.  The last group that fits begins less than
+    two of the largest groups before the shard's bound, so a job reads no other row groups.
+    """
     at = [[0] for _ in capacities]
     end = F.col("bytes_before") + F.col("bytes")
     for _ in range(shards):
-        got = sums.agg(*[F.max(F.when(end <= F.lit(c + a[-1]).cast("long"), end)).alias(f"c{i}") for i, (c, a) in enumerate(zip(capacities, at, strict=True))]).first()
-        for a, x in zip(at, got, strict=True):
-            a.append(max(a[-1], x or 0))
+        bounds = [c + a[-1] for c, a in zip(capacities, at, strict=True) if c + a[-1] < total]
+        if not bounds:
+            return [[*a, total] for a in at]
+        near = sums.where((F.col("bytes_before") >= F.lit(min(bounds) - 2 * most).cast("long")) & (F.col("bytes_before") <= F.lit(max(bounds)).cast("long")))
+        got = near.agg(*[F.max(F.when(end <= F.lit(c + a[-1]).cast("long"), end)).alias(f"c{i}") for i, (c, a) in enumerate(zip(capacities, at, strict=True))]).first()
+        for c, a, x in zip(capacities, at, got, strict=True):
+            a.append(total if c + a[-1] >= total else max(a[-1], x or 0))
     return at
 
 
@@ -45,12 +54,12 @@ def cuts(sums: DataFrame, shards: int, ways: int = 16) -> list[int]:
     low, high = max(most, -(-total // shards)), -(-total // shards) + most  # the second is always enough
     while low < high:
         tried = sorted({low + (high - low) * i // ways for i in range(ways)})
-        enough = [a[-1] == total for a in _walk(sums, tried, shards)]
+        enough = [a[-1] == total for a in _walk(sums, tried, shards, total, most)]
         k = enough.index(True) if True in enough else len(tried)
         high, low = (tried[k] if k < len(tried) else high), (tried[k - 1] + 1 if k else low)
         if k == 0:
             break
-    at = _walk(sums, [high], shards)[0]
+    at = _walk(sums, [high], shards, total, most)[0]
     return sorted(set(at[:-1]) - {total})
 
 
