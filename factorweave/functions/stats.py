@@ -112,18 +112,6 @@ def f_p(f: float | None, d1: int, d2: int) -> float | None:
     return None if f is None or d1 < 1 or d2 < 1 else beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-def anova_f(groups: list[tuple[int, float, float]]) -> tuple[float | None, int, int]:
-    """(F, d1, d2) of a one-way layout from (n, sum, sum of squares) of each group."""
-    groups = [g for g in groups if g[0]]
-    n, s = sum(g[0] for g in groups), sum(g[1] for g in groups)
-    d1, d2 = len(groups) - 1, n - len(groups)
-    if d1 < 1 or d2 < 1:
-        return None, d1, d2
-    between = sum(g[1] ** 2 / g[0] for g in groups) - s * s / n
-    within = sum(g[2] - g[1] ** 2 / g[0] for g in groups)
-    return (between / d1) / (within / d2) if within > 0 else None, d1, d2
-
-
 def quantile_edges(df: DataFrame, col: str, groups: int, by: list[str] | None = None) -> DataFrame:
     """One row (for each `by`) with the array `edges` of the inner quantiles, linearly interpolated."""
     shares = [i / groups for i in range(1, groups)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorweave.functions.stats import DAY, SECU, anova_f, bucket, f_p, finite, proportion_p, quantile_edges, ratio, tvalue
+from factorweave.functions.stats import DAY, SECU, bucket, f_p, finite, proportion_p, quantile_edges, ratio, tvalue
 
 
 def day_numbers(df: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def _winsorised(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows with `held`: values beyond the 5% and 95% quantiles of `by` count as these."""
     ends = rows.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))  # a row for each lag and group
     value, low, high = F.col("value"), F.col("q")[0], F.col("q")[1]
-    return rows.join(F.broadcast(ends), by).withColumn("held", F.when(value.isNotNull(), F.greatest(F.least(value, high), low)))
+    return rows.join(ends, by).withColumn("held", F.when(value.isNotNull(), F.greatest(F.least(value, high), low)))
 
 
 def event_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -96,22 +96,39 @@ def with_win_p(summary: DataFrame, expected: float = 0.445) -> DataFrame:
     return summary.mapInPandas(rows, T.StructType([*summary.schema.fields, T.StructField("p_win", T.DoubleType())]))
 
 
-def group_tests(rows: DataFrame) -> DataFrame:
-    """(lag, p_mean, p_clip, p_win): do groups differ in value, winsorised value and win rate?
+_TESTED = ("mean", "clip", "win")
+
+
+def group_f(rows: DataFrame) -> DataFrame:
+    """(lag, d1, d2, f_mean, f_clip, f_win): one-way layouts of value, winsorised value and win rate by group.
 
-    One-way layouts from the groups' sums; the sums have a row for each lag and group.
+    d1 and d2 are the degrees of freedom of all three.  F is null without two groups, without
+    a row beyond the groups' means, or where nothing varies within the groups.
     """
     win = F.when(F.col("value").isNotNull(), (F.col("value") > 0).cast("double"))
-    held = _winsorised(rows, ["lag"]).withColumn("win", win)
-    sums = held.groupBy("lag", "grp").agg(*[x.alias(f"{c}_{k}") for c in ("value", "held", "win") for k, x in (("n", F.count(c)), ("s", F.sum(c)), ("q", F.sum(F.col(c) * F.col(c))))])
-    by_lag: dict[str, list] = {}
-    for r in sums.where("grp is not null").collect():
-        by_lag.setdefault(r["lag"], []).append(r)
-    out = []
-    for lag, own in sorted(by_lag.items()):
-        p = [f_p(*anova_f([(r[f"{c}_n"], r[f"{c}_s"] or 0.0, r[f"{c}_q"] or 0.0) for r in own])) for c in ("value", "held", "win")]
-        out.append((lag, *p))
-    return rows.sparkSession.createDataFrame(out, "lag string, p_mean double, p_clip double, p_win double")
+    held = _winsorised(rows, ["lag"]).withColumn("win", win).where("grp is not null and value is not null")
+    of = dict(zip(_TESTED, ("value", "held", "win"), strict=True))
+    sums = held.groupBy("lag", "grp").agg(F.count("value").alias("n"), *[f(F.col(c)).alias(f"{k}_{name}") for name, c in of.items() for k, f in (("s", F.sum), ("q", lambda x: F.sum(x * x)))])
+    d1, d2 = F.count("*") - 1, F.sum("n") - F.count("*")
+
+    def statistic(name: str) -> Column:
+        s, parts = F.col(f"s_{name}"), F.sum(F.col(f"s_{name}") * F.col(f"s_{name}") / F.col("n"))
+        between, within = parts - F.sum(s) * F.sum(s) / F.sum("n"), F.sum(f"q_{name}") - parts
+        return F.when((d1 >= 1) & (d2 >= 1) & (within > 0), ratio(ratio(between, d1), ratio(within, d2)))
+
+    return sums.groupBy("lag").agg(d1.alias("d1"), d2.alias("d2"), *[statistic(c).alias(f"f_{c}") for c in _TESTED])
+
+
+def group_tests(rows: DataFrame) -> DataFrame:
+    """(lag, p_mean, p_clip, p_win): do groups differ in value, winsorised value and win rate?"""
+
+    def p_values(batches):
+        for pdf in batches:  # of a row for each lag
+            for c in _TESTED:
+                pdf[f"p_{c}"] = [f_p(None if f != f else f, int(a), int(b)) for f, a, b in zip(pdf[f"f_{c}"].astype(float), pdf["d1"], pdf["d2"], strict=True)]
+            yield pdf[["lag", *[f"p_{c}" for c in _TESTED]]]
+
+    return group_f(rows).mapInPandas(p_values, "lag string, p_mean double, p_clip double, p_win double")
 
 
 def event_path(summary: DataFrame) -> DataFrame:

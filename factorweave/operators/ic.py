@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,7 +129,8 @@ def group_box(rows: DataFrame, groups: int = 10) -> DataFrame:
 
 
 def batch_ic(df: DataFrame, factor_cols: list[str], threshold: float = 0.0) -> DataFrame:
-    """One row a factor: ic, t_value, rank_ic, winning_rate, n_days, mean_count; of |ic| % above threshold.
+    """One row a factor of |ic| % above threshold: ic, t_value, ic_pos, ic_neg, rank_ic, icir,
+    winning_rate, ic_min, ic_max, n_days and mean_count.
 
     All factors share one plan keyed by (factor, day).  Factors are z-scored without a clip.
     A factor without a valid day has ic null and is kept, as an error.
@@ -138,14 +140,45 @@ def batch_ic(df: DataFrame, factor_cols: list[str], threshold: float = 0.0) -> D
     rows = long.where("f is not null and r is not null")
     w = Window.partitionBy(*keys)
     rows = rows.withColumns({"zf": zscore(F.col("f"), w), "zr": clip(zscore(F.col("r"), w), -3.0, 3.0), "rf": pct_rank(F.col("f"), keys), "rr": pct_rank(F.col("r"), keys)})
-    daily = rows.groupBy(*keys).agg(F.avg(F.col("zf") * F.col("zr")).alias("ic"), corr(F.col("rf"), F.col("rr")).alias("rank_ic"), F.count("*").alias("n"))
+    ic = F.col("zf") * F.col("zr")
+    daily = rows.groupBy(*keys).agg(
+        F.avg(ic).alias("ic"), corr(F.col("rf"), F.col("rr")).alias("rank_ic"), F.count("*").alias("n"),
+        F.sum(F.when(F.col("zf") >= 0, ic)).alias("pos"), F.sum(F.when(F.col("zf") <= 0, ic)).alias("neg"), F.count(ic).alias("valid"),
+    )
     got = daily.groupBy("factor").agg(
-        (F.avg("ic") * 100).alias("ic"), tvalue(F.col("ic")).alias("t_value"), (F.avg("rank_ic") * 100).alias("rank_ic"), (win_rate(F.col("ic")) * 100).alias("winning_rate"), F.count("ic").alias("n_days"), F.avg("n").alias("mean_count")
-    )
+        (F.avg("ic") * 100).alias("ic"), tvalue(F.col("ic")).alias("t_value"), (ratio(F.sum("pos"), F.sum("valid")) * 100).alias("ic_pos"), (ratio(F.sum("neg"), F.sum("valid")) * 100).alias("ic_neg"),
+        (F.avg("rank_ic") * 100).alias("rank_ic"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), (win_rate(F.col("ic")) * 100).alias("winning_rate"),
+        (F.min("ic") * 100).alias("ic_min"), (F.max("ic") * 100).alias("ic_max"), F.count("ic").alias("n_days"), F.avg("n").alias("mean_count"),
+    )
     names = df.sparkSession.createDataFrame([(c,) for c in factor_cols], "factor string")
     return names.join(got, "factor", "left").where(F.col("ic").isNull() | (F.abs("ic") > threshold))
 
 
+@dataclass
+class BatchReport:
+    """rows: batch_ic of the factors that have an IC, largest |ic| first; corr: their correlations, if wanted; failed: the others."""
+
+    rows: DataFrame
+    corr: DataFrame | None
+    failed: list[str]
+
+
+def batch_report(df: DataFrame, factor_cols: list[str], threshold: float = 0.0, most_corr: int = 30, force_corr: bool = False) -> BatchReport:
+    """batch_ic with the list of factors that have no valid day, and the correlations of the others.
+
+    Correlations are left out for more than `most_corr` factors unless they are forced.
+    """
+    table = batch_ic(df, factor_cols, threshold).persist()  # a row a factor
+    try:
+        found = [(r["factor"], r["ic"]) for r in table.select("factor", "ic").collect()]
+        rows = df.sparkSession.createDataFrame(table.where("ic is not null").orderBy(F.desc(F.abs("ic")), "factor").collect(), table.schema)
+    finally:
+        table.unpersist()
+    known = sorted(f for f, ic in found if ic is not None)
+    wanted = len(known) > 1 and (force_corr or len(known) <= most_corr)
+    return BatchReport(rows, factor_corr(df, known) if wanted else None, sorted(f for f, ic in found if ic is None))
+
+
 def factor_corr(df: DataFrame, factor_cols: list[str]) -> DataFrame:
     """(a, b, corr) of each pair of factors, over the rows that have both."""
     pairs = list(combinations(factor_cols, 2))

@@ -67,10 +67,12 @@ def return_report(daily: DataFrame) -> DataFrame:
     """Annualised returns in %, winning rate, turnover, Sharpe and IR; total and by year.
 
     The IR of the total is scaled by the root of its days, that of a year by that of 242.
-    The three total returns are for the total only.
+    The three total returns are for the total only.  A leg that loses all or more than all it
+    has (its compounded product is not above 0) has no annual rate: null.
     """
     ls, n = F.col("long_short_ret"), F.count("*")
-    annual = lambda c: (F.pow(F.product(1 + F.col(c)), F.lit(float(YEAR)) / n) - 1) * 100
+    product = lambda c: F.product(1 + F.col(c))
+    annual = lambda c: (F.when(product(c) > 0, F.pow(product(c), F.lit(float(YEAR)) / n)) - 1) * 100
     whole = lambda c: (F.product(1 + F.col(c)) - 1) * 100
     scale = F.when(F.grouping("y") == 1, F.sqrt(n)).otherwise(F.sqrt(F.lit(float(YEAR))))
     total_only = lambda c: F.when(F.grouping("y") == 1, whole(c))
@@ -110,6 +112,23 @@ def layer_cumulative(layers: DataFrame) -> DataFrame:
     return own.select(DAY, "layer", F.sum("ret").over(run).alias("cum_ret")).unionByName(zero.select(DAY, "layer", "cum_ret"))
 
 
+def notable_factors(df: DataFrame, groups: int, threshold: dict[str, float]) -> DataFrame:
+    """(file, universe, first, last, notable) of a folder of factors, in one plan.
+
+    df has file, universe, SecuCode, TradingDay, factor and ret.  first and last are the
+    cumulative returns, over the market's, of the lowest and highest of `groups` equal-count
+    layers by day; notable: the larger is above the universe's threshold.
+    """
+    keys = ["file", "universe"]
+    x = df.select(*keys, SECU, DAY, finite(F.col("factor")).alias("f"), "ret").where("f is not null and ret is not null")
+    day = Window.partitionBy(*keys, DAY)
+    x = x.withColumns({"layer": F.ntile(groups).over(day.orderBy("f", SECU)), "over": F.col("ret") - F.avg("ret").over(day)})
+    daily = x.where(F.col("layer").isin(1, groups)).groupBy(*keys, DAY, "layer").agg(F.avg("over").alias("over"))
+    ends = daily.groupBy(*keys).agg(*[F.sum(F.when(F.col("layer") == k, F.col("over"))).alias(c) for k, c in ((1, "first"), (groups, "last"))])
+    least = F.element_at(F.create_map(*[F.lit(v) for kv in threshold.items() for v in kv]), F.col("universe"))
+    return ends.withColumn("notable", F.coalesce(F.greatest("first", "last") > least, F.lit(False)))
+
+
 def notable_layers(cumulative: dict[str, DataFrame], groups: int, threshold: dict[str, float] | float) -> dict[str, bool]:
     """For each universe whether its first or last layer ends above the threshold."""
     out = {}

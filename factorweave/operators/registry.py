@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -59,34 +61,69 @@ def _window(f: Callable[[Column, WindowSpec, int], Column]) -> Callable[..., Bui
 
 
 def _array(f: Callable[[Column, Column, int], Column]) -> Callable[..., Built]:
-    """An operator over the array of a full window and its mean."""
+    """An operator over the array of a full window and its mean; equal helpers are shared by the compiler."""
 
     def build(x: Column, n: int) -> Built:
         w = history(n)
-        helpers = {"values": _full(x, n, F.collect_list(x).over(w)), "mean": _full(x, n, F.avg(x).over(w))}
+        helpers = {"values": _full(x, n, F.collect_list(x).over(w)), "mean": F.avg(x).over(w)}
         return helpers, lambda values, mean: F.when(values.isNotNull(), f(values, mean, n))
 
     return build
 
 
+def register_kernel(name: str, kernel: Callable[[np.ndarray], np.ndarray], weight: float = 1.0, value: str = "same", **more) -> None:
+    """Adds a time-series operator from a NumPy function, for what Column builders can't express.
+
+    The kernel gets full windows as the rows of a (k, n) array and returns k values.  It runs
+    as a pandas UDF over Arrow batches; rows without a full window are null and not passed on.
+    """
+
+    @F.pandas_udf("double")
+    def apply(values: pd.Series) -> pd.Series:
+        out, full = pd.Series(np.nan, values.index), values.notna()
+        if full.any():
+            out[full] = np.asarray(kernel(np.stack(values[full].to_list())), float)
+        return out
+
+    register_operator(name, "ts", lambda x, n: ({"values": _full(x, n, F.collect_list(x).over(history(n)))}, lambda values: apply(values)), weight, value, keys=(SECU,), **more)
+
+
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once a row even where f uses it inside another lambda."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _moments(a: Column, m: Column, k: int) -> Column:
+    """(second, k-th): sums of the powers of a window's deviations from its mean."""
+    start = F.struct(F.lit(0.0).alias("second"), F.lit(0.0).alias("more"))
+
+    def step(s: Column, v: Column) -> Column:
+        d = v - m
+        return F.struct((s["second"] + d * d).alias("second"), (s["more"] + d * d * d * (d if k == 4 else F.lit(1.0))).alias("more"))
+
+    return F.aggregate(a, start, step)
+
+
 def _rms(x: Column, w: WindowSpec) -> Column:
     return F.sqrt(F.avg(x * x).over(w))
 
 
-def _skew(x: Column, w: WindowSpec, n: int) -> Column:
+def _skew(a: Column, m: Column, n: int) -> Column:
     if n < 3:
         return F.lit(None).cast("double")
-    return F.when(F.max(x).over(w) == F.min(x).over(w), 0.0).otherwise(F.skewness(x).over(w) * ((n * (n - 1)) ** 0.5 / (n - 2)))
+    skew = _let(_moments(a, m, 3), lambda s: ratio(s["more"] / n, F.pow(s["second"] / n, F.lit(1.5))))
+    return F.when(F.array_max(a) == F.array_min(a), 0.0).otherwise(skew * ((n * (n - 1)) ** 0.5 / (n - 2)))
 
 
-def _kurt(x: Column, w: WindowSpec, n: int) -> Column:
+def _kurt(a: Column, m: Column, n: int) -> Column:
     if n < 4:
         return F.lit(None).cast("double")
-    return F.when(F.max(x).over(w) == F.min(x).over(w), -3.0).otherwise(((n + 1) * F.kurtosis(x).over(w) + 6) * ((n - 1) / ((n - 2) * (n - 3))))
+    kurt = _let(_moments(a, m, 4), lambda s: ratio(s["more"] * n, s["second"] * s["second"]) - 3)
+    return F.when(F.array_max(a) == F.array_min(a), -3.0).otherwise(((n + 1) * kurt + 6) * ((n - 1) / ((n - 2) * (n - 3))))
 
 
 def _ts_norm(x: Column, w: WindowSpec, n: int) -> Column:
@@ -108,17 +145,20 @@ def _mean_deviation_median(a: Column, m: Column, n: int) -> Column:
 def _beyond(k: float) -> Callable[[Column, Column, int], Column]:
     def f(a: Column, m: Column, n: int) -> Column:
         var = _total(F.transform(a, lambda v: (v - m) * (v - m))) / n
-        return F.size(F.filter(a, lambda v: (v - m) * (v - m) > k * k * var)) / n
+        return _let(var * (k * k), lambda most: F.size(F.filter(a, lambda v: (v - m) * (v - m) > most)) / n)
 
     return f
 
 
 def _mass_median(a: Column, m: Column, n: int) -> Column:
     """Where the running sum of |x| reaches half, as a share of the window."""
-    total = _total(F.transform(a, F.abs))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("steps"))
-    steps = F.aggregate(a, start, lambda s, v: F.struct((s["sum"] + F.abs(v)).alias("sum"), (s["steps"] + F.when((s["sum"] + F.abs(v)) / total < 0.5, 1).otherwise(0)).alias("steps")), lambda s: s["steps"])
-    return F.when(total > 0, (steps + 1) / n)
+
+    def steps(total: Column) -> Column:
+        walk = F.aggregate(a, start, lambda s, v: F.struct((s["sum"] + F.abs(v)).alias("sum"), (s["steps"] + F.when((s["sum"] + F.abs(v)) / total < 0.5, 1).otherwise(0)).alias("steps")), lambda s: s["steps"])
+        return F.when(total > 0, (walk + 1) / n)
+
+    return _let(_total(F.transform(a, F.abs)), steps)
 
 
 def _crossings(a: Column, m: Column, n: int) -> Column:
@@ -161,8 +201,8 @@ _ts("ts_std", _window(lambda x, w, n: F.stddev_samp(x).over(w)), 5)
 _ts("ts_max", _window(lambda x, w, n: F.max(x).over(w)))
 _ts("ts_min", _window(lambda x, w, n: F.min(x).over(w)))
 _ts("ts_median", _window(lambda x, w, n: F.percentile(x, F.lit(0.5)).over(w)))
-_ts("ts_skew", _window(_skew), value="float")
-_ts("ts_kurt", _window(_kurt), value="float")
+_ts("ts_skew", _array(_skew), value="float")
+_ts("ts_kurt", _array(_kurt), value="float")
 _ts("ts_autocorr", _array(_autocorr), value="uniform", rewrite=_at_least(10, 10))
 _ts("ts_shift", lambda x, n: ({}, lambda: F.lag(x, n).over(Window.partitionBy(SECU).orderBy(DAY))), 10, rewrite=_lag_length)
 _ts("ts_diff", lambda x, n: ({}, lambda: x - F.lag(x, n).over(Window.partitionBy(SECU).orderBy(DAY))), 10, rewrite=_lag_length)

@@ -6,8 +6,9 @@ the panel; only one row an expression comes back.  All draws come from one seede
 
 from __future__ import annotations
 
+import logging
 import random
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,9 @@ from factorweave.functions.stats import DAY, SECU, clip, over_day, tvalue, zscor
 from factorweave.operators.ic import batch_ic
 from factorweave.plans import ast
 from factorweave.plans.compiler import evaluate
+from factorweave.sources.panel import read_fitness, write_fitness, write_values
+
+_LOG = logging.getLogger(__name__)
 
 _SCORED = "factor_name string, ic double, tvalue double, valid_factor_size long, fitness_score double"
 
@@ -75,52 +79,84 @@ def select(scored: list[Scored], k: int, rng: random.Random) -> list[ast.Node]:
     return out
 
 
-def evolve(scored: list[Scored], size: int, rng: random.Random, depth: int, columns: list[str], elite: float = 0.1, mutation: float = 0.3) -> list[ast.Node]:
-    """The next population: the elite, offspring of selected pairs, and new trees if these repeat."""
+def evolve(scored: list[Scored], size: int, rng: random.Random, depth: int, columns: list[str], elite: float = 0.1, crossover: float = 0.8, mutation: float = 0.3, boost: int = 2, limit: int = 5, least: float = 0.3) -> list[ast.Node]:
+    """The next population: the elite and offspring of selected pairs.
+
+    A pair is crossed and mutated by chance; after boost * size draws always both.  After
+    limit * size draws the population is done if `least` of it is there, else new trees fill
+    it up to that.  Offspring that repeat a tree aren't taken.
+    """
     next_ = {str(s.tree): s.tree for s in scored[: max(1, int(size * elite))]}
-    for _ in range(5 * size):
+    for tried in range(limit * size):
         if len(next_) >= size:
             break
+        always = tried >= boost * size
         pair = select(scored, 2, rng)
-        for child in ast.crossover(pair[0], pair[-1], rng):
-            child = ast.mutate(child, rng, columns) if rng.random() < mutation else child
+        pair = (pair[0], pair[-1])
+        if always or rng.random() < crossover:
+            pair = ast.crossover(*pair, rng)
+        for child in pair:
+            child = ast.mutate(child, rng, columns) if always or rng.random() < mutation else child
             child = ast.prune(child, 2 * depth, rng, columns)
             if child.op is not None and len(next_) < size:
                 next_.setdefault(str(child), child)
-    while len(next_) < size:
+    while len(next_) < least * size:
         t = ast.draw(rng, depth, columns)
         next_.setdefault(str(t), t)
     return list(next_.values())
 
 
-def first_components(values: DataFrame, factor_cols: list[str]) -> DataFrame:
+def first_components(values: DataFrame, factor_cols: list[str], securities: int = 2048) -> DataFrame:
     """(factor, pc): for each factor the first principal component over days, of unit length.
 
-    A task holds one factor's day by security matrix; missing values count as 0, and a
-    factor that has no component gets zeros.  The component's largest entry is positive.
+    Securities are dealt over tasks, about so many each, that give the products of each day
+    with all days; their sums over the tasks are the day by day matrix, whose size doesn't
+    grow with the securities.  Missing values count as 0, and a factor that has no component
+    gets zeros.  The component's largest entry is positive.
     """
     days = [r[0] for r in values.select(DAY).distinct().orderBy(DAY).collect()]  # a row a calendar day
-    place = {d: i for i, d in enumerate(days)}
+    place, n_days = {d: i for i, d in enumerate(days)}, len(days)
+    parts = -(-(values.agg(F.count_distinct(SECU)).first()[0] or 1) // securities)
     long = values.select(SECU, DAY, F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("v")) for c in factor_cols])).alias("x")).select(SECU, DAY, "x.*")
+    long = long.where("v is not null").withColumn("part", F.pmod(F.xxhash64(SECU), F.lit(parts)))
 
-    def component(pdf):
-        pdf = pdf.dropna(subset=["v"])
-        secu = {s: i for i, s in enumerate(sorted(pdf[SECU].unique()))}
-        x = np.zeros((len(secu), len(days)))
+    def products(pdf):
+        """One row a day that some security of the part has: products with all days, the day's sum, the part's securities."""
+        import pandas as pd
+
+        secu = {s: i for i, s in enumerate(pdf[SECU].unique())}
+        x = np.zeros((len(secu), n_days))
         x[pdf[SECU].map(secu).to_numpy(dtype=int), pdf[DAY].map(place).to_numpy(dtype=int)] = pdf["v"]
-        x = x - x.mean(0) if len(x) else x
-        v = np.zeros(len(days))
-        if len(x) > 1 and np.isfinite(x).all() and np.abs(x).max() > 0:
-            v = np.linalg.svd(x, full_matrices=False)[2][0]
-            v = v * np.sign(v[np.abs(v).argmax()])
-        return v
+        some = np.flatnonzero(x.any(0))
+        some = some if len(some) else np.arange(min(1, n_days))  # its securities count, too
+        n = np.zeros(len(some), np.int64)
+        n[:1] = len(secu)
+        return pd.DataFrame({"factor": pdf["factor"].iloc[0], "day": some, "products": list(x[:, some].T @ x), "total": x[:, some].sum(0), "securities": n})
+
+    def summed(key, pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"factor": [key[0]], "day": [key[1]], "products": [np.sum(np.stack(pdf["products"].to_list()), axis=0)], "total": [pdf["total"].sum()], "securities": [pdf["securities"].sum()]})
 
-    def rows(key, pdf):
+    def component(key, pdf):
         import pandas as pd
 
-        return pd.DataFrame({"factor": [key[0]], "pc": [component(pdf).tolist()]})
+        gram, total, n, v = np.zeros((n_days, n_days)), np.zeros(n_days), int(pdf["securities"].sum()), np.zeros(n_days)
+        for day, row, t in zip(pdf["day"], pdf["products"], pdf["total"], strict=True):
+            gram[day], total[day] = row, t
+        gram = gram - np.outer(total, total) / max(n, 1)
+        if n > 1 and np.isfinite(gram).all() and np.trace(gram) > 1e-12 * (total @ total):
+            v = np.linalg.eigh(gram)[1][:, -1]
+            v = v * np.sign(v[np.abs(v).argmax()])
+        return pd.DataFrame({"factor": [key[0]], "pc": [v.tolist()]})
 
-    return long.groupBy("factor").applyInPandas(rows, "factor string, pc array<double>")
+    schema = "factor string, day int, products array<double>, total double, securities long"
+    sums = long.groupBy("factor", "part").applyInPandas(products, schema)
+    if parts > 1:
+        sums = sums.groupBy("factor", "day").applyInPandas(summed, schema)
+    found = sums.groupBy("factor").applyInPandas(component, "factor string, pc array<double>")
+    names = values.sparkSession.createDataFrame([(c,) for c in factor_cols], "factor string")
+    return names.join(found, "factor", "left").select("factor", F.coalesce("pc", F.array_repeat(F.lit(0.0), n_days)).alias("pc"))
 
 
 def uncorrelated(order: list[str], vectors: dict[str, list[float]], threshold: float = 0.9) -> list[str]:
@@ -160,31 +196,50 @@ class Search:
             return [s.tree for s in score(panel, list(trees.values()), self.ret_col, self.batch)[: self.size]]
         return list(trees.values())
 
-    def fit(self, panel: DataFrame, given: list[str] | None = None) -> list[dict]:
-        """One dict for each epoch: its report, and the scored trees, best first."""
+    def fit(self, panel: DataFrame, given: list[str] | None = None, out: str | None = None) -> list[dict]:
+        """One dict for each epoch: its report, and the scored trees, best first.
+
+        With `out`, an epoch's fitness table and the values of its saved factors are stored
+        (out/fitness, out/values) before the next one begins, so a run that breaks off leaves them.
+        """
         rng, history = random.Random(self.seed), []
         panel = panel.persist()
         try:
             trees = self.start(panel, rng, given or [])
+            _LOG.info("start with %d trees", len(trees))
             for epoch in range(self.epochs):
                 scored = score(panel, trees, self.ret_col, self.batch)
                 if self.pc_threshold is not None:
                     scored = self._unlike(panel, scored)
                 history.append({"epoch": epoch, "scored": scored, "report": report(scored), "saved": [s for s in scored if s.ic > self.ic_save_threshold]})
+                _LOG.info("epoch %d: %d trees, %d saved, %s", epoch, len(scored), len(history[-1]["saved"]), history[-1]["report"])
+                if out:
+                    self.store(panel, history[-1], out)
                 if epoch + 1 < self.epochs:
                     trees = evolve(scored, self.size, rng, self.depth, self.columns)
         finally:
             panel.unpersist()
         return history
 
+    def store(self, panel: DataFrame, done: dict, out: str) -> None:
+        """Writes one epoch's fitness, and (SecuCode, TradingDay, factor, value) of its saved factors, a batch at a time."""
+        write_fitness(fitness_table(panel.sparkSession, done["scored"]), f"{out}/fitness", done["epoch"])
+        saved = [s.tree for s in done["saved"]]
+        for a in range(0, len(saved), self.batch):
+            names = {f"f{i}": t for i, t in enumerate(saved[a : a + self.batch])}
+            own = F.array(*[F.struct(F.lit(str(t)).alias("factor"), F.col(f).alias("value")) for f, t in names.items()])
+            write_values(evaluate(panel, names).select(SECU, DAY, F.explode(own).alias("x")).select(SECU, DAY, "x.*").where("value is not null"), f"{out}/values", done["epoch"])
+
     def _unlike(self, panel: DataFrame, scored: list[Scored]) -> list[Scored]:
-        best = [s for s in scored if s.fitness > 0][: self.batch]
-        if not best:
-            return scored
-        names = {f"f{i}": s.tree for i, s in enumerate(best)}
-        pcs = {r["factor"]: r["pc"] for r in first_components(evaluate(panel, names), list(names)).collect()}  # a vector of days for each of `batch` factors
-        kept = uncorrelated(list(names), pcs, self.pc_threshold)
-        return [best[int(k[1:])] for k in kept]
+        """All of scored; a tree whose first component correlates with that of a better one gets fitness 0."""
+        able, pcs = [s for s in scored if s.fitness > 0], {}
+        for a in range(0, len(able), self.batch):
+            names = {f"f{i}": s.tree for i, s in enumerate(able[a : a + self.batch])}
+            for r in first_components(evaluate(panel, names), list(names)).collect():  # a vector of days for each tree of the population
+                pcs[str(names[r["factor"]])] = r["pc"]
+        kept = set(uncorrelated([str(s.tree) for s in able], pcs, self.pc_threshold))
+        out = [s if str(s.tree) in kept else replace(s, fitness=0.0) for s in scored]
+        return sorted(out, key=lambda s: (-s.fitness, str(s.tree)))
 
 
 def report(scored: list[Scored]) -> dict[str, float]:
@@ -220,3 +275,13 @@ def out_of_sample(panel: DataFrame, expressions: list[str], start: str, end: str
     values = values.where((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date") if end else F.lit(True))).withColumnRenamed(ret_col, "ret")
     names = F.create_map(*[F.lit(x) for f, t in trees.items() for x in (f, str(t))])
     return batch_ic(values, list(trees), threshold).withColumn("factor", names[F.col("factor")]).orderBy(F.desc(F.abs("ic")))
+
+
+def revalidate(panel: DataFrame, fitness_path: str, start: str, end: str | None = None, ret_col: str = "ret", threshold: float = 1.0, share: float = 0.6, least_t: float = 3.0) -> DataFrame:
+    """The factors of all stored epochs that are worth keeping, tested over [start, end]; largest |ic| first."""
+    kept = worth_keeping(read_fitness(panel.sparkSession, fitness_path), share, least_t)
+    names = [r["factor_name"] for r in kept.select("factor_name").collect()]  # a row an expression
+    _LOG.info("%d factors are tested out of sample", len(names))
+    if not names:
+        names, threshold = [next(c for c in panel.columns if c in ast.COLUMNS)], float("inf")  # an empty table of the same columns
+    return out_of_sample(panel, names, start, end, ret_col, threshold)

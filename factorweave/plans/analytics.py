@@ -113,11 +113,20 @@ def long_short_top_rank(spark, sf_dir):
 
 
 def return_report(spark, sf_dir):
-    """Returns are taken as percents, as the panel's weekly changes are too wild to compound."""
+    """Returns are taken as percents: the panel's weekly changes, as they are, compound to 1e117 and beyond."""
     held = portfolio.positions(_based(spark, sf_dir), "f", cap=None)
     return _out(portfolio.return_report(portfolio.daily_returns(held.withColumn("ret", F.col("ret") / 100))))
 
 
+_COMPOUNDED = ["long_short_ret", "long_ret", "short_ret", "long_short_ret_fee", "ir", "tot_long_short_ret", "tot_long_ret", "tot_short_ret"]
+
+
+def return_report_whole(spark, sf_dir):
+    """The report on the changes as they are; compounded figures as sign(x) * log10(1 + |x|), so that digits can be compared."""
+    report = _out(portfolio.return_report(_daily(spark, sf_dir, cap=None)))
+    return _out(report.withColumns({c: F.signum(c) * F.log10(1 + F.abs(c)) for c in _COMPOUNDED}))
+
+
 def return_cumulative(spark, sf_dir):
     return _out(portfolio.cumulative_returns(_daily(spark, sf_dir, cap=None)))
 
@@ -165,6 +174,11 @@ def event_study_tests(spark, sf_dir):
     return ev.group_tests(ev.grouped(ev.event_returns(cells, "ret", "event", _LAGS, keep=["size"]), "size", 4))
 
 
+def event_study_f(spark, sf_dir):
+    cells = _cells(spark, sf_dir).withColumn("size", F.col("ret"))
+    return _out(ev.group_f(ev.grouped(ev.event_returns(cells, "ret", "event", _LAGS, keep=["size"]), "size", 4)))
+
+
 def event_study_win_p(spark, sf_dir):
     return ev.with_win_p(ev.event_summary(_around(spark, sf_dir)))
 
@@ -180,7 +194,7 @@ def signal_study(spark, sf_dir):
 
 _NAMES = (
     "ic_daily ic_report ic_report_monthly ic_report_members ic_yearly_ts_mean ic_cumulative ic_decay group_box factor_histogram factor_quantiles factor_stock_count factor_autocorr batch_ic factor_corr "
-    "long_short_daily long_short_capped long_short_top_rank return_report return_cumulative layer_returns layer_cumulative event_lags event_study event_study_intervals event_study_grouped event_study_tests "
+    "long_short_daily long_short_capped long_short_top_rank return_report return_report_whole return_cumulative layer_returns layer_cumulative event_lags event_study event_study_intervals event_study_grouped event_study_tests event_study_f "
     "event_study_win_p event_path signal_study"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -245,7 +259,7 @@ _DR = f"SELECT TradingDay, {', '.join(_R(c, c) for c in ('long_ret', 'short_ret'
 _ZF = f"CASE WHEN f IS NOT NULL THEN {_CLIP(_Z('f', 'TradingDay'))} END"
 _RF = "CASE WHEN f IS NOT NULL THEN (rank() OVER (PARTITION BY TradingDay ORDER BY -f NULLS LAST) + (count(*) OVER (PARTITION BY TradingDay, f) - 1) / 2.0) / count(f) OVER (PARTITION BY TradingDay) - 0.5 END"
 _TOP = "CASE WHEN rank() OVER (PARTITION BY TradingDay ORDER BY {0} DESC NULLS LAST) + (count(*) OVER (PARTITION BY TradingDay, {0}) - 1) / 2.0 <= 10 THEN {0} END"
-_ANNUAL = lambda c: f"(pow(product(1 + {c}), 242.0 / count(*)) - 1) * 100"
+_ANNUAL = lambda c: f"(CASE WHEN product(1 + {c}) > 0 THEN pow(product(1 + {c}), 242.0 / count(*)) END - 1) * 100"
 _RETREP = f"""SELECT CASE WHEN grouping(y) = 1 THEN 'total' ELSE y::VARCHAR END AS period, {', '.join(_R(_ANNUAL(c), c) for c in ('long_short_ret', 'long_ret', 'short_ret', 'long_short_ret_fee'))},
 {_R('avg(CASE WHEN long_short_ret > 0 THEN 1.0 ELSE 0.0 END) * 100', 'winning_rate')}, {_R('avg(turnover) * 50', 'turnover')}, {_R('avg(long_short_ret) / nullif(stddev_samp(long_short_ret), 0) * sqrt(242)', 'sharpe')},
 {_R(_ANNUAL('long_short_ret') + " / nullif(stddev_samp(long_short_ret) * CASE WHEN grouping(y) = 1 THEN sqrt(count(*)) ELSE sqrt(242) END * 100, 0)", 'ir')},
@@ -301,6 +315,15 @@ _STATS = {
 }
 _ALL_STATS = ", ".join(_R(e, f'"{c}"') for c, e in _STATS.items()) + ", count(value) AS n, count(CASE WHEN value > 0 THEN 1 END) AS wins"
 _SIGNAL = [1, 2, 5]
+_BATCH_DAY = """d AS (SELECT {0}, TradingDay, avg(zf * zr) AS ic, covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0) AS rank_ic, count(*) AS n,
+    sum(CASE WHEN zf >= 0 THEN zf * zr END) AS pos, sum(CASE WHEN zf <= 0 THEN zf * zr END) AS neg, count(zf * zr) AS valid FROM z GROUP BY ALL)"""
+_BATCH_REPORT = ", ".join(
+    _R(e, c)
+    for c, e in {
+        "ic": "avg(ic) * 100", "t_value": _T("ic"), "ic_pos": "sum(pos) / nullif(sum(valid), 0) * 100", "ic_neg": "sum(neg) / nullif(sum(valid), 0) * 100", "rank_ic": "avg(rank_ic) * 100",
+        "icir": "avg(ic) / nullif(stddev_samp(ic), 0)", "winning_rate": "avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) * 100", "ic_min": "min(ic) * 100", "ic_max": "max(ic) * 100", "mean_count": "avg(n)",
+    }.items()
+) + ", count(ic) AS n_days"
 
 
 def _sums_sql(n: int) -> str:
@@ -328,13 +351,13 @@ SELECT least(floor((f - lo) / (hi - lo) * 20) + 1, 20)::BIGINT AS bin, count(*)
     "factor_autocorr": _autocorr_sql(),
     "batch_ic": f"""WITH {_MANY}, long AS (UNPIVOT (SELECT TradingDay, ret AS r, {_F4} FROM many) ON {_F4} INTO NAME factor VALUE f),
 z AS (SELECT factor, TradingDay, {_Z('f', 'factor, TradingDay')} AS zf, {_CLIP(_Z('r', 'factor, TradingDay'))} AS zr, {_RANK('f', 'factor, TradingDay')} AS rf, {_RANK('r', 'factor, TradingDay')} AS rr FROM long WHERE f IS NOT NULL AND r IS NOT NULL),
-d AS (SELECT factor, TradingDay, avg(zf * zr) AS ic, covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0) AS rank_ic, count(*) AS n FROM z GROUP BY ALL)
-SELECT factor, {_R('avg(ic) * 100', 'ic')}, {_R(_T('ic'), 't_value')}, {_R('avg(rank_ic) * 100', 'rank_ic')}, {_R('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) * 100', 'winning_rate')}, count(ic) AS n_days, {_R('avg(n)', 'mean_count')} FROM d GROUP BY factor""",
+{_BATCH_DAY.format('factor')} SELECT factor, {_BATCH_REPORT} FROM d GROUP BY factor""",
     "factor_corr": f"WITH {_MANY} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_R(f'corr({a}, {b})', 'corr')} FROM many" for a, b in _PAIRS),
     "long_short_daily": f"WITH {_factor_sql()}{_positions_sql(_ZF)}{_RETURNS} {_DR}",
     "long_short_capped": f"WITH {_factor_sql()}{_CAPPED}{_RETURNS.replace('FROM pos)', 'FROM posc)')} {_DR}",
     "long_short_top_rank": f"WITH {_factor_sql()}{_positions_sql(_RF, _TOP)}{_RETURNS} {_DR}",
     "return_report": f"WITH {_factor_sql()}{_positions_sql(_ZF)}{_RETURNS.replace('* ret)', '* (ret / 100))')} {_RETREP}",
+    "return_report_whole": f"WITH {_factor_sql()}{_positions_sql(_ZF)}{_RETURNS}, whole AS ({_RETREP}) SELECT period, winning_rate, turnover, sharpe, {', '.join(_R(f'sign({c}) * log10(1 + abs({c}))', c) for c in _COMPOUNDED)} FROM whole",
     "return_cumulative": f"WITH {_factor_sql()}{_positions_sql(_ZF)}{_RETURNS} SELECT TradingDay, {_R(f'sum(long_short_ret) {_UNTIL}', 'cum_ret')}, {_R(f'sum(long_short_ret_fee) {_UNTIL}', 'cum_ret_fee')}, {_R(f'sum(long_short_ret) {_IN_MONTH}', 'month_ret')} FROM dr",
     "layer_returns": f"WITH {_factor_sql()}{_LAYERS} SELECT TradingDay, layer, {_R('ret', 'ret')} FROM lr UNION ALL SELECT TradingDay, 0, {_R('avg(ret)', 'ret')} FROM lay GROUP BY TradingDay",
     "layer_cumulative": f"""WITH {_factor_sql()}{_LAYERS} SELECT TradingDay, layer, {_R('sum(ret) OVER (PARTITION BY layer ORDER BY TradingDay ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'cum_ret')} FROM lr
@@ -347,6 +370,13 @@ LEFT JOIN vals p ON p.SecuCode = c.SecuCode AND p.t = days.t - 1 LEFT JOIN vals
     "event_study_grouped": f"""WITH {_AROUND}, ed AS (SELECT quantile_cont(size, [0.25, 0.5, 0.75]) AS edges FROM (SELECT DISTINCT SecuCode, TradingDay, size FROM around)),
 g AS (SELECT around.*, 'G' || (len([x for x in edges if x < size]) + 1) AS grp FROM around, ed), {_summary_sql('g', 'lag, grp')}
 SELECT lag::VARCHAR AS lag, grp, {', '.join(_R(_STATS[c], c) for c in ('mean', 'clip_mean', 'std', 't_value', 'win_rate', 'q50'))}, count(value) AS n FROM held GROUP BY lag, grp""",
+    "event_study_f": f"""WITH {_AROUND}, ed AS (SELECT quantile_cont(size, [0.25, 0.5, 0.75]) AS edges FROM (SELECT DISTINCT SecuCode, TradingDay, size FROM around)),
+g AS (SELECT around.*, 'G' || (len([x for x in edges if x < size]) + 1) AS grp FROM around, ed), {_summary_sql('g', 'lag')},
+u AS (SELECT lag, grp, value, held, CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END AS win FROM held WHERE value IS NOT NULL AND grp IS NOT NULL),
+v AS (SELECT *, avg(value) OVER (PARTITION BY lag, grp) AS gv, avg(held) OVER (PARTITION BY lag, grp) AS gh, avg(win) OVER (PARTITION BY lag, grp) AS gw,
+      avg(value) OVER (PARTITION BY lag) AS av, avg(held) OVER (PARTITION BY lag) AS ah, avg(win) OVER (PARTITION BY lag) AS aw FROM u)
+SELECT lag::VARCHAR AS lag, count(DISTINCT grp) - 1 AS d1, count(*) - count(DISTINCT grp) AS d2,
+{', '.join(_R(f'(sum((g{k} - a{k}) ** 2) / (count(DISTINCT grp) - 1)) / nullif(sum(({x} - g{k}) ** 2) / (count(*) - count(DISTINCT grp)), 0)', f'f_{c}') for c, k, x in (('mean', 'v', 'value'), ('clip', 'h', 'held'), ('win', 'w', 'win')))} FROM v GROUP BY lag""",
     "event_path": f"""WITH {_AROUND}, s AS (SELECT lag AS k, avg(value) AS m, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM around GROUP BY lag),
 p AS (SELECT CASE WHEN k >= 0 THEN k + 1 ELSE k END AS step, m, a, b, sum(CASE WHEN k >= 0 THEN m ELSE -m END) OVER (PARTITION BY k >= 0 ORDER BY abs(k) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM s)
 SELECT step::BIGINT AS step, {_R('path', 'path')}, {_R('path - m + a', 'low')}, {_R('path - m + b', 'high')} FROM p UNION ALL SELECT 0, 0.0, 0.0, 0.0""",
@@ -371,7 +401,7 @@ def fitness_batch(spark, sf_dir):
 
 def first_components(spark, sf_dir):
     values = evaluate(read_panel(spark, sf_dir), _BATCH)
-    return search.first_components(values, list(_BATCH)).select("factor", F.size("pc").alias("n_days"), F.aggregate("pc", F.lit(0.0), lambda a, v: a + v * v).alias("length"))
+    return _out(search.first_components(values, list(_BATCH)).select("factor", F.posexplode("pc").alias("day", "entry")))
 
 
 def genetic_search(spark, sf_dir):
@@ -399,5 +429,4 @@ f AS (SELECT *, CASE WHEN valid_factor_size < greatest(100, days // 5) THEN 0.0
 SELECT factor_name, {_R('ic', 'ic')}, {_R('tvalue', 'tvalue')}, valid_factor_size, {_R('fit', 'fitness_score')}, {_R('fit / sum(fit) OVER ()', 'selection_probability')} FROM f"""
 ORACLE_SQL["out_of_sample"] = f"""WITH {PANEL_SQL}, l AS ({_LONG}), k AS (SELECT factor_name, TradingDay, f, ret AS r FROM l WHERE ret IS NOT NULL AND f IS NOT NULL AND TradingDay >= DATE '1996-01-01' AND factor_name <> '{_SCORED[2]}'),
 z AS (SELECT factor_name, TradingDay, {_Z('f', 'factor_name, TradingDay')} AS zf, {_CLIP(_Z('r', 'factor_name, TradingDay'))} AS zr, {_RANK('f', 'factor_name, TradingDay')} AS rf, {_RANK('r', 'factor_name, TradingDay')} AS rr FROM k),
-d AS (SELECT factor_name, TradingDay, avg(zf * zr) AS ic, covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0) AS rank_ic, count(*) AS n FROM z GROUP BY ALL)
-SELECT factor_name AS factor, {_R('avg(ic) * 100', 'ic')}, {_R(_T('ic'), 't_value')}, {_R('avg(rank_ic) * 100', 'rank_ic')}, {_R('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) * 100', 'winning_rate')}, count(ic) AS n_days, {_R('avg(n)', 'mean_count')} FROM d GROUP BY factor_name"""
+{_BATCH_DAY.format('factor_name')} SELECT factor_name AS factor, {_BATCH_REPORT} FROM d GROUP BY factor_name"""

@@ -50,7 +50,25 @@ def factor_values(panel: DataFrame, request: Request) -> DataFrame:
     return members(led, None, request.start_date, request.end_date) if request.warmup else led
 
 
-def backtest(panel: DataFrame, request: Request) -> dict[str, DataFrame]:
+class Reports(dict[str, DataFrame]):
+    """The reports by name; what they share stays in the executors' storage until close(), or the end of a with block."""
+
+    def __init__(self, reports: dict[str, DataFrame], shared: list[DataFrame]):
+        super().__init__(reports)
+        self.shared = shared
+
+    def close(self) -> None:
+        while self.shared:
+            self.shared.pop().unpersist()
+
+    def __enter__(self) -> Reports:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def backtest(panel: DataFrame, request: Request) -> Reports:
     """All reports of a factor; one whose mean IC is below 0 is held the other way.
 
     The data behind each chart: histogram, quantiles, counts, autocorrelation, group boxes,
@@ -62,12 +80,13 @@ def backtest(panel: DataFrame, request: Request) -> dict[str, DataFrame]:
     mean = daily.agg(F.avg("ic")).first()[0]
     how = {"normalize": request.normalize, "rank": request.rank, "topn": request.topn, "cap": request.cap, "inverse": mean is not None and mean < 0}
     returns = portfolio.daily_returns(portfolio.positions(values, "factor", **how), request.turnover_fee)
-    return {
+    reports = {
         "values": values.select(SECU, DAY, F.col("factor").alias(request.name)), "ic_rst": ic.ic_report(ic.by_period(daily, request.freq)), "ic_ts": daily.select(DAY, "ic", "rank_ic"),
         "ret_rst": portfolio.return_report(returns), "daily": returns, "histogram": ic.factor_histogram(values, "factor"), "quantiles": ic.factor_quantiles(values, "factor"),
         "stock_count": ic.factor_stock_count(values, "factor"), "autocorr": ic.factor_autocorr(values, "factor"), "group_box": ic.group_box(rows), "decay": ic.ic_decay(rows),
         "ic_cumsum": ic.ic_cumulative(daily), "ret_cumsum": portfolio.cumulative_returns(returns),
     }
+    return Reports(reports, [values, rows])
 
 
 def save(reports: dict[str, DataFrame], request: Request, path: str) -> None:

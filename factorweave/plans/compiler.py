@@ -54,11 +54,11 @@ def evaluate(panel: DataFrame, expressions: list[str | Node] | dict[str, str | N
     df = panel.select(SECU, DAY, *industry, *[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)], *[finite(F.col(f"`{c}`")).alias(f"__leaf{i}") for i, c in enumerate(wanted)])
     place = {c: f"__leaf{i}" for i, c in enumerate(wanted)}
     for r, nodes in enumerate(schedule(list(trees.values()))):
-        helpers, results = {}, {}
+        helpers, results, shared = {}, {}, {}
         for k, x in enumerate(nodes):
             inputs = [F.col(place[str(c)]) for c in x.children]
             needs, result = x.spec.build(*inputs, *([x.n] if x.spec.takes_n else []))
-            own = {h: f"__h{r}_{k}_{h}" for h in needs}
+            own = {h: shared.setdefault(str(c), f"__h{r}_{k}_{h}") for h, c in needs.items()}  # equal helpers are one column
             helpers |= {own[h]: c for h, c in needs.items()}
             results[f"__v{r}_{k}"] = finite(result(**{h: F.col(n) for h, n in own.items()}))
             place[str(x)] = f"__v{r}_{k}"

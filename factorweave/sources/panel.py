@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,10 +67,12 @@ def read_wide_csv(spark: SparkSession, path: str, value: str = "ret") -> DataFra
     return wide_to_long(wide, wide.columns[0], value)
 
 
-def read_feather(spark: SparkSession, path: str) -> DataFrame:
-    """A Feather file of a size that fits on the driver; larger panels belong into Parquet."""
+def read_feather(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """A Feather file of at most `most_bytes`, read on the driver; larger panels belong into Parquet."""
     import pyarrow.feather
 
+    if (size := os.path.getsize(path)) > most_bytes:
+        raise ValueError(f"{path} has {size} bytes; store panels of more than {most_bytes} as Parquet")
     return spark.createDataFrame(pyarrow.feather.read_table(path))
 
 
@@ -84,8 +87,16 @@ def read_fitness(spark: SparkSession, path: str) -> DataFrame:
     """Fitness CSV files of a search, with repeated header lines and the warm start's files left out."""
     df = spark.read.option("recursiveFileLookup", True).csv(path, header=True).withColumn("file", F.col("_metadata.file_name"))
     df = df.where(~F.col("file").contains("warm_start_up") & (F.col("factor_name") != "factor_name"))
-    numbers = {c: F.col(c).cast("double") for c in ("ic", "tvalue", "fitness_score", "selection_probability") if c in df.columns}
-    return df.withColumns(numbers | ({"valid_factor_size": F.col("valid_factor_size").cast("int")} if "valid_factor_size" in df.columns else {}))
+    numbers = {c: F.col(c).try_cast("double") for c in ("ic", "tvalue", "fitness_score", "selection_probability") if c in df.columns}
+    return df.withColumns(numbers | ({"valid_factor_size": F.col("valid_factor_size").try_cast("int")} if "valid_factor_size" in df.columns else {}))
+
+
+def read_warm_start(spark: SparkSession, path: str, size: int) -> list[str]:
+    """The best `size` distinct expressions of a fitness CSV, by fitness_score if it has one; repeated header lines are left out."""
+    df = spark.read.csv(path, header=True).where("factor_name is not null and factor_name <> 'factor_name'")
+    score = F.col("fitness_score").try_cast("double") if "fitness_score" in df.columns else F.lit(0.0)
+    best = df.groupBy("factor_name").agg(F.max(score).alias("score")).orderBy(F.desc_nulls_last("score"), "factor_name").limit(size)
+    return [r[0] for r in best.collect()]  # the population's size
 
 
 def read_library(spark: SparkSession, paths: list[str], panel: DataFrame) -> DataFrame:

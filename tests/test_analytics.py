@@ -72,12 +72,27 @@ def test_p_values():
     assert stats.f_p(0.0, 3, 10) == pytest.approx(1.0)
     assert stats.proportion_p(50, 100, 0.5) == pytest.approx(1.0)
     assert stats.proportion_p(60, 100, 0.5) == pytest.approx(2 * stats.norm_cdf(-0.1 / math.sqrt(0.0024)))
-    groups = [[1.0, 2.0, 3.0], [2.0, 4.0, 6.0], [5.0, 5.0, 8.0]]
-    f, d1, d2 = stats.anova_f([(len(g), sum(g), sum(x * x for x in g)) for g in groups])
-    flat = [x for g in groups for x in g]
-    between = sum(len(g) * (np.mean(g) - np.mean(flat)) ** 2 for g in groups) / 2
-    within = sum((x - np.mean(g)) ** 2 for g in groups for x in g) / 6
-    assert (f, d1, d2) == (pytest.approx(between / within), 2, 6)
+
+
+def test_group_tests(spark):
+    groups = {"G1": [0.1, 0.2, 0.3], "G2": [0.2, -0.4, 0.6], "G3": [0.5, 0.5, 0.8]}
+    rows = [("0", g, x) for g, own in groups.items() for x in own] + [("0", "G1", None), ("0", None, 0.3), ("1", "G1", 1.0), ("1", "G1", 2.0)]
+    df = spark.createDataFrame(rows, "lag string, grp string, value double")
+    got = {r["lag"]: r for r in events.group_f(df).collect()}
+
+    def plain(groups):
+        flat = [x for g in groups for x in g]
+        between = sum(len(g) * (np.mean(g) - np.mean(flat)) ** 2 for g in groups) / 2
+        return between / (sum((x - np.mean(g)) ** 2 for g in groups for x in g) / 6)
+
+    assert (got["0"]["d1"], got["0"]["d2"]) == (2, 6)
+    assert got["0"]["f_mean"] == pytest.approx(plain(list(groups.values())))
+    low, high = np.quantile([x for _, _, x in rows[:9]] + [0.3], [0.05, 0.95])
+    assert got["0"]["f_clip"] == pytest.approx(plain([np.clip(g, low, high).tolist() for g in groups.values()]))
+    assert got["0"]["f_win"] == pytest.approx(plain([[float(x > 0) for x in g] for g in groups.values()]))
+    assert got["1"]["f_mean"] is None
+    p = {r["lag"]: r for r in events.group_tests(df).collect()}
+    assert p["0"]["p_mean"] == pytest.approx(stats.f_p(got["0"]["f_mean"], 2, 6)) and p["1"]["p_mean"] is None
 
 
 def test_rank_ic_of_a_perfect_factor(spark):
@@ -98,6 +113,95 @@ def test_uncorrelated_keeps_the_first():
     assert search.uncorrelated(["a", "b", "c"], {"a": [1, 2, 3, 4], "b": [-1, -2, -3, -4.1], "c": [1, -1, 1, -1]}) == ["a", "c"]
 
 
+@pytest.mark.parametrize("securities", [2048, 3])
+def test_first_components_equal_a_singular_value_decomposition(spark, securities):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(11, 6)) * np.array([1, 4, 1, 1, 2, 1])
+    seen = rng.random((11, 6)) < 0.8
+    rows = [(f"s{i}", day(d), float(x[i, d]) if seen[i, d] else None, 1.0, None) for i in range(11) for d in range(6)]
+    values = spark.createDataFrame(rows, "SecuCode string, TradingDay date, a double, flat double, none double")
+    got = {r["factor"]: np.array(r["pc"]) for r in search.first_components(values, ["a", "flat", "none"], securities).collect()}
+    full = np.where(seen, x, 0.0)
+    v = np.linalg.svd(full - full.mean(0), full_matrices=False)[2][0]
+    assert np.allclose(got["a"], v * np.sign(v[np.abs(v).argmax()]))
+    assert not got["flat"].any() and not got["none"].any() and len(got["none"]) == 6
+
+
+def small_panel(spark):
+    rng = random.Random(8)
+    rows = [(f"s{i}", day(d), "i", rng.random(), rng.random(), rng.gauss(0, 1)) for i in range(6) for d in range(130)]
+    return spark.createDataFrame(rows, "SecuCode string, TradingDay date, SWF string, close double, high double, ret double")
+
+
+def test_correlated_trees_stay_with_fitness_0(spark):
+    panel = small_panel(spark)
+    trees = [ast.parse(e) for e in ("cs_norm(close)", "cs_norm(comb_add(close,close))", "cs_rank(high)", "ts_mean(close,3)")]
+    run = search.Search(size=4, batch=2, pc_threshold=0.8)
+    before = search.score(panel, trees)
+    after = run._unlike(panel, before)
+    assert {str(s.tree) for s in after} == {str(t) for t in trees}
+    by_name = {str(s.tree): s for s in before}
+    pair = sorted((str(trees[0]), str(trees[1])), key=lambda n: (-by_name[n].fitness, n))
+    got = {str(s.tree): s.fitness for s in after}
+    assert got[pair[1]] == 0.0 and got[pair[0]] == by_name[pair[0]].fitness > 0 and got[str(trees[2])] > 0
+
+
+def test_a_search_stores_each_epoch_and_is_tested_again(spark, tmp_path):
+    panel = small_panel(spark)
+    (tmp_path / "start.csv").write_text('factor_name,fitness_score\n"ts_mean(close,3)",1.5\nfactor_name,fitness_score\ncs_rank(high),2.5\ncs_rank(close),0.5\ncs_rank(high),2.5\n')
+    given = source.read_warm_start(spark, str(tmp_path / "start.csv"), 2)
+    assert given == ["cs_rank(high)", "ts_mean(close,3)"]
+    run = search.Search(size=5, epochs=2, depth=2, seed=1, batch=3, warm_start=2, columns=["close", "high"])
+    history = run.fit(panel, given, str(tmp_path / "out"))
+    assert [len(h["scored"]) for h in history] == [5, 5]
+    assert history[0]["scored"] == run.fit(panel, given)[0]["scored"]  # seeded
+    values = spark.read.parquet(str(tmp_path / "out" / "values"))
+    for h in history:
+        names = {str(s.tree) for s in h["saved"]}
+        assert {r["factor"] for r in values.where(f"epoch = {h['epoch']}").select("factor").distinct().collect()} == names
+    fitness = source.read_fitness(spark, str(tmp_path / "out" / "fitness"))
+    assert fitness.count() == 10
+    again = search.revalidate(panel, str(tmp_path / "out" / "fitness"), str(day(60)), threshold=0.0, least_t=0.0)
+    assert {r["factor"] for r in again.collect()} == {r["factor_name"] for r in search.worth_keeping(fitness, least_t=0.0).collect()}
+    assert search.revalidate(panel, str(tmp_path / "out" / "fitness"), str(day(60)), least_t=1e9).count() == 0
+
+
+def test_warm_start_takes_the_best_of_more(spark):
+    panel, rng = small_panel(spark), random.Random(2)
+    run = search.Search(size=4, warm_start=3, batch=6, depth=1, columns=["close", "high"])
+    trees = run.start(panel, rng, [])
+    rng = random.Random(2)
+    drawn = {}
+    while len(drawn) < 12:
+        t = ast.draw(rng, 1, ["close", "high"])
+        drawn.setdefault(str(t), t)
+    assert trees == [s.tree for s in search.score(panel, list(drawn.values()))[:4]]
+
+
+def test_notable_factors(spark):
+    rows = [(f, u, f"s{i}", day(d), float(i), 0.01 * i * (1 if f == "up" else 0)) for f in ("up", "flat") for u in ("all", "some") for i in range(6) for d in range(4)]
+    df = spark.createDataFrame(rows, "file string, universe string, SecuCode string, TradingDay date, factor double, ret double")
+    got = {(r["file"], r["universe"]): (r["first"], r["last"], r["notable"]) for r in portfolio.notable_factors(df, 3, {"all": 0.05, "some": 0.5}).collect()}
+    assert got["up", "all"] == (pytest.approx(-0.08), pytest.approx(0.08), True) and not got["up", "some"][2] and not got["flat", "all"][2]
+
+
+def test_batch_report(spark):
+    df = small_panel(spark).withColumn("none", stats.F.lit(None).cast("double"))
+    out = ic.batch_report(df, ["close", "high", "none"])
+    assert out.failed == ["none"] and out.corr.count() == 1
+    rows = out.rows.collect()
+    assert {r["factor"] for r in rows} == {"close", "high"} and abs(rows[0]["ic"]) >= abs(rows[1]["ic"])
+    for r in rows:
+        assert r["ic_min"] <= r["ic"] <= r["ic_max"] and r["ic_pos"] + r["ic_neg"] == pytest.approx(r["ic"], abs=0.5)
+    assert ic.batch_report(df, ["close", "high"], most_corr=1).corr is None and ic.batch_report(df, ["close", "high"], most_corr=1, force_corr=True).corr.count() == 1
+
+
+def test_an_annual_rate_needs_something_left(spark):
+    df = spark.createDataFrame([(day(i), r, 0.1, -0.1, r, 0.0) for i, r in enumerate([0.5, -2.5, 0.1])], "TradingDay date, long_short_ret double, long_ret double, short_ret double, long_short_ret_fee double, turnover double")
+    total = {r["period"]: r for r in portfolio.return_report(df).collect()}["total"]
+    assert total["long_short_ret"] is None and total["ir"] is None and total["long_ret"] > 0 and total["tot_long_short_ret"] < -100
+
+
 def test_evolve_keeps_the_elite_and_the_size():
     rng = random.Random(5)
     pool = [search.Scored(ast.draw(rng, 2), 1.0, 1.0, 200, 10.0 - i) for i in range(10)]

@@ -39,6 +39,24 @@ def test_constant_window(spark):
         assert series(spark, e, flat)[-1] == want
 
 
+def test_user_kernels(spark):
+    from factorweave.operators import registry
+
+    registry.register_kernel("ts_spread_of_mine", lambda w: w.max(1) - w.min(1))
+    try:
+        assert series(spark, "ts_spread_of_mine(close,3)", [1, 5, 2, None, 4, 4, 9]) == [None, None, 4.0, None, None, None, 5.0]
+        with pytest.raises(ValueError):
+            registry.register_kernel("ts_spread_of_mine", None)
+    finally:
+        del registry.OPERATORS["ts_spread_of_mine"]
+
+
+def test_beyond_and_mass(spark):
+    x = [1, 2, 1, 2, 1, 2, 1, 2, 1, 30]
+    assert series(spark, "ts_ratio_beyond_2sigma(close,10)", x)[-1] == 0.1 and series(spark, "ts_ratio_beyond_3sigma(close,10)", x)[-1] == 0.0
+    assert series(spark, "ts_index_mass_median(close,10)", x)[-1] == 1.0
+
+
 def test_strikes_and_crossings(spark):
     x = [1, 5, 5, 5, 1, 1, 5, 1, 1, 1]
     m = sum(x) / 10
