@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ROUNDS = 8
@@ -167,28 +167,33 @@ def _stages(key: str, sign: int) -> list[str]:
     ]
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", restore: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str | Column, text_col: str = "text", restore: bool = False) -> DataFrame:
     """docs with text_col pseudonymized, and pii_kinds: the kinds of what was replaced, in order.
 
     Kinds: email, iban, secret (32 to 64 hex digits), phone, card, date, ssn, ip.  What fails
     its validation stays as it is.  Slashed dates are read day first where that is a date,
     and are then linked with the same day in other formats; those that can only be read month
     first are permuted among themselves.  Dates outside 1700 to 2099 stay.  restore=True undoes it with the same
-    key.  Null text: null, with no kinds.  Empty text: empty.  All other columns stay; one
+    key.  A key given as text stands in the plan; one given as a Column, such as
+    spark.read.text(path).scalar(), does not.  Null text: null, with no kinds.  Empty text: empty.  All other columns stay; one
     of the name pii_kinds is replaced.  Rows are neither dropped nor merged.
     """
     text = F.col(f"`{text_col}`").cast("string")
     taken = {c.lower() for c in docs.columns}
     mark = next(m for m in (f"pii{k}_" for k in count()) if not any(c.startswith(m) for c in taken))
     names = [f"{mark}{i}" for i in range(9)]  # dropped again
+    if isinstance(key, Column):
+        docs, secret = docs.withColumn(f"{mark}key", key), f"{mark}key"
+    else:
+        secret = _quoted(key)
     none = F.expr("cast(array() as array<string>)")
     out = docs.withColumn(names[0], F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none))
-    for i, fields in enumerate(_stages(_quoted(key), -1 if restore else 1)):
+    for i, fields in enumerate(_stages(secret, -1 if restore else 1)):
         out = out.withColumn(names[i + 1], F.expr(f"transform({names[i]}, s -> named_struct({fields}))"))
     found = F.col(names[8])
     new = F.when(F.size(found) > 0, F.array_join(F.zip_with(F.split(text, _ANY, -1), found, lambda s, x: F.concat(s, F.coalesce(x["out"], F.lit("")))), "")).otherwise(text)
     kinds = F.transform(F.filter(found, lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
-    return out.withColumns({text_col: new, "pii_kinds": F.coalesce(kinds, none)}).drop(*names)
+    return out.withColumns({text_col: new, "pii_kinds": F.coalesce(kinds, none)}).drop(*names, f"{mark}key")
 
 
 #: The key of the registered query; a deployment passes its own.

@@ -81,6 +81,16 @@ def test_only_valid_values_change(spark):
     assert outputs(spark, kept) == kept
 
 
+def test_a_key_that_plans_do_not_show(spark, tmp_path, capsys):
+    (tmp_path / "key.txt").write_text("hidden-secret")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    out = pseudonymize(df, spark.read.text(str(tmp_path / "key.txt")).scalar())
+    assert out.columns == ["doc_id", "text", "pii_kinds"]
+    assert [r.text for r in out.orderBy("doc_id").collect()] == outputs(spark, TEXTS, "hidden-secret")
+    out.explain(True)
+    assert "hidden-secret" not in capsys.readouterr().out
+
+
 def test_columns_of_clashing_names_stay(spark):
     df = spark.createDataFrame([(1, "x", 7, 8, ["a"])], "doc_id long, text string, pii0_0 int, __pii3 int, pii_kinds array<string>")
     assert [tuple(r) for r in pseudonymize(df, KEY).collect()] == [(1, "x", 7, 8, [])]
