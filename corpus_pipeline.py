@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorweave.llm.common import row_key, scratch
+from factorweave.llm.common import fresh, row_key, scratch
 from factorweave.llm.decontamination import decontaminate
 from factorweave.llm.packing import pack, word_lengths
 from factorweave.llm.pii import QUERY_KEY, pseudonymize
@@ -30,10 +30,11 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold too much of the benchmark; rows are told apart by id and text."""
-    keyed = docs.withColumn("contamination_key", row_key())
-    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="contamination_key")
-    drop = found.where("contaminated").select(F.col("doc_id").alias("contamination_key")).distinct()
-    return keyed.join(drop, "contamination_key", "left_anti").select(docs.columns)
+    name = fresh("row_key", docs.columns)
+    keyed = docs.withColumn(name, row_key())
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=name)
+    drop = found.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(drop, name, "left_anti").select(docs.columns)
 
 
 def mask_pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

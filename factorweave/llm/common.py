@@ -27,18 +27,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one table under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_made: list[str] = []
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet into the shared folder and reads it back: its lineage ends there."""
-    path = scratch(df.sparkSession, name)
+def scratch(spark: SparkSession, name: str, paths: list[str] | None = None) -> str:
+    """A fresh folder for one table under the shared folder.
+
+    It is added to `paths`, for a caller that deletes it, or else to those that
+    clear_scratch() deletes.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    (_made if paths is None else paths).append(path)
+    return path
+
+
+def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Writes df once as Parquet into a scratch folder and reads it back: its lineage ends there."""
+    path = scratch(df.sparkSession, name, paths)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of the shared folder; paths is empty then."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep(paths: list[str]) -> None:
+    """Leaves folders to clear_scratch()."""
+    _made.extend(paths)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables and files that operators have stored, once their results are written or no longer needed."""
+    delete(spark, _made)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path in the shared folder and the path there, for readers and writers in tasks."""
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
@@ -57,6 +83,14 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A hash of id and text in which nulls count: only repeated rows are alike in it."""
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from factorweave.llm.common import row_key, saved, small_batches, texts
+from factorweave.llm.common import fresh, row_key, saved, small_batches, texts
 from factorweave.llm.components import components
 from factorweave.llm.words import SPACE_WORD, Words, mix, pieces, text_buffer, window_hashes
 
@@ -451,8 +451,9 @@ def distinct_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id
     first = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
     if roots is not None:
         first = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.key").alias("near_duplicates_key"))
-    return docs.withColumn("near_duplicates_key", row_key(id_col, text_col)).join(kept, "near_duplicates_key", "left_semi").dropDuplicates(["near_duplicates_key"]).select([F.col(f"`{c}`") for c in docs.columns])
+    name = fresh("row_key", docs.columns)
+    kept = first.select(F.col("first.key").alias(name))
+    return docs.withColumn(name, row_key(id_col, text_col)).join(kept, name, "left_semi").dropDuplicates([name]).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
