@@ -46,7 +46,8 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
     Turns are ordered by turn, role and text; equal rows stay.  Null roles and texts count
     as empty.  Rows without a pair id belong to no pair.  A side that is missing, or that is
     all prompt, has an empty completion and mask.  Other columns are ignored.  A pair is one
-    row, so a conversation has to fit into a row; conversations are not gathered together.
+    row, so a pair of conversations has to fit into a row (of at most 2 GB in Spark, and a few
+    times that in its task); other conversations are not gathered with it.
     """
     none = F.expr("cast(array() as array<struct<turn:bigint,role:string,text:string>>)")
     names = (pair_col, turn_col, role_col, text_col)
@@ -63,8 +64,8 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair_col: str = "
 
 def op6_preferences(spark, sf_dir: str) -> DataFrame:
     """Each conversation of an even id is chosen over that of the next id."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("pair_id", F.expr("conv_id div 2"))
-    out = format_preferences(turns.where("conv_id % 2 = 0"), turns.where("conv_id % 2 = 1"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("pair_id", F.expr("shiftright(conv_id, 1)"))
+    out = format_preferences(turns.where("conv_id & 1 = 0"), turns.where("conv_id & 1 = 1"))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
     return out.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
@@ -72,7 +73,7 @@ def op6_preferences(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"op6_preferences": op6_preferences}
 ORACLE_SQL = {
     "op6_preferences": r"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
            row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 j AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pos, b.pos) AS pos, coalesce(a.role = b.role AND a.text = b.text, false) AS same
       FROM (SELECT * FROM t WHERE side = 0) a FULL JOIN (SELECT * FROM t WHERE side = 1) b ON a.pair_id = b.pair_id AND a.pos = b.pos),
