@@ -223,5 +223,17 @@ def op2_media(spark, sf_dir: str) -> DataFrame:
     return tiles.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
-QUERIES = {"op2_media": op2_media}
-ORACLE_SQL: dict[str, str] = {}
+def media_digests(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2_media, which also gives a CRC and image features."""
+    return op2_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
+QUERIES = {"op2_media": op2_media, "media_digests": media_digests}
+ORACLE_SQL = {
+    "media_digests": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+n AS (SELECT doc_id, raw, octet_length(raw) AS n_bytes, greatest(1, (octet_length(raw) + 63) // 64) AS h FROM d),
+p AS (SELECT doc_id, n_bytes, h, raw || unhex(repeat('00', (64 * h - n_bytes)::INT)) AS payload FROM n),
+m AS (SELECT *, encode('P5' || chr(10) || '64 ' || h || chr(10) || '255' || chr(10)) || payload AS media FROM p)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256, octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256 FROM m"""
+}

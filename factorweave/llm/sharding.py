@@ -96,5 +96,27 @@ def op10_sharding(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op10_sharding": op10_sharding}
-ORACLE_SQL: dict[str, str] = {}
+def shards_of_documents(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10_sharding, which also gives a CRC."""
+    return op10_sharding(spark, sf_dir).select("doc_id", "size", "law", "shard", "slot")
+
+
+QUERIES = {"op10_sharding": op10_sharding, "shards_of_documents": shards_of_documents}
+
+#: Bisection for the smallest capacity at which a greedy walk over the groups' ends comes to the total in 8 steps.
+_GREEDY = "list_reduce([0::BIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, i: coalesce(list_max(list_filter(ends, lambda x: x <= a + {0})), a))"
+ORACLE_SQL = {
+    "shards_of_documents": f"""
+WITH RECURSIVE d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, sha256(coalesce(text, '')) AS key FROM documents),
+g AS (SELECT key, min(doc_id) AS first, sum(size)::BIGINT AS bytes FROM d GROUP BY key),
+e AS (SELECT key, first, sum(bytes) OVER (ORDER BY first, key)::BIGINT AS stop, bytes FROM g),
+l AS (SELECT list(stop ORDER BY stop) AS ends, max(stop) AS total, max(bytes) AS most FROM e),
+s AS (SELECT most AS low, total AS high FROM l UNION ALL
+      SELECT CASE WHEN {_GREEDY.format('mid')} = total THEN low ELSE mid + 1 END, CASE WHEN {_GREEDY.format('mid')} = total THEN mid ELSE high END
+      FROM (SELECT low, high, (low + high) // 2 AS mid FROM s WHERE low < high), l),
+c AS (SELECT min(high) AS capacity FROM s),
+w AS (SELECT 0 AS shard, 0::BIGINT AS start UNION ALL
+      SELECT shard + 1, list_max(list_filter(ends, lambda x: x <= start + capacity)) FROM w, l, c WHERE shard < 7 AND start + capacity < total),
+p AS (SELECT key, first, max(shard) AS shard FROM e JOIN w ON w.start <= e.stop - e.bytes GROUP BY ALL)
+SELECT doc_id, size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY first, key, doc_id, size) - 1 AS slot FROM d JOIN p USING (key)"""
+}

@@ -1,5 +1,10 @@
+from collections import Counter
+
 import corpus_pipeline
 
+from factorweave.llm.pii import QUERY_KEY, pseudonymize
+from factorweave.llm.toxicity import toxicity
+
 
 def test_contaminated_rows_of_null_and_repeated_ids(spark, docs, tmp_path):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -7,3 +12,50 @@ def test_contaminated_rows_of_null_and_repeated_ids(spark, docs, tmp_path):
     rows = [(None, item), (None, "clean without id"), (None, None), (1, item), (1, "clean text of a repeated id"), (1, item), (2, "clean"), (2, "clean"), (0, ""), (3, f"so {item} then")]
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs(rows), str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted((r for r in rows if item not in (r[1] or "")), key=repr)
+
+
+def test_each_stage_against_a_plain_one(spark, sf):
+    """Every stage on what its predecessor kept of the smallest tables."""
+    import importlib
+
+    decontamination = importlib.import_module("test_decontamination")
+    similar = importlib.import_module("test_similar_texts")
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    docs, stages = read("documents").cache(), dict(corpus_pipeline.STAGES)
+    columns = docs.columns
+    rows = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    before = rows(docs)
+    scored = {(r.doc_id, r.text): r.predicted for r in toxicity(docs, read("labels")).collect()}
+    now = stages["toxicity"](spark, docs, sf).cache()
+    assert now.columns == columns and rows(now) == Counter({k: n for k, n in before.items() if scored[k] == 0}) and 0 < now.count() < docs.count()
+
+    held, before = now, rows(now)
+    now = stages["near_duplicates"](spark, held, sf).cache()
+    groups = similar.brute(list(before.elements()))
+    assert now.columns == columns and rows(now) == Counter(min(g) for g in groups)
+
+    held, before = now, rows(now)
+    items = [(r.item_id, r.text) for r in read("benchmark").collect()]
+    found = decontamination.brute(list(before.elements()), items, 13)
+    now = stages["decontamination"](spark, held, sf).cache()
+    clean = {i for i, *_, contaminated in found if not contaminated}
+    assert now.columns == columns and rows(now) == Counter({k: n for k, n in before.items() if k[0] in clean}) and len(clean) < len(before)
+
+    held, before = now, rows(now)
+    now = stages["pii"](spark, held, sf).cache()
+    assert now.columns == columns and now.count() == held.count() and rows(now) != before
+    assert rows(pseudonymize(now, QUERY_KEY, restore=True)) == before
+    assert all(r.n_chars == len(r.text) for r in now.collect())
+
+    lengths, packed = Counter(), stages["packing"](spark, now, sf).collect()
+    for r in packed:
+        lengths[r.doc_id] += r["size"]
+    assert lengths == {i: len(t.split()) + 1 for i, t in rows(now)}
+    bins = Counter()
+    for r in packed:
+        bins[r.bin, r.capacity] += r["size"]
+    assert all(used <= cap for (_, cap), used in bins.items()) and len(bins) == len({b for b, _ in bins})
+    assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(map(tuple, packed))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf).count() == 0
