@@ -118,6 +118,39 @@ def quantile_edges(df: DataFrame, col: str, groups: int, by: list[str] | None =
     return df.groupBy(*(by or [])).agg(F.percentile(col, F.array(*[F.lit(s) for s in shares])).alias("edges"))
 
 
+def exact_quantiles(df: DataFrame, col: str, shares: list[float], by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """(by..., edges): the quantiles of each group, linearly interpolated, for groups of any size.
+
+    A mergeable sketch first brackets each quantile between two values, of which it is known
+    that the ranks looked for lie between them.  Then only the values inside brackets, some
+    4 in `accuracy` of a group for each share, are counted one by one, and all others by the
+    gap they fall into; running sums over these few rows give the ranks.  Groups of up to
+    10 * accuracy values have one bracket of all.  Groups without a value have no row.
+    """
+    eps = 2 / accuracy
+    x = df.select(*by, finite(F.col(col)).alias("x")).where("x is not null")
+    asked = [min(1.0, max(0.0, s + d)) for s in shares for d in (-eps, eps)]
+    near = x.groupBy(*by).agg(F.count("x").alias("n"), F.percentile_approx("x", F.array(*[F.lit(s) for s in asked]), F.lit(accuracy)).alias("a"), F.min("x").alias("least"), F.max("x").alias("most"))
+    small = F.col("n") <= 10 * accuracy
+    ends = [[F.when(small, F.col(whole)).otherwise(F.get("a", F.lit(2 * i + k))) for i in range(len(shares))] for k, whole in ((0, "least"), (1, "most"))]
+    near = near.select(*by, "n", F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in zip(*ends, strict=True)]).alias("brackets"))
+    value = F.col("x")
+    inside = F.exists("brackets", lambda b: (b["lo"] <= value) & (value <= b["hi"]))
+    gap = F.coalesce(F.array_max(F.transform(F.filter("brackets", lambda b: b["hi"] < value), lambda b: b["hi"])), F.lit(float("-inf")))
+    counted = x.join(near, by).select(*by, "n", F.when(inside, value).otherwise(gap).alias("x"), (~inside).alias("gap")).groupBy(*by, "x", "gap").agg(F.first("n").alias("n"), F.count("*").alias("rows"))
+    until = Window.partitionBy(*by).orderBy("x", "gap").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("stop", F.sum("rows").over(until))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("stop") - F.col("rows") <= rank) & (rank < F.col("stop")), F.col("x")))
+
+    place = {s: (F.col("n") - 1) * s for s in shares}
+    low = {s: at(F.floor(p)) for s, p in place.items()}
+    high = {s: at(F.least(F.floor(p) + 1, F.col("n") - 1)) for s, p in place.items()}
+    part = {s: F.first(p - F.floor(p)) for s, p in place.items()}
+    return ranked.groupBy(*by).agg(F.array(*[low[s] + (high[s] - low[s]) * part[s] for s in shares]).alias("edges"))
+
+
 def bucket(x: Column, edges: Column) -> Column:
     """0-based bucket of x among inner edges; a bucket is (low, high], so ties stay together."""
     return F.when(x.isNotNull(), F.size(F.filter(edges, lambda e: e < x)))

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorweave.functions.stats import DAY, SECU, bucket, clip, corr, finite, over_day, pct_rank, quantile_edges, ratio, tvalue, win_rate, zscore
+from factorweave.functions.stats import DAY, SECU, bucket, clip, corr, exact_quantiles, finite, over_day, pct_rank, ratio, tvalue, win_rate, zscore
 
 
 def with_return(df: DataFrame, ret_col: str, shift: int | None = 2) -> DataFrame:
@@ -121,10 +121,10 @@ def group_box(rows: DataFrame, groups: int = 10) -> DataFrame:
     Returns beyond the 1% and 99% quantiles of their bin count as these.
     """
     sided = rows.select("zf", F.col("zr").alias("r"), (F.col("zf") > 0).cast("int").alias("side")).where("zf is not null and r is not null")
-    edges = quantile_edges(sided, "zf", groups, ["side"])  # two rows
+    edges = exact_quantiles(sided, "zf", [i / groups for i in range(1, groups)], ["side"])  # two rows
     binned = sided.join(F.broadcast(edges), "side").select((bucket(F.col("zf"), F.col("edges")) + 1 + groups * F.col("side")).alias("bin"), "r")
-    ends = binned.groupBy("bin").agg(F.percentile("r", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))  # as many rows as bins
-    held = F.greatest(F.least(F.col("r"), F.col("q")[1]), F.col("q")[0])
+    ends = exact_quantiles(binned, "r", [0.01, 0.99], ["bin"])  # as many rows as bins
+    held = F.greatest(F.least(F.col("r"), F.col("edges")[1]), F.col("edges")[0])
     return binned.join(F.broadcast(ends), "bin").groupBy("bin").agg(F.count("*").alias("n"), F.avg(held).alias("mean_ret"))
 
 

@@ -66,6 +66,19 @@ def test_row_lag_and_calendar_lag_differ_at_a_gap(spark):
     assert got["a", day(0)] is None and got["b", day(0)] == 6.0 and got["b", day(2)] is None
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_exact_quantiles(spark, accuracy):
+    """The second run brackets the quantiles of the large group by the sketch."""
+    rng = np.random.default_rng(6)
+    groups = {"many": rng.normal(size=4000), "ties": rng.integers(0, 4, 900).astype(float), "two": np.array([3.0, 1.0]), "one": np.array([7.0])}
+    rows = [(g, float(v)) for g, own in groups.items() for v in own] + [("none", None), ("many", None), ("two", float("nan"))]
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {r["g"]: r["edges"] for r in stats.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(3), "v", shares, ["g"], accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, own in groups.items():
+        assert got[g] == pytest.approx(np.quantile(own, shares))
+
+
 def test_p_values():
     assert stats.beta_inc(2, 3, 0.4) == pytest.approx(0.5248)
     assert stats.f_p(3.0, 2, 20) == pytest.approx(0.0725, abs=2e-3)
