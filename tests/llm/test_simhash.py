@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from factorweave.llm.components import components
-from factorweave.llm.simhash import Routes, fingerprint, keys, linked, links, majority, near_duplicates, odd_sketches
+from factorweave.llm.simhash import Routes, fingerprint, keys, linked, links, majority, near_duplicates, odd_sketches, op8_simhash
 
 
 def slow(text, n=4):
@@ -132,3 +132,17 @@ def test_components(spark, seed):
     assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) == 1
     got = {r.node: r.root for r in found.collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_query_on_the_whole_table(spark, sf):
+    """Every row against brute force; and of queries with an id divisible by 20 each link to any row is found."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in op8_simhash(spark, sf).collect()}
+    values = [slow(t) for _, t in rows]
+    root = brute(values)
+    least = {c: min(i for (i, _), r in zip(rows, root) if r == c) for c in set(root.tolist())}
+    assert len(got) == len(rows)
+    for (i, _), v, c in zip(rows, values, root.tolist()):
+        assert (got[i].fingerprint, got[i].component_id) == (f"{v:016x}", least[c])
+    links = [(i, j) for (i, _), v in zip(rows, values) if i % 20 == 0 for (j, _), w in zip(rows, values) if i != j and (v ^ w).bit_count() <= 4]
+    assert links and all(got[i].component_id == got[j].component_id for i, j in links)

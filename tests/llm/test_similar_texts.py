@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 
-from factorweave.llm.simhash import shingle_sets
+from factorweave.llm.simhash import bit_share, number_of_fingerprints, shingle_sets, similar_texts
 
 
 def words_set(text):
@@ -40,7 +40,7 @@ def test_shingle_sets():
     assert [len(x) for x in own] == [len(words_set(t)) for t in texts] and own[0] == own[3] and own[0] & own[6]
 
 
-def test_stage_keeps_one_of_each_group_at_0_8(spark, docs, odd):
+def case(odd):
     rng = random.Random(3)
     word = lambda: rng.choice("abcdefghijklmnop") + str(rng.randrange(99))
     rows = [*odd, (None, "a"), (None, "no id"), (10, "another text of a repeated id"), (11, "another TEXT of a repeated id")]
@@ -57,9 +57,29 @@ def test_stage_keeps_one_of_each_group_at_0_8(spark, docs, odd):
     for k in range(80):
         whole[rng.randrange(200)] = word()
         rows.append((6000 + k, " ".join(whole)))
+    return rows
+
+
+def test_stage_keeps_one_of_each_group_at_0_8(spark, docs, odd):
+    rows = case(odd)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs(rows, 5), "").collect()]
     groups = brute(rows)
     assert len(got) == len(groups)
     for group in groups:
         mine = [r for r in group if r in got]
         assert len(set(mine)) == 1 and mine[0][0] == min((i for i, _ in group if i is not None), default=None)
+
+
+def test_number_of_fingerprints():
+    assert [number_of_fingerprints(0.8, k) for k in (3, 2)] == [12, 78] and number_of_fingerprints(0.9, 3) < 7
+    assert abs(bit_share(0.8) - 0.1515) < 1e-3
+
+
+def test_longer_segments_and_small_blocks_find_the_same(spark, docs, odd):
+    rows = [(i, t) for i, t in case(odd) if i is not None][:140]
+    df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "key long, doc_id long, text string")
+    own, roots = similar_texts(df, parts=2, block=8)
+    got = {}
+    for r in own.join(roots, "node", "left").collect():
+        got.setdefault(r.root if r.root is not None else r.node, set()).add(rows[r.key])
+    assert sorted(map(sorted, (map(repr, g) for g in got.values()))) == sorted(map(sorted, (map(repr, set(g)) for g in brute(rows))))
