@@ -37,35 +37,35 @@ _NO_ID = -(2**63)
 
 
 class _Level:
-    """The candidate windows of one length in one block, distinct and ordered by bucket."""
+    """The candidate windows of one length in one block, distinct and in order of their hash, so of bucket, too."""
 
     def __init__(self, words: Words, ids: np.ndarray, length: int, at: np.ndarray, buckets: int):
         self.at = at
         keys = window_hashes(ids, length)[at]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ordered = keys[order]
         new = np.ones(len(keys), bool)
         new[1:] = ordered[1:] != ordered[:-1]
+        head = np.flatnonzero(new)
         self.of = np.empty(len(keys), np.int64)  # of each candidate: its distinct key
         self.of[order] = np.cumsum(new) - 1
-        self.first = order[new]  # of each distinct key: its first candidate
-        self.many = np.diff(np.append(np.flatnonzero(new), len(keys))) > 1
+        self.first = np.minimum.reduceat(order, head) if len(head) else head  # of each distinct key: its first candidate
+        self.many = np.diff(np.append(head, len(keys))) > 1
         self.keys = ordered[new]
-        self.bucket = (self.keys % np.uint64(buckets)).astype(np.int64)
-        self.by_bucket = np.argsort(self.bucket, kind="stable")
-        self.cut = np.searchsorted(self.bucket[self.by_bucket], np.arange(buckets + 1))
+        bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        self.cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
     def sent(self):
         """(bucket, the distinct keys in it) for each bucket with keys."""
         for b in np.flatnonzero(np.diff(self.cut)):
-            yield int(b), self.by_bucket[self.cut[b] : self.cut[b + 1]]
+            yield int(b), slice(int(self.cut[b]), int(self.cut[b + 1]))
 
     def answer(self, bits: dict[int, bytes], which: int = 0) -> np.ndarray:
         """The buckets' bits, one for each distinct key; which: the first or second bit of a key."""
         out = np.zeros(len(self.keys), bool)
         for b, own in self.sent():
-            skip = which * ((len(own) + 7) // 8)
-            out[own] = np.unpackbits(np.frombuffer(bits[b], np.uint8, offset=skip), count=len(own)).astype(bool)
+            n = own.stop - own.start
+            out[own] = np.unpackbits(np.frombuffer(bits[b], np.uint8, offset=which * ((n + 7) // 8)), count=n).astype(bool)
         return out
 
 
@@ -139,7 +139,7 @@ def _send(k: int, ladder: _Ladder, buckets: int):
                     keys = keys.tobytes()
                 else:
                     extra = many
-                    keys = np.ascontiguousarray((keys // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]).tobytes()
+                    keys = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]).tobytes()
                 for name, v in zip(_SENT_ARROW.names, (k, b, docs.column("block")[0].as_py(), keys, extra), strict=True):
                     out[name].append(v)
         return pa.table(out, _SENT_ARROW)
@@ -163,18 +163,23 @@ def _judge(k: int, wanted: int):
         else:
             low = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, _KEY_BYTES).astype(np.uint32)
             keys, second = (low << (8 * np.arange(_KEY_BYTES, dtype=np.uint32))).sum(1, dtype=np.uint32), np.zeros(len(low), np.uint32)
-        if k == wanted:
-            tail = [4 * n + (n + 7) // 8 for n in size]
-            ids = np.frombuffer(b"".join(x[t : t + 8 * n] for x, t, n in zip(extra, tail, size, strict=True)), "<i8")
-            start = np.frombuffer(b"".join(x[t + 8 * n :] for x, t, n in zip(extra, tail, size, strict=True)), "<u4")
-            order = np.lexsort((start, ids, second, keys))
-        else:
-            order = np.lexsort((second, keys)) if long else np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
+        if long:  # rows of an equal first hash, which are few, are told apart by the second
+            near = keys[order][1:] == keys[order][:-1]
+            alike = np.flatnonzero(np.append(near, False) | np.append(False, near))
+            own = order[alike]
+            parts = [second[own], keys[own]]
+            if k == wanted:
+                tail = [4 * n + (n + 7) // 8 for n in size]
+                ids = np.frombuffer(b"".join(x[t : t + 8 * n] for x, t, n in zip(extra, tail, size, strict=True)), "<i8")
+                start = np.frombuffer(b"".join(x[t + 8 * n :] for x, t, n in zip(extra, tail, size, strict=True)), "<u4")
+                parts = [start[own], ids[own], *parts]
+            order[alike] = own[np.lexsort(parts)]
         new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (second[order][1:] != second[order][:-1]))
         group, head = np.cumsum(new) - 1, np.flatnonzero(new)
         count = np.diff(np.append(head, len(order)))
         repeated = np.empty(len(order), bool)  # does it occur twice?
-        repeated[order] = (count > 1)[group] | np.maximum.reduceat(many[order], head)[group]
+        repeated[order] = ((count > 1) | np.maximum.reduceat(many[order], head))[group]
         answers = [repeated]
         if k == wanted:  # is it the earliest (doc_id, start) of its window?
             least = order[head][group]
