@@ -137,9 +137,13 @@ def _autocorr(a: Column, m: Column, n: int) -> Column:
     return ratio(near / (n - 1), _total(F.transform(a, lambda v: (v - m) * (v - m))) / n)
 
 
+def _middle(a: Column, n: int) -> Column:
+    """The median of n values; sort_array, as array_sort calls a lambda for each comparison."""
+    return _let(F.sort_array(a), lambda s: (F.get(s, F.lit((n - 1) // 2)) + F.get(s, F.lit(n // 2))) / 2)
+
+
 def _mean_deviation_median(a: Column, m: Column, n: int) -> Column:
-    s = F.array_sort(F.transform(a, lambda v: F.abs(v - m)))
-    return (F.try_element_at(s, F.lit((n + 1) // 2)) + F.try_element_at(s, F.lit(n // 2 + 1))) / 2
+    return _middle(F.transform(a, lambda v: F.abs(v - m)), n)
 
 
 def _beyond(k: float) -> Callable[[Column, Column, int], Column]:
@@ -200,7 +204,7 @@ _ts("ts_mean", _window(lambda x, w, n: F.avg(x).over(w)), 5)
 _ts("ts_std", _window(lambda x, w, n: F.stddev_samp(x).over(w)), 5)
 _ts("ts_max", _window(lambda x, w, n: F.max(x).over(w)))
 _ts("ts_min", _window(lambda x, w, n: F.min(x).over(w)))
-_ts("ts_median", _window(lambda x, w, n: F.percentile(x, F.lit(0.5)).over(w)))
+_ts("ts_median", _array(lambda a, m, n: _middle(a, n)))
 _ts("ts_skew", _array(_skew), value="float")
 _ts("ts_kurt", _array(_kurt), value="float")
 _ts("ts_autocorr", _array(_autocorr), value="uniform", rewrite=_at_least(10, 10))
