@@ -46,20 +46,22 @@ def _walk(sums: DataFrame, capacities: list[int], shards: int, total: int, most:
     return at
 
 
-def cuts(sums: DataFrame, shards: int, ways: int = 16) -> list[int]:
+def cuts(sums: DataFrame, shards: int, ways: int = 64) -> list[int]:
     """The bytes before each shard under the smallest capacity that is enough."""
     total, most = sums.agg(F.sum("bytes"), F.max("bytes")).first()
     if not total:
         return [0]
     low, high = max(most, -(-total // shards)), -(-total // shards) + most  # the second is always enough
+    walks: dict[int, list[int]] = {}
     while low < high:
         tried = sorted({low + (high - low) * i // ways for i in range(ways)})
-        enough = [a[-1] == total for a in _walk(sums, tried, shards, total, most)]
+        walks |= zip(tried, _walk(sums, tried, shards, total, most), strict=True)
+        enough = [walks[c][-1] == total for c in tried]
         k = enough.index(True) if True in enough else len(tried)
         high, low = (tried[k] if k < len(tried) else high), (tried[k - 1] + 1 if k else low)
         if k == 0:
             break
-    at = _walk(sums, [high], shards, total, most)[0]
+    at = walks[high] if high in walks else _walk(sums, [high], shards, total, most)[0]
     return sorted(set(at[:-1]) - {total})
 
 
