@@ -6,7 +6,8 @@ built where the documents lie, without a shuffle, and stored in the shared folde
 
 A phrase is looked up from its rarest term in the block: that term's places, moved back by
 its offset, are intersected with the moved places of the next rarest, and so on.  With
-`slop`, a term may stand up to so many words from its offset: a proximity match.
+`slop`, a term may stand up to so many words from its offset: a proximity match, within one
+document, whatever else is in the block.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class _Block:
         self.places = np.frombuffer(row["places"], "<u4")
 
     def find(self, q: _Queries, slop: int):
-        """(item, exact starts, near starts, size) for each window that occurs here."""
+        """(item, exact starts, documents with a proximity match, size) for each window that occurs here."""
         if not len(self.terms) or not len(q.vocabulary):
             return
         at = np.minimum(np.searchsorted(self.terms, q.vocabulary), len(self.terms) - 1)
@@ -80,32 +81,44 @@ class _Block:
         lists: dict[int, np.ndarray] = {}
         for w in np.flatnonzero(absent[q.start + q.size] == absent[q.start]):
             terms = q.word[q.start[w] : q.start[w] + q.size[w]]
-            order = np.argsort(count[terms], kind="stable")  # the rarest first
-            near = exact = None
-            for off in order.tolist():
-                t = int(terms[off])
+            for t in np.unique(terms).tolist():
                 if t not in lists:
                     lists[t] = self.places[self.heads[at[t]] : self.heads[at[t] + 1]].astype(np.int64)
-                own = lists[t]
-                if near is None:
-                    near, exact = own - off, np.ones(len(own), bool)
-                    continue
-                i = np.searchsorted(own, near + off - slop)
-                next_ = own[np.minimum(i, len(own) - 1)]
-                ok = (i < len(own)) & (next_ <= near + off + slop)
-                if slop:
-                    j = np.minimum(np.searchsorted(own, near + off), len(own) - 1)
-                    exact &= own[j] == near + off
-                    exact = exact[ok]
-                near = near[ok]
-                if not len(near):
-                    break
-            if len(near):
-                doc = np.searchsorted(self.first, near, "right") - 1
-                inside = (near >= 0) & (near + q.size[w] <= self.first[np.minimum(doc + 1, len(self.first) - 1)])
-                exact = (exact if slop else np.ones(len(near), bool)) & inside
-                if inside.any():
-                    yield int(q.item[w]), near[exact], near[inside & ~exact], int(q.size[w])
+            order = [(int(off), lists[int(terms[off])]) for off in np.argsort(count[terms], kind="stable")]  # the rarest first
+            exact = self._exact(order, int(q.size[w]))
+            near = self._near(order, slop) if slop else np.zeros(0, np.int64)
+            if len(exact) or len(near):
+                yield int(q.item[w]), exact, near, int(q.size[w])
+
+    def _exact(self, order: list[tuple[int, np.ndarray]], size: int) -> np.ndarray:
+        """Starts s at which every term stands at s + its offset, within one document."""
+        starts = order[0][1] - order[0][0]
+        for off, own in order[1:]:
+            if not len(starts):
+                return starts
+            i = np.minimum(np.searchsorted(own, starts + off), len(own) - 1)
+            starts = starts[own[i] == starts + off]
+        starts = starts[starts >= 0]
+        doc = np.searchsorted(self.first, starts, "right") - 1
+        return starts[starts + size <= self.first[np.minimum(doc + 1, len(self.first) - 1)]]
+
+    def _near(self, order: list[tuple[int, np.ndarray]], slop: int) -> np.ndarray:
+        """Documents with a start s for which every term stands, in them, within `slop` words of s + its offset.
+
+        All such s are within `slop` of a place of the rarest term, moved back; so the choice
+        of that term, which depends on what else lies in the block, changes nothing.
+        """
+        off, own = order[0]
+        doc = np.repeat(np.searchsorted(self.first, own, "right") - 1, 2 * slop + 1)
+        starts = (own[:, None] - off + np.arange(-slop, slop + 1)).ravel()
+        for off, own in order[1:]:
+            if not len(starts):
+                break
+            i = np.searchsorted(own, np.maximum(starts + off - slop, self.first[doc]))
+            found = own[np.minimum(i, len(own) - 1)]
+            ok = (i < len(own)) & (found <= starts + off + slop) & (found < self.first[doc + 1])
+            starts, doc = starts[ok], doc[ok]
+        return np.unique(doc)
 
 
 def _spans(hit: np.ndarray) -> list[dict]:
@@ -126,8 +139,8 @@ class _Found:
         for item, exact, near, size in self.block.find(q, slop):
             np.add.at(self.cover, exact, 1)
             np.subtract.at(self.cover, exact + size, 1)
-            for places, into in ((exact, self.items), (near, self.near)):
-                for d in np.unique(np.searchsorted(self.block.first, places, "right") - 1).tolist():
+            for found, into in ((np.unique(np.searchsorted(self.block.first, exact, "right") - 1), self.items), (near, self.near)):
+                for d in found.tolist():
                     into.setdefault(d, set()).add(q.item_ids[item])
 
     def batch(self) -> pa.RecordBatch:
@@ -178,7 +191,8 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     """Looks up all windows of the items in every block; one row for each indexed document.
 
     Returns doc_id, n_words, spans of words inside an exact match, items with one, and
-    near_items: those with proximity matches only.  Items are stored in files of about
+    near_items: those with proximity matches only: for some start s every term of a window stands
+    in the document within `slop` words of s + its offset.  Items are stored in files of about
     `most_bytes` of text, that the tasks read one after another; a block gathers what all
     files find.  Rows of items with a null id are no items; repeated ones count once.
     """

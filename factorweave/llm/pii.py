@@ -14,12 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ROUNDS = 8
+#: Lengths of IBANs by country (fixed values of ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def _iban_pattern() -> str:
+    """An unbroken IBAN of any country, or one in groups of four of its country's length: what follows it isn't part of it."""
+    grouped = [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{f' [A-Z0-9]{{{n % 4}}}' if n % 4 else ''}" for n, codes in IBAN_LENGTHS.items()]
+    return rf"(?<![0-9A-Za-z])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{'|'.join(grouped)})(?![0-9A-Za-z])"
+
+
 #: What is looked for, in order of preference where values overlap.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
+    "iban": _iban_pattern(),
     "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,6})(?![0-9])",
+    "phone": r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9](?:[ .-](?![0-9]{4}(?<in>[ -])[0-9]{4}\k<in>[0-9]{4}\k<in>[0-9]{1,7}(?![0-9]))[0-9]|[0-9]){7,14})(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<by>[ -])[0-9]{4}\k<by>[0-9]{4}\k<by>[0-9]{1,7}|[0-9]{4}(?<of>[ -])[0-9]{6}\k<of>[0-9]{5})(?![0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?<mark>[/.])[0-9]{1,2}\k<mark>[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -171,7 +184,7 @@ def pseudonymize(docs: DataFrame, key: str | Column, text_col: str = "text", res
     """docs with text_col pseudonymized, and pii_kinds: the kinds of what was replaced, in order.
 
     Kinds: email, iban, secret (32 to 64 hex digits), phone, card, date, ssn, ip.  What fails
-    its validation stays as it is.  Slashed dates are read day first where that is a date,
+    its validation stays as it is, with all that lies in it.  IBANs in groups of four have the length of their country.  Slashed dates are read day first where that is a date,
     and are then linked with the same day in other formats; those that can only be read month
     first are permuted among themselves.  Dates outside 1700 to 2099 stay.  restore=True undoes it with the same
     key.  A key given as text stands in the plan; one given as a Column, such as

@@ -73,6 +73,29 @@ def test_proximity(spark, docs):
     assert {r.doc_id: (r["items"], r.near_items) for r in got.collect()} == {1: ([], ["1"]), 2: (["2"], []), 3: ([], [])}
 
 
+def near(w, v, length, slop):
+    """Some start has every word of a window within slop of its place."""
+    n = min(length, len(v))
+    return bool(n) and any(all(any(w[p] == v[a + k] for p in range(max(0, s + k - slop), min(len(w), s + k + slop + 1))) for k in range(n)) for a in range(len(v) - n + 1) for s in range(-slop - n, len(w) + slop + 1))
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 3])
+def test_proximity_equals_brute_force(spark, docs, slop):
+    """Over many short documents, whatever else lies in the block."""
+    rng = random.Random(slop)
+    v = ["aa", "bb", "cc", "dd", "ee"]
+    rows = [(i, " ".join(rng.choice(v) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(100, "aa bb cc xx"), (101, "dd ee"), (102, "bb aa cc"), (103, "aa aa bb bb"), (104, "bb bb cc cc")]
+    items = [(i, " ".join(rng.choice(v) for _ in range(rng.randint(1, 6)))) for i in range(12)] + [(50, "aa bb cc dd"), (51, "aa bb cc")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in rows:
+        exact = {str(k) for k, it in items if near(words(t), words(it), 4, 0)}
+        want[i] = (exact, {str(k) for k, it in items if near(words(t), words(it), 4, slop)} - exact)
+    for block_bytes in (1, 60, 1 << 20):
+        got = search(build_index(docs(rows), block_bytes=block_bytes), table, length=4, slop=slop)
+        assert {r.doc_id: (set(r["items"]), set(r.near_items)) for r in got.collect()} == want
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs([]), none).collect() == []

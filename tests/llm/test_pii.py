@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 import pytest
 
+from factorweave.llm import pii
 from factorweave.llm.pii import pseudonymize
 
 KEY = "k'ey\\"
@@ -102,3 +103,35 @@ def test_cards_are_permuted(spark, n):
     cards = [next(b + str(c) for c in range(10) if luhn(b + str(c)) == 0) for b in bodies]
     out = outputs(spark, cards)
     assert len(set(out)) == 60 and all(luhn(x) == 0 and len(x) == n for x in out)
+
+
+def with_check(country, bban):
+    """An IBAN with its check digits."""
+    number = "".join(str(int(c, 36)) for c in f"{bban}{country}00")
+    return f"{country}{98 - int(number) % 97:02d}{bban}"
+
+
+def grouped(iban):
+    return " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+
+
+@pytest.mark.parametrize(("country", "length"), [(c, n) for n, codes in pii.IBAN_LENGTHS.items() for c in codes.split()[:2]])
+def test_ibans_of_every_length_before_a_capital_word(spark, country, length):
+    iban = with_check(country, "21000418450200051332ABCDEFGH"[: length - 4])
+    texts = [f"{grouped(iban)}{after}" for after in ("", " EUR", " BIC code", " A", " 12", ".", " DE89 3704 0044 0532 0130 00")]
+    for old, new in zip(texts, outputs(spark, texts), strict=True):
+        shown = grouped(iban)
+        assert len(new) == len(old) and new[: len(shown)] != shown and new[:2] == country
+        bare = new[: len(shown)].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        assert " DE89" in old or new[len(shown) :] == old[len(shown) :]
+    assert [r.text for r in pseudonymize(spark.createDataFrame(list(enumerate(outputs(spark, texts))), "doc_id long, text string"), KEY, restore=True).orderBy("doc_id").collect()] == texts
+
+
+def test_cards_and_phones_next_to_each_other(spark):
+    card, phone = "4111 1111 1111 1111", "+33612345678"
+    texts = [f"+49 {card}", f"+1 {card}", "+49 4111111111111111", "+49 4111-1111-1111-1111.", f"{phone} 4111111111111111", f"{phone} {card}"]
+    for old, new in zip(texts, outputs(spark, texts), strict=True):
+        assert "1111" not in new.replace(" ", "").replace("-", "")[-16:] and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old)
+        assert luhn(re.sub("[^0-9]", "", new)[-16:]) == 0
+    assert all(phone not in x for x in outputs(spark, texts)[4:])
