@@ -16,6 +16,7 @@ wherever they lie.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import pairwise
 
 import pyarrow as pa
@@ -259,7 +260,7 @@ def _long(rows: DataFrame, chunk_rows: int) -> DataFrame:
 
 def repair(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", present_col: str | None = None, most_bytes: int = 64 << 20, chunk_rows: int = 4096
-) -> DataFrame:
+) -> Repaired:
     """The cheapest repair of every conversation, in pieces: rows (conv_id, no, pieces, gaps, blank, duplicate, truncated, illegal, cost, audit, turns).
 
     Turns are taken by turn (nulls first), then role and text; null roles and texts count as one
@@ -289,12 +290,7 @@ def repair(
     else:
         parts = rows, None
     whole = parts[0].repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_whole, _PIECE)
-    return whole if parts[1] is None else whole.unionByName(_long(parts[1], chunk_rows))
-
-
-def repaired_turns(pieces: DataFrame) -> DataFrame:
-    """(conv_id, no, at, edit, role, text) of what stays: order by conv_id, no, at."""
-    return pieces.select("conv_id", "no", F.posexplode("turns").alias("at", "t")).select("conv_id", "no", "at", "t.*").where("edit <> 'D'")
+    return Repaired(whole, None if parts[1] is None else saved(_long(parts[1], chunk_rows), "repaired-pieces"))
 
 
 def _lines(turns) -> list[str]:
@@ -326,19 +322,34 @@ def _digests(batches):
         yield done()
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """(conv_id, audit, repaired_sha256) of each conversation: the digest of its `role:text` lines.
+@dataclass(frozen=True)
+class Repaired:
+    """whole: conversations of one piece; spread: the pieces of the others, stored, if there are any."""
 
-    One piece is hashed where it lies; those of a longer conversation are dealt by its id and
-    run through one hash in order, a piece at a time.  Its audit is one string.
-    """
-    line = F.transform(F.filter("turns", lambda t: t["edit"] != "D"), lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
-    one = pieces.where("pieces = 1").select("conv_id", *_FACTS, "audit", F.sha2(F.array_join(line, "\n"), 256).alias("repaired_sha256"))
-    rest = pieces.where("pieces > 1")
-    read = rest.select("conv_id", "no", "audit", "turns").repartition("conv_id").sortWithinPartitions("conv_id", "no").mapInArrow(_digests, "conv_id long, audit string, repaired_sha256 string")
-    facts = rest.where("no = 0").select(F.col("conv_id").alias("id"), *_FACTS)
-    more = facts.join(read, F.col("id").eqNullSafe(F.col("conv_id"))).select("conv_id", *_FACTS, "audit", "repaired_sha256")
-    return one.unionByName(more)
+    whole: DataFrame
+    spread: DataFrame | None
+
+    @property
+    def pieces(self) -> DataFrame:
+        return self.whole if self.spread is None else self.whole.unionByName(self.spread)
+
+    def turns(self) -> DataFrame:
+        """(conv_id, no, at, edit, role, text) of what stays: order by conv_id, no, at."""
+        return self.pieces.select("conv_id", "no", F.posexplode("turns").alias("at", "t")).select("conv_id", "no", "at", "t.*").where("edit <> 'D'")
+
+    def digests(self) -> DataFrame:
+        """(conv_id, gaps, ..., cost, audit, repaired_sha256) of each conversation: the digest is that of its `role:text` lines.
+
+        One piece is hashed where it lies; those of a longer conversation are dealt by its id and
+        run through one hash in order, a piece at a time.  Its audit is one string.
+        """
+        line = F.transform(F.filter("turns", lambda t: t["edit"] != "D"), lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+        one = self.whole.select("conv_id", *_FACTS, "audit", F.sha2(F.array_join(line, "\n"), 256).alias("repaired_sha256"))
+        if self.spread is None:
+            return one
+        read = self.spread.select("conv_id", "no", "audit", "turns").repartition("conv_id").sortWithinPartitions("conv_id", "no").mapInArrow(_digests, "conv_id long, audit string, repaired_sha256 string")
+        facts = self.spread.where("no = 0").select(F.col("conv_id").alias("id"), *_FACTS)
+        return one.unionByName(facts.join(read, F.col("id").eqNullSafe(F.col("conv_id"))).select("conv_id", *_FACTS, "audit", "repaired_sha256"))
 
 
 def damaged(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -358,8 +369,7 @@ def damaged(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 
 def op12_conversation_repair(spark, sf_dir: str) -> DataFrame:
-    pieces = repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), present_col="present")
-    return digests(pieces).select("conv_id", *_FACTS, "audit", "repaired_sha256")
+    return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), present_col="present").digests()
 
 
 QUERIES = {"op12_conversation_repair": op12_conversation_repair}

@@ -141,8 +141,7 @@ def table(spark, talks):
 @pytest.mark.parametrize(("most_bytes", "chunk_rows"), [(1 << 26, 4096), (0, 1), (0, 3), (2000, 50)])
 def test_equals_plain(spark, most_bytes, chunk_rows):
     talks = conversations()
-    pieces = cr.repair(cr.damaged(table(spark, talks)), present_col="present", most_bytes=most_bytes, chunk_rows=chunk_rows)
-    got = cr.digests(pieces)
+    got = cr.repair(cr.damaged(table(spark, talks)), present_col="present", most_bytes=most_bytes, chunk_rows=chunk_rows).digests()
     assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((plain(c, own) for c, own in talks.items()), key=repr)
 
@@ -151,7 +150,7 @@ def test_equals_plain(spark, most_bytes, chunk_rows):
 def test_rows_of_the_result(spark, most_bytes):
     """Without damage; whatever the pieces, the turns that stay are those of the whole."""
     talks = {c: own for c, own in conversations().items() if c is not None}
-    got = cr.repaired_turns(cr.repair(table(spark, talks), most_bytes=most_bytes, chunk_rows=4)).orderBy("conv_id", "no", "at").collect()
+    got = cr.repair(table(spark, talks), most_bytes=most_bytes, chunk_rows=4).turns().orderBy("conv_id", "no", "at").collect()
     by = {c: [(r["role"], r["text"]) for r in own] for c, own in itertools.groupby(got, key=lambda r: r["conv_id"])}
     for c, own in talks.items():
         rows = sorted(((t, r or " " if r is None else r, " " if x is None else x) for t, r, x in own), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
@@ -159,7 +158,7 @@ def test_rows_of_the_result(spark, most_bytes):
 
 
 def test_no_rows(spark):
-    assert cr.digests(cr.repair(table(spark, {}))).collect() == []
+    assert cr.repair(table(spark, {})).digests().collect() == []
 
 
 def test_query_on_the_whole_table(spark, sf):
