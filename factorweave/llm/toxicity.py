@@ -65,12 +65,16 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, offsets = text_buffer(part.column(1))
+                data = np.insert(data, offsets[1:-1], 0x20)  # texts end words
                 data = data[(data < 0x80) | (data >= 0xC0)] if len(data) else data
                 code = _CODE[data].astype(np.int32)
                 code = code[np.append(True, (code[1:] > 0) | (code[:-1] > 0))] if len(code) else code
                 code = np.concatenate([[0, 0, 0], code, [0]])
-                gram = ((code[:-3] * _A + code[1:-2]) * _A + code[2:-1]) * _A + code[3:]
-                total += np.bincount(gram, minlength=_A**4)
+                third, second, last, now = code[:-3], code[1:-2], code[2:-1], code[3:]
+                second = np.where(last > 0, second, 0)  # a context stops at a word's edge
+                third = np.where(second > 0, third, 0)
+                some = (last > 0) | (now > 0)
+                total += np.bincount((((third * _A + second) * _A + last) * _A + now)[some], minlength=_A**4)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
 
@@ -139,11 +143,7 @@ class Restorer:
     """Restores whole texts; words seen before come from a table that is emptied when full."""
 
     def __init__(self, model: np.ndarray, most: int = 100_000):
-        self.model, self.most, self.known, self.also = model, most, {}, []
-
-    def readings(self, column) -> list[bytes]:
-        """The restored texts, each with other readings of its spaced phrases behind it."""
-        return [a + b" " + b if b else a for a, b in zip(self(column), self.also, strict=True)]
+        self.model, self.most, self.known, self.glued = model, most, {}, []
 
     def word(self, raw: bytes) -> bytes:
         got = self.known.get(raw)
@@ -188,10 +188,10 @@ class Restorer:
         return out
 
     def run(self, signs: list[bytes], gaps: list[bytes]) -> tuple[bytes, bytes]:
-        """(phrase, also): what a run of spaced characters spells; punctuation at its ends is left out.
+        """(phrase, glued): what a run of spaced characters spells; punctuation at its ends is left out.
 
-        The character model can misplace a word's edge ('y oustupid'), so for a phrase of more
-        than one word `also` has what begins at each of its letters.
+        The character model can misplace a word's edge ('y oustupid'), so a phrase of more than
+        one word is also given without its edges, for words to be looked for from each of its letters.
         """
         least, lines = min(map(len, gaps)), [b"\n" in g for g in gaps]
         wide = tuple(len(g) > least or line and not all(lines) for g, line in zip(gaps, lines, strict=True))
@@ -206,17 +206,16 @@ class Restorer:
                 self.known.clear()
             got = restore_word(word, self.model, wide=list(wide))
             whole = got.replace(" ", "")
-            also = [whole[i : i + 24] for i in range(len(whole) - 2)] if whole != got else []
-            got = self.known[word, wide] = got.encode(), " ".join(also).encode()
+            got = self.known[word, wide] = got.encode(), whole.encode() if whole != got else b""
         return got
 
     def __call__(self, column) -> list[bytes]:
-        """The texts in lower case, with their obfuscated words restored; `also` has other readings of each."""
+        """The texts in lower case, with their obfuscated words restored; `glued` has each one's spaced phrases without edges."""
         words = Words(column, SPACE_WORD, lower=True)
         data, n = words.data, len(words.starts)
         whole = data.tobytes()
         out: list[list] = [[] for _ in range(len(words.offsets) - 1)]
-        self.also = [b""] * len(out)
+        self.glued = [b""] * len(out)
         if n:
             def count(mask):
                 c = np.concatenate([[0], np.cumsum(mask)])
@@ -238,9 +237,9 @@ class Restorer:
                 if b - a == 1:
                     new = self.word(whole[words.starts[a] : words.ends[a]])
                 else:
-                    new, also = self.run([whole[i:j] for i, j in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)], [whole[i:j] for i, j in zip(words.ends[a : b - 1].tolist(), words.starts[a + 1 : b].tolist(), strict=True)])
-                    if also:
-                        self.also[words.doc[a]] += b" " + also
+                    new, glued = self.run([whole[i:j] for i, j in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)], [whole[i:j] for i, j in zip(words.ends[a : b - 1].tolist(), words.starts[a + 1 : b].tolist(), strict=True)])
+                    if glued:
+                        self.glued[words.doc[a]] += b" " + glued
                 out[words.doc[a]].append((int(words.starts[a]), int(words.ends[b - 1]), new))
         texts_ = []
         for d, changes in enumerate(out):
@@ -268,6 +267,22 @@ def _features(restored: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(docs)
 
 
+def _inner_features(glued: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, text) of what begins at each character of the words: all to the word's end, and the first 3 to 10 bytes."""
+    words = Words(pa.array(glued, pa.binary()), ALNUM_WORD)
+    size = words.ends - words.starts
+    start = np.repeat(words.starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+    end, doc = np.repeat(words.ends, size), np.repeat(words.doc, size)
+    begins = _LEAD[words.data[start]] & (end - start >= 3)
+    start, end, doc = start[begins], end[begins], doc[begins]
+    hashes, docs = [words.segment_hashes(start, end)], [doc]
+    for k in range(3, 11):
+        longer = end - start > k
+        hashes.append(words.segment_hashes(start[longer], start[longer] + k) + np.uint64(k))
+        docs.append(doc[longer])
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 class Scorer:
     """Noisy-or over the features a text contains, brought to a probability by slope and shift."""
 
@@ -278,10 +293,10 @@ class Scorer:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(features & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def evidence(self, restored: list[bytes]) -> np.ndarray:
+    def evidence(self, restored: list[bytes], glued: list[bytes]) -> np.ndarray:
         """-log of the noisy-or's chance of no toxicity; 0 without a known feature."""
         total = np.zeros(len(restored))
-        hashes, doc = _features(restored)
+        hashes, doc = (np.concatenate(x) for x in zip(_features(restored), _inner_features(glued), strict=True))
         some = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if len(some) and len(self.features):
             hashes, doc = hashes[some], doc[some]
@@ -291,8 +306,8 @@ class Scorer:
             np.add.at(total, pairs // len(self.features), self.cost[pairs % len(self.features)])
         return total
 
-    def __call__(self, restored: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.evidence(restored) + self.shift)))
+    def __call__(self, restored: list[bytes], glued: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * self.evidence(restored, glued) + self.shift)))
 
     def calibrate(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
         """Logistic regression on the evidence by Newton's method with a small ridge."""
@@ -309,14 +324,15 @@ class Scorer:
             self.slope, self.shift = float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most_rows: int = 20_000, most_features: int = 4096, least: float = 0.6) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most_rows: int = 20_000, least: float = 0.6) -> Scorer:
     """Weighs features by the labelled documents that have them; labels is (doc_id, toxic).
 
     At most about `most_rows` labelled rows are used, chosen by a hash of doc_id, and equal
     texts count once.  A feature's weight is the lower Wilson bound, at 5**0.5 standard errors, of
     the share of toxic among its documents, so that one seen in a few documents only, or in
     clean ones as well, weighs little; it is used if that is `least` or more.  Four fifths
-    of the rows weigh the features, the last fifth calibrates the scores.
+    of the rows weigh the features, the last fifth calibrates the scores.  All features that
+    reach `least` are kept; only `most_rows` bounds them.
     """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = labels.count()
@@ -343,14 +359,14 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most_rows: int
     got = rows_in.where(~apart).mapInArrow(rows, "feature long, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     share, z2 = F.col("t") / F.col("n"), 5.0
     bound = (share + z2 / (2 * F.col("n")) - 5.0**0.5 * F.sqrt(share * (1 - share) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))) / (1 + z2 / F.col("n"))
-    best = got.withColumn("weight", bound).where(F.col("weight") >= least).orderBy(F.desc("t"), "n", "feature").limit(most_features).toArrow()
+    best = got.withColumn("weight", bound).where(F.col("weight") >= least).orderBy("feature").toArrow()  # of the bounded sample
     scorer = Scorer(model, best.column("feature").to_numpy().view(np.uint64), np.minimum(best.column("weight").to_numpy(), 0.999))
 
     def evidence(batches):
         restorer = Restorer(model)
         for batch in batches:
             for part in pieces(batch, "text"):
-                yield pa.record_batch([pa.array(scorer.evidence(restorer.readings(part.column(1)))), part.column(2)], names=["x", "toxic"])
+                yield pa.record_batch([pa.array(scorer.evidence(restorer(part.column(1)), restorer.glued)), part.column(2)], names=["x", "toxic"])
 
     known = rows_in.where(apart).mapInArrow(evidence, "x double, toxic int").toArrow()  # two numbers for each of most_rows / 5 rows
     scorer.calibrate(known.column("x").to_numpy(), known.column("toxic").to_numpy().astype(float))
@@ -370,8 +386,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", restored: boo
             for part in pieces(batch, text_col):
                 texts_ = restorer(part.column(at))
                 own = [pa.array([x.decode("utf-8", "replace") for x in texts_])] if restored else []
-                seen = [a + b" " + b if b else a for a, b in zip(texts_, restorer.also, strict=True)]
-                yield pa.record_batch([*part.columns, pa.array(scorer(seen)), *own], names=[*part.schema.names, *new])
+                yield pa.record_batch([*part.columns, pa.array(scorer(texts_, restorer.glued)), *own], names=[*part.schema.names, *new])
 
     return docs.mapInArrow(rows, schema)
 

@@ -107,6 +107,10 @@ class Words:
             a = b
         return out
 
+    def segment_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of any byte ranges, as hashes() has them of words; ranges may overlap."""
+        return mix(_segments(_BYTE[self.data], starts, ends, _BASE))
+
     def fits(self, length: int) -> np.ndarray:
         """For each word whether a window of so many words starts there within its text."""
         return np.arange(len(self.doc)) + length <= self.first[1:][self.doc]

@@ -260,7 +260,7 @@ def test_score_is_a_plain_noisy_or():
             p *= 0.5
         return 1 / (1 + np.exp(-(scorer.slope * -np.log(p) + scorer.shift)))
 
-    assert np.allclose(scorer(texts), [plain(t) for t in texts])
+    assert np.allclose(scorer(texts, [b""] * len(texts)), [plain(t) for t in texts])
 
 
 def test_texts_are_restored(model):
@@ -294,10 +294,28 @@ def test_spaced_phrases_are_read_from_each_letter(model):
     import pyarrow as pa
 
     r = tox.Restorer(model)
+    feature = lambda w: tox._features([w])[0][0]
     for phrase in ("y o u p a t h e t i c", "s u c h a g a r b a g e", "w o r t h l e $ $ s c u m"):
-        seen = r.readings(pa.array([phrase]))[0]
-        assert any(x in seen.split() for x in (b"pathetic", b"garbage", b"scum"))
-    assert r.readings(pa.array(["plain i d i o t"])) == [b"plain idiot"]
+        seen = {*tox._features(r(pa.array([phrase])))[0], *tox._inner_features(r.glued)[0]}
+        assert any(feature(x) in seen for x in (b"pathetic", b"garbage", b"scum"))
+    assert r(pa.array(["plain i d i o t"])) == [b"plain idiot"] and r.glued == [b""]
+
+
+def test_inner_features_are_those_of_every_reading():
+    """Words of any length, from each of their characters; texts stay apart."""
+    glued = ["abc" + "defghij" * 9, "", "é漢xyz 12a", "ab"]
+    got = set(zip(*(x.tolist() for x in tox._inner_features([g.encode() for g in glued])), strict=True))
+    readings = [(w[i:], d) for d, g in enumerate(glued) for w in g.split() for i in range(len(w)) if len(w[i:].encode()) >= 3]
+    want = set()
+    for w, d in readings:
+        want |= {(h, d) for h in tox._features([w.encode()])[0].tolist()}
+    assert got == want
+
+
+def test_counts_do_not_depend_on_how_rows_are_dealt(spark, docs):
+    rows = [(i, t) for i, t in enumerate(["ab", "cd", "", None, "é", "cd ab", "abc"] * 3)]
+    one, many = (sorted(map(tuple, tox.ngram_counts(docs(rows, n).select("doc_id", "text")).collect())) for n in (1, 7))
+    assert one == many
 
 
 def test_scores(spark, docs, odd):
