@@ -92,9 +92,14 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A hash of id and text in which nulls count: only repeated rows are alike in it."""
-    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    return F.xxhash64(F.coalesce(id_, F.lit(0)), id_.isNull(), F.coalesce(text, F.lit("")), text.isNull())
+    """128 bits of id and text in which nulls count: only repeated rows are alike in it."""
+    id_, text = F.col(f"`{id_col}`").cast("long").cast("string"), F.col(f"`{text_col}`").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(id_, F.lit("none")), F.lit(":"), F.coalesce(F.concat(F.lit("="), text), F.lit("none")))))
+
+
+def short_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """64 bits of row_key as a number, for operators whose ids are numbers."""
+    return F.xxhash64(row_key(id_col, text_col))
 
 
 _LOCAL = (1 << 33) - 1  # monotonically_increasing_id() counts the rows of a partition in these bits

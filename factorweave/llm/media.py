@@ -177,9 +177,9 @@ def media_features(images: DataFrame, id_col: str = "doc_id", media_col: str = "
     """Decodes a media column; adds samples, tile (NPY, at most tile x tile) and dhash.
 
     Null media, or media that can't be decoded: samples, tile and dhash are null and `error`
-    says why.  Other columns are kept as they are.
+    says why.  Columns of these four names, in any case, are replaced; all others are kept.
     """
-    own = [c for c in images.columns if c not in ("samples", "tile", "dhash", "error")]
+    own = [c for c in images.columns if c.lower() not in ("samples", "tile", "dhash", "error")]
     images = images.select(*[F.col(f"`{c}`") for c in own])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema) + ", samples binary, tile binary, dhash string, error string"
 

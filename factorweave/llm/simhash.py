@@ -297,15 +297,16 @@ def majority(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return more
 
 
-def set_fingerprints(shingles: np.ndarray, first: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, fps): a hash of each set, and `number` independent SimHashes; an empty set's are 0."""
+def set_fingerprints(shingles: np.ndarray, first: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, check, fps): two hashes of each set, and `number` independent SimHashes; an empty set's are 0."""
     counts = np.diff(first)
     some = np.flatnonzero(counts)
-    node = np.zeros(len(counts), np.uint64)
+    node, check = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
     if len(some):
         node[some] = mix(np.add.reduceat(mix(shingles ^ _ODD), first[some]) + counts[some].astype(np.uint64))
+        check[some] = mix(np.add.reduceat(mix(~shingles * _ODD), first[some]))
     words = mix(shingles[:, None] + np.arange(1, number + 1, dtype=np.uint64) * _ODD)
-    return node, majority(words, counts)
+    return node, check, majority(words, counts)
 
 
 def odd_sketches(shingles: np.ndarray, counts: np.ndarray, words: int = 16) -> np.ndarray:
@@ -404,8 +405,9 @@ def _tiles(least: float):
 
 
 def similar_texts(rows: DataFrame, least: float = 0.8, shingle: int = 5, parts: int | None = None, block: int = 256) -> tuple[DataFrame, DataFrame | None]:
-    """(own, roots) of rows (key, doc_id, text): own has key, doc_id and node, a hash of the row's
-    shingle set; roots has (node, root) for nodes linked to others at `least` or more, if any.
+    """(own, roots) of rows (key, doc_id, text): own has key, doc_id, and node and check, two hashes
+    of the row's shingle set; roots has (node, check, root) of all sets in groups that are linked at
+    `least` or more, if any.  Sets of one node but another check, a collision of 64 bits, stay apart.
 
     1. Each distinct set has several independent fingerprints.  Sets of similarity 0.8 differ
        in 15 % of the bits, so a segment of 21 bits is equal but for one with a chance of
@@ -428,12 +430,12 @@ def similar_texts(rows: DataFrame, least: float = 0.8, shingle: int = 5, parts:
         for batch in batches:
             for part in pieces(batch, "text"):
                 shingles, first = shingle_sets(part.column(2), shingle)
-                node, fps = set_fingerprints(shingles, first, number)
+                node, check, fps = set_fingerprints(shingles, first, number)
                 lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, number, dtype=np.int32), pa.array(fps.view(np.int64).ravel()))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], names=["key", "doc_id", "node", "n", "fps"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], names=["key", "doc_id", "node", "check", "n", "fps"])
 
-    own = saved(rows.select("key", "doc_id", "text").mapInArrow(sign, "key long, doc_id long, node long, n int, fps array<long>"), "nodes")
-    classes = own.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("fps").alias("fps"))
+    own = saved(rows.select("key", "doc_id", "text").mapInArrow(sign, f"key {rows.schema['key'].dataType.simpleString()}, doc_id long, node long, check long, n int, fps array<long>"), "nodes")
+    classes = own.where("n > 0").groupBy("node").agg(F.min_by("fps", "check").alias("fps"))
     clusters = components(_candidates(classes, number, parts, bits))
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     clusters = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("members")), "root")
@@ -448,14 +450,17 @@ def similar_texts(rows: DataFrame, least: float = 0.8, shingle: int = 5, parts:
                 data = [shingles[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.record_batch([*part.columns[1:], pa.array(data, pa.binary())], names=[*part.schema.names[1:], "shingles"])
 
-    first = own.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(clusters, "node")
+    first = own.where("n > 0").groupBy("node").agg(F.min(F.struct("check", "key")).alias("least"))
+    first = saved(first.join(clusters, "node").select("node", "least.*", "cluster", "blocks"), "representatives")
     picked = rows.select("key", "text").join(first, "key").dropDuplicates(["key"]).select("text", "node", "cluster", "blocks")
     picked = picked.mapInArrow(sets, "node long, cluster long, blocks int, shingles binary")
     own_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tiles = picked.withColumn("block", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles")
     tiles = tiles.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    return own, components(tiles.mapInArrow(_tiles(least), "a long, b long"))
+    roots = components(tiles.mapInArrow(_tiles(least), "a long, b long"))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return own, roots.join(first.select("node", "check"), "node")
 
 
 def distinct_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -464,16 +469,21 @@ def distinct_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id
     Texts whose sets of `shingle`-word shingles have a Jaccard similarity of `least` or more
     are linked.  Texts without words (null, empty, blank) are copies of each other.  Columns
     stay as they are; repeated and null ids don't matter, as rows are told apart by id and
-    text.  Of repeated rows one stays.
+    text.  Of rows of one id and text that is kept whose other columns, as JSON, come first.
     """
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     own, roots = similar_texts(rows, least, shingle)
-    first = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    first = own.groupBy("node", "check").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
     if roots is not None:
-        first = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.min("first").alias("first"))
+        group = F.when(F.col("root").isNull(), F.struct("node", "check")).otherwise(F.struct(F.col("root").alias("node"), F.lit(None).cast("long").alias("check")))
+        first = first.join(roots, ["node", "check"], "left").groupBy(group.alias("group")).agg(F.min("first").alias("first"))
     name = fresh("row_key", docs.columns)
     kept = first.select(F.col("first.key").alias(name))
-    return docs.withColumn(name, row_key(id_col, text_col)).join(kept, name, "left_semi").dropDuplicates([name]).select([F.col(f"`{c}`") for c in docs.columns])
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])) if others else F.lit("")
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    of_key = docs.withColumn(name, row_key(id_col, text_col)).join(kept, name, "left_semi").groupBy(name).agg(F.min_by(whole, order).alias("row"))
+    return of_key.select([F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

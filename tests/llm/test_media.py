@@ -83,3 +83,10 @@ def test_tiles_are_written(spark, docs, tmp_path):
     assert written.columns == ["doc_id", "tile"]
     tiles = {r.doc_id: np.load(io.BytesIO(r.tile)) for r in spark.read.parquet(str(tmp_path / "tiles")).collect()}
     assert tiles[1].shape == (1, 32) and not tiles[2].any()
+
+
+def test_columns_of_its_names_are_replaced_in_any_case(spark, docs):
+    clash = media.store_texts(docs([(1, "abc")])).selectExpr("*", "'x' as Tile", "'x' as SAMPLES", "'x' as other")
+    out = media.media_features(clash)
+    assert [c.lower() for c in out.columns].count("tile") == 1 and out.select("tile", "other").first()["other"] == "x"
+    assert isinstance(out.first()["tile"], bytes | bytearray)

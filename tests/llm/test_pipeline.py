@@ -14,6 +14,25 @@ def test_contaminated_rows_of_null_and_repeated_ids(spark, docs, tmp_path):
     assert sorted(got, key=repr) == sorted((r for r in rows if item not in (r[1] or "")), key=repr)
 
 
+def test_columns_that_operators_use_inside_stay(spark, sf):
+    clash = "'mine' as score, 'p' as predicted, 7 as held_out, array('k') as pii_kinds, 'd' as restored, 5 as key, 'r' as rest, 'n' as `a.b`"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *clash.split(", ")).limit(60).cache()
+    rows = lambda df: Counter(map(repr, df.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        own = (lambda df: df.drop("text", "n_chars")) if name == "pii" else (lambda df: df)
+        assert rows(own(out)) <= rows(own(docs)) and out.count() > 0
+
+
+def test_of_repeated_rows_one_is_chosen_by_its_other_columns(spark):
+    rows = [(1, "same text", lang, None if lang == "b" else "s", 9) for lang in ("c", "a", "b", "a")] + [(None, "alone", None, None, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+        assert got == sorted([rows[1], rows[-1]], key=repr)
+
+
 def test_each_stage_against_a_plain_one(spark, sf):
     """Every stage on what its predecessor kept of the smallest tables."""
     import importlib
