@@ -6,10 +6,10 @@ the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorweave.llm.common import fresh, row_key, scratch
+from factorweave.llm.common import scratch, short_key
 from factorweave.llm.decontamination import decontaminate
 from factorweave.llm.packing import pack, word_lengths
 from factorweave.llm.pii import QUERY_KEY, pseudonymize
@@ -17,10 +17,22 @@ from factorweave.llm.simhash import distinct_documents
 from factorweave.llm.toxicity import toxicity
 
 
+def _bundled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): all other columns in one, so that no operator meets their names."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("none")).alias("rest"))
+
+
+def _unbundled(out: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs again, with those in `new` replaced."""
+    at = {c: F.col(c) if c in ("doc_id", "text") else F.col(f"rest.c{i}") for i, c in enumerate(docs.columns)} | new
+    return out.select([at[c].alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity scorer, trained on the labels, doesn't reject."""
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 0").select(docs.columns)
+    scored = toxicity(_bundled(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _unbundled(scored.where("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,20 +41,20 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold too much of the benchmark; rows are told apart by id and text."""
-    name = fresh("row_key", docs.columns)
-    keyed = docs.withColumn(name, row_key())
-    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=name)
-    drop = found.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return keyed.join(drop, name, "left_anti").select(docs.columns)
+    """Documents that don't hold too much of the benchmark; rows are told apart by 64 bits of id and text."""
+    keyed = _bundled(docs).withColumn("key", short_key())
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    drop = found.where("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    return _unbundled(keyed.join(drop, "key", "left_anti"), docs)
 
 
 def mask_pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts; n_chars follows the new text."""
-    out = pseudonymize(docs, QUERY_KEY)
+    out, new = pseudonymize(_bundled(docs), QUERY_KEY), {}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_kinds") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        old = F.col(f"rest.c{docs.columns.index('n_chars')}")
+        new["n_chars"] = F.when(F.size("pii_kinds") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
+    return _unbundled(out, docs, **new)
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
