@@ -11,6 +11,8 @@ from factorweave.operators import ic, portfolio, search
 from factorweave.plans.ast import parse
 from factorweave.plans.compiler import evaluate
 from factorweave.sources.panel import PANEL_SQL, event_cells, members, read_panel, rounded
+from factorweave.sources.shared import Store
+from factorweave.sources.wide import folder_layers, read_wide, write_wide
 
 FACTOR = "ts_mean(raw_close_close,20)"
 _RET = "excess_return"
@@ -430,3 +432,29 @@ SELECT factor_name, {_R('ic', 'ic')}, {_R('tvalue', 'tvalue')}, valid_factor_siz
 ORACLE_SQL["out_of_sample"] = f"""WITH {PANEL_SQL}, l AS ({_LONG}), k AS (SELECT factor_name, TradingDay, f, ret AS r FROM l WHERE ret IS NOT NULL AND f IS NOT NULL AND TradingDay >= DATE '1996-01-01' AND factor_name <> '{_SCORED[2]}'),
 z AS (SELECT factor_name, TradingDay, {_Z('f', 'factor_name, TradingDay')} AS zf, {_CLIP(_Z('r', 'factor_name, TradingDay'))} AS zr, {_RANK('f', 'factor_name, TradingDay')} AS rf, {_RANK('r', 'factor_name, TradingDay')} AS rr FROM k),
 {_BATCH_DAY.format('factor_name')} SELECT factor_name AS factor, {_BATCH_REPORT} FROM d GROUP BY factor_name"""
+
+
+_WIDE = {"mean": FACTOR, "vwap": "raw_close_vwap", "spread": "comb_sub(raw_close_high,raw_close_low)"}
+_LEAST = {"all": 0.5, "member": 50.0}
+
+
+def wide_factor_folder(spark, sf_dir):
+    """Factors written as a folder of wide files, read back, and tested in two universes."""
+    panel = evaluate(read_panel(spark, sf_dir), _WIDE, keep=["is_member", "raw_close_open"])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("file"), F.col(f).alias("factor")) for f in _WIDE]))
+    folder = Store(spark).folder("wide-factors")
+    write_wide(panel.select(SECU, DAY, each.alias("x")).select(SECU, DAY, "x.*").where("factor is not null"), folder)
+    returns = ic.with_return(panel, "raw_close_open").where("ret is not null")
+    universes = {"all": returns, "member": members(returns, "is_member")}
+    return _out(folder_layers(read_wide(spark, folder), universes, 10, _LEAST))
+
+
+QUERIES["wide_factor_folder"] = wide_factor_folder
+_WIDE_SQL = {"mean": f"CASE WHEN count(raw_close_close) {_W20} = 20 THEN avg(raw_close_close) {_W20} END", "vwap": "raw_close_vwap", "spread": "raw_close_high - raw_close_low"}
+_WIDE_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS file, SecuCode::VARCHAR AS SecuCode, TradingDay, is_member, {v} AS f, lead(raw_close_open, 2) {_SECU_W} AS ret FROM panel" for k, v in _WIDE_SQL.items())
+ORACLE_SQL["wide_factor_folder"] = f"""WITH {PANEL_SQL}, l AS ({_WIDE_ROWS}), k AS (SELECT * FROM l WHERE f IS NOT NULL AND ret IS NOT NULL),
+u AS (SELECT *, 'all' AS universe FROM k UNION ALL SELECT *, 'member' FROM k WHERE is_member),
+n AS (SELECT *, ntile(10) OVER (PARTITION BY file, universe, TradingDay ORDER BY f, SecuCode) AS layer, ret - avg(ret) OVER (PARTITION BY file, universe, TradingDay) AS over FROM u),
+d AS (SELECT file, universe, TradingDay, layer, avg(over) AS over FROM n WHERE layer IN (1, 10) GROUP BY ALL),
+e AS (SELECT file, universe, sum(CASE WHEN layer = 1 THEN over END) AS first, sum(CASE WHEN layer = 10 THEN over END) AS last FROM d GROUP BY ALL)
+SELECT file, universe, {_R('first', 'first')}, {_R('last', 'last')}, coalesce(greatest(first, last) > CASE universe WHEN 'all' THEN 0.5 ELSE 50.0 END, false) AS notable FROM e"""

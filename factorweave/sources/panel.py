@@ -53,20 +53,6 @@ def members(panel: DataFrame, flag: str | None = None, start: str | None = None,
     return panel.where((day >= F.lit(start).cast("date") if start else F.lit(True)) & (day <= F.lit(end).cast("date") if end else F.lit(True)))
 
 
-def wide_to_long(wide: DataFrame, day_col: str, value: str) -> DataFrame:
-    """One column a security (code or code.suffix) to rows; infinite values become 0, missing ones go."""
-    codes = [c for c in wide.columns if c != day_col]
-    long = wide.select(F.to_date(F.col(f"`{day_col}`").cast("string")).alias(DAY), *[F.col(f"`{c}`").cast("double").alias(c.replace(".", "\u0001")) for c in codes])
-    long = long.unpivot([DAY], [c.replace(".", "\u0001") for c in codes], "code", value).withColumn(SECU, F.split("code", "\u0001")[0])
-    return long.select(SECU, DAY, F.when(F.abs(value) == float("inf"), 0.0).when(~F.isnan(value), F.col(value)).alias(value)).where(F.col(value).isNotNull())
-
-
-def read_wide_csv(spark: SparkSession, path: str, value: str = "ret") -> DataFrame:
-    """A wide CSV whose first column is the day."""
-    wide = spark.read.csv(path, header=True, inferSchema=True)
-    return wide_to_long(wide, wide.columns[0], value)
-
-
 def read_feather(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:
     """A Feather file of at most `most_bytes`, read on the driver; larger panels belong into Parquet."""
     import pyarrow.feather

@@ -9,6 +9,7 @@ from factorweave.functions import stats
 from factorweave.operators import events, ic, portfolio, search
 from factorweave.plans import ast
 from factorweave.sources import panel as source
+from factorweave.sources import wide
 from factorweave.streaming import bars
 
 DAY0 = date(2021, 1, 4)
@@ -229,7 +230,7 @@ def test_worth_keeping(spark):
 
 def test_wide_csv_and_fitness_files(spark, tmp_path):
     (tmp_path / "wide.csv").write_text("day,000001.SZ,000002.SZ\n2020-01-02,0.1,\n2020-01-03,Infinity,-0.2\n")
-    got = {(r["SecuCode"], str(r["TradingDay"])): r["ret"] for r in source.read_wide_csv(spark, str(tmp_path / "wide.csv")).collect()}
+    got = {(r["SecuCode"], str(r["TradingDay"])): r["ret"] for r in wide.read_wide_returns(spark, str(tmp_path / "wide.csv")).collect()}
     assert got == {("000001", "2020-01-02"): 0.1, ("000001", "2020-01-03"): 0.0, ("000002", "2020-01-03"): -0.2}
     own = tmp_path / "fit"
     own.mkdir()
