@@ -18,6 +18,7 @@ from factorweave.functions.stats import DAY, SECU, clip, over_day, tvalue, zscor
 from factorweave.operators.ic import batch_ic
 from factorweave.plans import ast
 from factorweave.plans.compiler import evaluate
+from factorweave.plans.population import Subtrees
 from factorweave.sources.panel import read_fitness, write_fitness, write_values
 
 _LOG = logging.getLogger(__name__)
@@ -58,14 +59,22 @@ class Scored:
     fitness: float
 
 
-def score(panel: DataFrame, trees: list[ast.Node], ret_col: str = "ret", batch: int = 40) -> list[Scored]:
-    """Distinct trees with their fitness, best first; ties by name."""
-    distinct = list({str(t): t for t in trees}.values())
-    out = []
-    for a in range(0, len(distinct), batch):
-        part = distinct[a : a + batch]
-        by_name = {str(t): t for t in part}
-        out += [Scored(by_name[r["factor_name"]], r["ic"], r["tvalue"], r["valid_factor_size"], r["fitness_score"]) for r in with_fitness(score_batch(panel, part, ret_col)).collect()]  # a row an expression
+def score(panel: DataFrame, trees: list[ast.Node], ret_col: str = "ret", batch: int = 40, subtrees: Subtrees | None = None) -> list[Scored]:
+    """Distinct trees with their fitness, best first; ties by name.
+
+    More trees than a batch are computed with stored subtrees: those of `subtrees`, over the
+    same panel and return, or ones that are made for this call.
+    """
+    by_name = {str(t): t for t in trees}
+    distinct = list(by_name.values())
+    if not distinct:
+        return []
+    if len(distinct) <= batch and subtrees is None:
+        rows = with_fitness(score_batch(panel, distinct, ret_col)).collect()  # a row an expression
+    else:
+        with subtrees.borrowed() if subtrees else Subtrees(panel, ret_col) as stored:
+            rows = with_fitness(stored.scores(distinct, batch)).collect()
+    out = [Scored(by_name[r["factor_name"]], r["ic"], r["tvalue"], r["valid_factor_size"], r["fitness_score"]) for r in rows]
     return sorted(out, key=lambda s: (-s.fitness, str(s.tree)))
 
 
@@ -185,7 +194,7 @@ class Search:
     pc_threshold: float | None = None
     columns: list[str] = field(default_factory=lambda: list(ast.COLUMNS))
 
-    def start(self, panel: DataFrame, rng: random.Random, given: list[str]) -> list[ast.Node]:
+    def start(self, panel: DataFrame, rng: random.Random, given: list[str], subtrees: Subtrees | None = None) -> list[ast.Node]:
         """Trees from strings, or drawn; with a warm start the best of so many times the size, 50,000 at most."""
         trees = {str(t): t for t in map(ast.parse, given)}
         wanted = self.size if self.warm_start <= 1 else min(self.warm_start * self.size, 50_000)
@@ -193,7 +202,7 @@ class Search:
             t = ast.draw(rng, self.depth, self.columns)
             trees.setdefault(str(t), t)
         if len(trees) > self.size:
-            return [s.tree for s in score(panel, list(trees.values()), self.ret_col, self.batch)[: self.size]]
+            return [s.tree for s in score(panel, list(trees.values()), self.ret_col, self.batch, subtrees)[: self.size]]
         return list(trees.values())
 
     def fit(self, panel: DataFrame, given: list[str] | None = None, out: str | None = None) -> list[dict]:
@@ -204,11 +213,12 @@ class Search:
         """
         rng, history = random.Random(self.seed), []
         panel = panel.persist()
+        subtrees = Subtrees(panel, self.ret_col) if max(self.size, self.warm_start * self.size) > self.batch else None
         try:
-            trees = self.start(panel, rng, given or [])
+            trees = self.start(panel, rng, given or [], subtrees)
             _LOG.info("start with %d trees", len(trees))
             for epoch in range(self.epochs):
-                scored = score(panel, trees, self.ret_col, self.batch)
+                scored = score(panel, trees, self.ret_col, self.batch, subtrees)
                 if self.pc_threshold is not None:
                     scored = self._unlike(panel, scored)
                 history.append({"epoch": epoch, "scored": scored, "report": report(scored), "saved": [s for s in scored if s.ic > self.ic_save_threshold]})
@@ -218,6 +228,8 @@ class Search:
                 if epoch + 1 < self.epochs:
                     trees = evolve(scored, self.size, rng, self.depth, self.columns)
         finally:
+            if subtrees:
+                subtrees.close()
             panel.unpersist()
         return history
 
