@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorweave.functions.stats import DAY, SECU, bucket, clip, corr, exact_quantiles, finite, over_day, pct_rank, ratio, tvalue, win_rate, zscore
+from factorweave.operators.correlation import correlation_matrix
 
 
 def with_return(df: DataFrame, ret_col: str, shift: int | None = 2) -> DataFrame:
@@ -181,6 +181,4 @@ def batch_report(df: DataFrame, factor_cols: list[str], threshold: float = 0.0,
 
 def factor_corr(df: DataFrame, factor_cols: list[str]) -> DataFrame:
     """(a, b, corr) of each pair of factors, over the rows that have both."""
-    pairs = list(combinations(factor_cols, 2))
-    got = df.agg(*[corr(finite(F.col(f"`{a}`")), finite(F.col(f"`{b}`"))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return got.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    return correlation_matrix(df, factor_cols)

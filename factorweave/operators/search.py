@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorweave.functions.stats import DAY, SECU, clip, over_day, tvalue, zscore
+from factorweave.operators.correlation import correlated, independent
 from factorweave.operators.ic import batch_ic
 from factorweave.plans import ast
 from factorweave.plans.compiler import evaluate
 from factorweave.plans.population import Subtrees
 from factorweave.sources.panel import read_fitness, write_fitness, write_values
+from factorweave.sources.shared import Store
 
 _LOG = logging.getLogger(__name__)
 
@@ -78,14 +80,60 @@ def score(panel: DataFrame, trees: list[ast.Node], ret_col: str = "ret", batch:
     return sorted(out, key=lambda s: (-s.fitness, str(s.tree)))
 
 
-def select(scored: list[Scored], k: int, rng: random.Random) -> list[ast.Node]:
-    """k trees by fitness without replacement; evenly if no fitness is above 0."""
-    pool, out = list(scored), []
-    while pool and len(out) < k:
-        weights = [s.fitness for s in pool]
-        i = rng.choices(range(len(pool)), weights)[0] if sum(weights) > 0 else rng.randrange(len(pool))
-        out.append(pool.pop(i).tree)
-    return out
+class Wheel:
+    """Draws by weight without replacement; a draw costs the logarithm of the number.
+
+    A tree of sums: node i holds the sum of its two children, leaves the weights.
+    """
+
+    def __init__(self, weights: list[float]):
+        self.n = len(weights)
+        self.size = 1 << max(self.n - 1, 0).bit_length()
+        weights = weights if any(w > 0 for w in weights) else [1.0] * self.n  # evenly
+        self.sums = [0.0] * self.size + list(weights) + [0.0] * (self.size - self.n)
+        for i in range(self.size - 1, 0, -1):
+            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+
+    def put(self, i: int, weight: float) -> None:
+        i += self.size
+        self.sums[i] = weight
+        while i > 1:
+            i //= 2
+            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+
+    def place(self, rng: random.Random) -> int:
+        """One place, by weight; nothing is taken."""
+        i, x = 1, rng.random() * self.sums[1]
+        while i < self.size:
+            i *= 2
+            if self.sums[i + 1] > 0 and (x >= self.sums[i] or self.sums[i] <= 0):
+                x -= self.sums[i]
+                i += 1
+        return i - self.size
+
+    def draw(self, k: int, rng: random.Random) -> list[int]:
+        """k different places (all, if there are fewer), after which the wheel is as before.
+
+        Places of weight 0 come after all others, evenly.
+        """
+        taken: dict[int, float] = {}
+        while len(taken) < min(k, self.n):
+            if self.sums[1] <= 0:
+                left = [i for i in range(self.n) if i not in taken]
+                more = rng.sample(left, min(k, self.n) - len(taken))
+                taken |= {i: 0.0 for i in more}
+                break
+            i = self.place(rng)
+            taken[i] = self.sums[i + self.size]
+            self.put(i, 0.0)
+        for i, w in taken.items():
+            self.put(i, w)
+        return list(taken)
+
+
+def select(scored: list[Scored], k: int, rng: random.Random, wheel: Wheel | None = None) -> list[ast.Node]:
+    """k trees by fitness without replacement; evenly if no fitness is above 0.  wheel: that of these trees, if many are drawn."""
+    return [scored[i].tree for i in (wheel or Wheel([s.fitness for s in scored])).draw(k, rng)]
 
 
 def evolve(scored: list[Scored], size: int, rng: random.Random, depth: int, columns: list[str], elite: float = 0.1, crossover: float = 0.8, mutation: float = 0.3, boost: int = 2, limit: int = 5, least: float = 0.3) -> list[ast.Node]:
@@ -96,11 +144,12 @@ def evolve(scored: list[Scored], size: int, rng: random.Random, depth: int, colu
     it up to that.  Offspring that repeat a tree aren't taken.
     """
     next_ = {str(s.tree): s.tree for s in scored[: max(1, int(size * elite))]}
+    wheel = Wheel([s.fitness for s in scored])
     for tried in range(limit * size):
         if len(next_) >= size:
             break
         always = tried >= boost * size
-        pair = select(scored, 2, rng)
+        pair = select(scored, 2, rng, wheel)
         pair = (pair[0], pair[-1])
         if always or rng.random() < crossover:
             pair = ast.crossover(*pair, rng)
@@ -168,15 +217,13 @@ def first_components(values: DataFrame, factor_cols: list[str], securities: int
     return names.join(found, "factor", "left").select("factor", F.coalesce("pc", F.array_repeat(F.lit(0.0), n_days)).alias("pc"))
 
 
-def uncorrelated(order: list[str], vectors: dict[str, list[float]], threshold: float = 0.9) -> list[str]:
-    """Names, in order, whose vector correlates with no kept one beyond the threshold, up or down."""
-    kept: list[str] = []
-    for name in order:
-        a = np.asarray(vectors[name], float)
-        c = [0.0 if a.std() == 0 or np.std(vectors[k]) == 0 else abs(np.corrcoef(a, vectors[k])[0, 1]) for k in kept]
-        if max(c, default=0.0) <= threshold:
-            kept.append(name)
-    return kept
+def uncorrelated(order: list[str], components: DataFrame, threshold: float = 0.9) -> list[str]:
+    """Names, in order, whose component correlates with that of no kept one beyond the threshold, up or down.
+
+    components: (factor, pc).  They stay in tasks; only pairs beyond the threshold come back.
+    """
+    edges = [(r["a"], r["b"]) for r in correlated(components, threshold).toLocalIterator()]
+    return independent(order, edges)
 
 
 @dataclass
@@ -220,7 +267,7 @@ class Search:
             for epoch in range(self.epochs):
                 scored = score(panel, trees, self.ret_col, self.batch, subtrees)
                 if self.pc_threshold is not None:
-                    scored = self._unlike(panel, scored)
+                    scored = self._unlike(panel, scored, subtrees)
                 history.append({"epoch": epoch, "scored": scored, "report": report(scored), "saved": [s for s in scored if s.ic > self.ic_save_threshold]})
                 _LOG.info("epoch %d: %d trees, %d saved, %s", epoch, len(scored), len(history[-1]["saved"]), history[-1]["report"])
                 if out:
@@ -242,14 +289,19 @@ class Search:
             own = F.array(*[F.struct(F.lit(str(t)).alias("factor"), F.col(f).alias("value")) for f, t in names.items()])
             write_values(evaluate(panel, names).select(SECU, DAY, F.explode(own).alias("x")).select(SECU, DAY, "x.*").where("value is not null"), f"{out}/values", done["epoch"])
 
-    def _unlike(self, panel: DataFrame, scored: list[Scored]) -> list[Scored]:
+    def _unlike(self, panel: DataFrame, scored: list[Scored], subtrees: Subtrees | None = None) -> list[Scored]:
         """All of scored; a tree whose first component correlates with that of a better one gets fitness 0."""
-        able, pcs = [s for s in scored if s.fitness > 0], {}
-        for a in range(0, len(able), self.batch):
-            names = {f"f{i}": s.tree for i, s in enumerate(able[a : a + self.batch])}
-            for r in first_components(evaluate(panel, names), list(names)).collect():  # a vector of days for each tree of the population
-                pcs[str(names[r["factor"]])] = r["pc"]
-        kept = set(uncorrelated([str(s.tree) for s in able], pcs, self.pc_threshold))
+        able = [s for s in scored if s.fitness > 0]
+        if not able:
+            return scored
+        with Store(panel.sparkSession) as store:
+            folder = store.folder("components")
+            for a in range(0, len(able), self.batch):
+                names = {f"f{i}": s.tree for i, s in enumerate(able[a : a + self.batch])}
+                own = panel.sparkSession.createDataFrame([(f, str(t)) for f, t in names.items()], "factor string, name string")
+                pcs = first_components(subtrees.values(names) if subtrees else evaluate(panel, names), list(names))
+                pcs.join(F.broadcast(own), "factor").select(F.col("name").alias("factor"), "pc").write.mode("append").parquet(folder)
+            kept = set(uncorrelated([str(s.tree) for s in able], panel.sparkSession.read.parquet(folder), self.pc_threshold))
         out = [s if str(s.tree) in kept else replace(s, fitness=0.0) for s in scored]
         return sorted(out, key=lambda s: (-s.fitness, str(s.tree)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factorweave.functions.stats import DAY, SECU
 from factorweave.operators import events as ev
 from factorweave.operators import ic, portfolio, search
-from factorweave.plans.ast import parse
+from factorweave.plans.ast import COLUMNS, parse
 from factorweave.plans.compiler import evaluate
 from factorweave.sources.panel import PANEL_SQL, event_cells, members, read_panel, rounded
 from factorweave.sources.shared import Store
@@ -458,3 +458,19 @@ n AS (SELECT *, ntile(10) OVER (PARTITION BY file, universe, TradingDay ORDER BY
 d AS (SELECT file, universe, TradingDay, layer, avg(over) AS over FROM n WHERE layer IN (1, 10) GROUP BY ALL),
 e AS (SELECT file, universe, sum(CASE WHEN layer = 1 THEN over END) AS first, sum(CASE WHEN layer = 10 THEN over END) AS last FROM d GROUP BY ALL)
 SELECT file, universe, {_R('first', 'first')}, {_R('last', 'last')}, coalesce(greatest(first, last) > CASE universe WHEN 'all' THEN 0.5 ELSE 50.0 END, false) AS notable FROM e"""
+
+
+_LEAVES = [*COLUMNS, *_BATCH]
+
+
+def factor_corr_many(spark, sf_dir):
+    """Correlations of all leaf columns and some factors, whose missing values lie at unlike places."""
+    return _out(ic.factor_corr(evaluate(read_panel(spark, sf_dir), _BATCH, keep=list(COLUMNS)), _LEAVES))
+
+
+QUERIES["factor_corr_many"] = factor_corr_many
+_LEAF_SQL = {c: f'"{c}"' for c in COLUMNS} | {c: c for c in _BATCH}
+_LEAF_VALUES = ", ".join(f'"{c}"' for c in COLUMNS)
+ORACLE_SQL["factor_corr_many"] = f"""WITH {_MANY.replace("raw_close_vwap AS f_vwap FROM", f"raw_close_vwap AS f_vwap, {_LEAF_VALUES} FROM")} """ + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {_R(f'corr({_LEAF_SQL[a]}, {_LEAF_SQL[b]})', 'corr')} FROM many" for i, a in enumerate(_LEAVES) for b in _LEAVES[i + 1 :]
+)

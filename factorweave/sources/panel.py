@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,15 +52,6 @@ def members(panel: DataFrame, flag: str | None = None, start: str | None = None,
     return panel.where((day >= F.lit(start).cast("date") if start else F.lit(True)) & (day <= F.lit(end).cast("date") if end else F.lit(True)))
 
 
-def read_feather(spark: SparkSession, path: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """A Feather file of at most `most_bytes`, read on the driver; larger panels belong into Parquet."""
-    import pyarrow.feather
-
-    if (size := os.path.getsize(path)) > most_bytes:
-        raise ValueError(f"{path} has {size} bytes; store panels of more than {most_bytes} as Parquet")
-    return spark.createDataFrame(pyarrow.feather.read_table(path))
-
-
 def read_factor_dir(spark: SparkSession, path: str) -> DataFrame:
     """(file, SecuCode, TradingDay, factor) from all long CSV files of a folder; the last column is the factor."""
     df = spark.read.csv(path, header=True, inferSchema=True)

@@ -36,14 +36,6 @@ def test_library_is_left_joined(spark, small, tmp_path):
     assert got.count() == 24 and got.where("lib1 is not null").count() == 12 and got.where("lib2 is not null").count() == 6
 
 
-def test_feather(spark, tmp_path):
-    import pyarrow as pa
-    import pyarrow.feather
-
-    pyarrow.feather.write_feather(pa.table({"SecuCode": ["a"], "close": [1.0]}), str(tmp_path / "p.feather"))
-    assert source.read_feather(spark, str(tmp_path / "p.feather")).collect() == [("a", 1.0)]
-
-
 def test_values_by_epoch(spark, small, tmp_path):
     for epoch in (0, 1):
         source.write_values(small, str(tmp_path / "v"), epoch)
