@@ -172,3 +172,12 @@ KERNELS: dict[str, Callable[..., np.ndarray]] = {
     "comb_mul": lambda a, b: a * b,
     "comb_div": ratio,
 }
+
+
+def regression(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(residuals, slope, intercept) of the least squares line of y on x; NaN where x is constant."""
+    if x.max() == x.min():
+        return np.full(len(y), np.nan), np.nan, np.nan
+    dx, dy = x - x.mean(), y - y.mean()
+    slope = (dx @ dy) / (dx @ dx)
+    return dy - slope * dx, slope, y.mean() - slope * x.mean()

@@ -112,21 +112,18 @@ def f_p(f: float | None, d1: int, d2: int) -> float | None:
     return None if f is None or d1 < 1 or d2 < 1 else beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-def quantile_edges(df: DataFrame, col: str, groups: int, by: list[str] | None = None) -> DataFrame:
-    """One row (for each `by`) with the array `edges` of the inner quantiles, linearly interpolated."""
-    shares = [i / groups for i in range(1, groups)]
-    return df.groupBy(*(by or [])).agg(F.percentile(col, F.array(*[F.lit(s) for s in shares])).alias("edges"))
-
-
 def exact_quantiles(df: DataFrame, col: str, shares: list[float], by: list[str], accuracy: int = 10_000) -> DataFrame:
-    """(by..., edges): the quantiles of each group, linearly interpolated, for groups of any size.
+    """(by..., edges): the quantiles of each group, linearly interpolated, for groups of any size; without `by` one row of all.
 
     A mergeable sketch first brackets each quantile between two values, of which it is known
     that the ranks looked for lie between them.  Then only the values inside brackets, some
     4 in `accuracy` of a group for each share, are counted one by one, and all others by the
     gap they fall into; running sums over these few rows give the ranks.  Groups of up to
-    10 * accuracy values have one bracket of all.  Groups without a value have no row.
+    10 * accuracy values have one bracket of all.  Groups without a value, or with a null key, have
+    no row.  A quantile that its bracket missed would be an error.
     """
+    if not by:
+        return exact_quantiles(df.select(F.lit(0).alias("all_rows"), F.col(col).alias("x")), "x", shares, ["all_rows"], accuracy).drop("all_rows")
     eps = 2 / accuracy
     x = df.select(*by, finite(F.col(col)).alias("x")).where("x is not null")
     asked = [min(1.0, max(0.0, s + d)) for s in shares for d in (-eps, eps)]
@@ -142,7 +139,8 @@ def exact_quantiles(df: DataFrame, col: str, shares: list[float], by: list[str],
     ranked = counted.withColumn("stop", F.sum("rows").over(until))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("stop") - F.col("rows") <= rank) & (rank < F.col("stop")), F.col("x")))
+        value = F.when(F.col("gap"), F.raise_error(F.lit("a quantile lies outside its bracket; take a larger accuracy")).cast("double")).otherwise(F.col("x"))
+        return F.max(F.when((F.col("stop") - F.col("rows") <= rank) & (rank < F.col("stop")), value))
 
     place = {s: (F.col("n") - 1) * s for s in shares}
     low = {s: at(F.floor(p)) for s, p in place.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorweave.functions.stats import DAY, SECU, bucket, f_p, finite, proportion_p, quantile_edges, ratio, tvalue
+from factorweave.functions.stats import DAY, SECU, bucket, exact_quantiles, f_p, finite, proportion_p, ratio, tvalue
 
 
 def day_numbers(df: DataFrame) -> DataFrame:
@@ -37,6 +37,21 @@ def create_lag(df: DataFrame, value: str, lags: range) -> DataFrame:
     return long.groupBy(SECU, DAY).agg(*[F.max(F.when(F.col("lag") == k, F.col("value"))).alias(lag_name(value, k)) for k in lags])
 
 
+def dense_lags(df: DataFrame, value: str, lags: range) -> DataFrame:
+    """create_lag() for all days on which a lag reaches a row of the security, also those without a row of its own.
+
+    Each row is sent to the days that look at it, so missing days are made only within
+    reach, and no grid of days and securities.  Days on which all lags are null have no row,
+    unless the security has one.
+    """
+    days = F.broadcast(day_numbers(df))  # one row a calendar day
+    rows = df.select(SECU, DAY, finite(F.col(f"`{value}`")).alias("value")).join(days, DAY)
+    seen = rows.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags]))).select(SECU, (F.col("t") - F.col("lag")).alias("t"), "lag", "value").where("value is not null")
+    own = rows.select(SECU, "t", F.lit(None).cast("int").alias("lag"), F.lit(None).cast("double").alias("value"))
+    wide = seen.unionByName(own).groupBy(SECU, "t").agg(*[F.max(F.when(F.col("lag") == k, F.col("value"))).alias(lag_name(value, k)) for k in lags])
+    return wide.join(days, "t").select(SECU, DAY, *[F.col(f"`{lag_name(value, k)}`") for k in lags])
+
+
 def event_returns(df: DataFrame, ret_col: str, event_col: str, window: tuple[int, int] = (-20, 20), keep: list[str] | None = None, intervals: list[tuple[int, int]] | None = None) -> DataFrame:
     """(SecuCode, TradingDay, keep..., lag, value) around each row whose event is 1.
 
@@ -61,26 +76,33 @@ def grouped(rows: DataFrame, group_col: str, n_group: int = 4, numeric: bool | N
     own = rows.select(SECU, DAY, group_col).distinct()
     numeric = dict(rows.dtypes)[group_col] in ("int", "bigint", "double", "float", "smallint", "tinyint") if numeric is None else numeric
     if numeric and own.agg(F.count_distinct(group_col)).first()[0] > 4 * n_group:
-        edges = F.broadcast(quantile_edges(own, group_col, n_group))  # one row
+        edges = F.broadcast(exact_quantiles(own, group_col, [i / n_group for i in range(1, n_group)], []))  # one row
         return rows.join(edges).withColumn("grp", F.concat(F.lit("G"), bucket(F.col(group_col), F.col("edges")) + 1)).drop("edges")
     return rows.withColumn("grp", F.col(group_col).cast("string"))
 
 
+_SHARES = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
 def _winsorised(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with `held`: values beyond the 5% and 95% quantiles of `by` count as these."""
-    ends = rows.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))  # a row for each lag and group
-    value, low, high = F.col("value"), F.col("q")[0], F.col("q")[1]
-    return rows.join(ends, by).withColumn("held", F.when(value.isNotNull(), F.greatest(F.least(value, high), low)))
+    """rows with `q`, the quantiles of `by` at _SHARES, and `held`: values beyond the first and last count as these.
+
+    Rows of a null group go.
+    """
+    ends = exact_quantiles(rows, "value", _SHARES, by).withColumnRenamed("edges", "q")  # a row for each lag and group
+    value, low, high = F.col("value"), F.col("q")[0], F.col("q")[len(_SHARES) - 1]
+    known = rows.where(" and ".join(f"`{c}` is not null" for c in by))
+    return known.join(ends, by, "left").withColumn("held", F.when(value.isNotNull(), F.greatest(F.least(value, high), low)))
 
 
 def event_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """For each lag (and group): mean, winsorised mean, deviation, t values, win rate, quantiles, count; in %."""
     by = ["lag", *(by or [])]
     x, held = F.col("value"), F.col("held")
-    q = lambda p: (F.percentile("value", F.lit(p)) * 100).alias(f"q{int(p * 100)}")
+    q = lambda i: (F.first("q")[i] * 100).alias(f"q{int(_SHARES[i] * 100)}")
     return _winsorised(rows, by).groupBy(*by).agg(
         (F.avg(x) * 100).alias("mean"), (F.avg(held) * 100).alias("clip_mean"), (F.stddev_samp(x) * 100).alias("std"), tvalue(x).alias("t_value"), tvalue(held).alias("t_clip"),
-        (ratio(F.count(F.when(x > 0, 1)), F.count(x)) * 100).alias("win_rate"), (F.min(x) * 100).alias("min"), q(0.25), q(0.5), q(0.75), (F.max(x) * 100).alias("max"),
+        (ratio(F.count(F.when(x > 0, 1)), F.count(x)) * 100).alias("win_rate"), (F.min(x) * 100).alias("min"), q(1), q(2), q(3), (F.max(x) * 100).alias("max"),
         F.count(x).alias("n"), F.count(F.when(x > 0, 1)).alias("wins"),
     )
 

@@ -23,7 +23,10 @@ Built = tuple[dict[str, Column], Callable[..., Column]]
 
 @dataclass(frozen=True)
 class Operator:
-    """kind: ts, cs or pair; keys: what its windows are partitioned by; value: its value type."""
+    """kind: ts, cs or pair; keys: what its windows are partitioned by; value: its value type.
+
+    group: a kernel over whole groups of its keys, of whose outputs the operator is one.
+    """
 
     name: str
     kind: str
@@ -34,6 +37,8 @@ class Operator:
     arity: int = 1
     rewrite: Callable[[int], int] = staticmethod(lambda n: n)
     keys: tuple[str, ...] = ()
+    group: Callable[..., object] | None = None
+    output: int = 0
 
 
 OPERATORS: dict[str, Operator] = {}
@@ -88,6 +93,23 @@ def register_kernel(name: str, kernel: Callable[[np.ndarray], np.ndarray], weigh
     register_operator(name, "ts", lambda x, n: ({"values": _full(x, n, F.collect_list(x).over(history(n)))}, lambda values: apply(values)), weight, value, keys=(SECU,), **more)
 
 
+def register_group_kernel(names: str | list[str], kernel: Callable[..., np.ndarray | tuple[np.ndarray, ...]], arity: int = 1, by: tuple[str, ...] = (DAY,), weight: float = 0.0, value: str = "float") -> None:
+    """Adds operators from a NumPy function over whole groups, such as the securities of a day (and an industry).
+
+    The kernel gets its input columns as arrays of a group's rows that have all of them, in order of security,
+    and returns an array of as many values, or a tuple of them, one for each name; what isn't
+    finite is missing.  A scalar counts for all rows.  Outputs of the same inputs are computed
+    together.  Groups come through Arrow one by one, so a group has to fit into a task.  Rows
+    whose industry is null get no value.  A weight above 0 lets searches draw the operators.
+    """
+    if not 1 <= arity <= 2:
+        raise ValueError("a group kernel takes one or two columns")
+    if by[:1] != (DAY,):
+        raise ValueError(f"groups are those of a {DAY}, or parts of them")
+    for i, name in enumerate([names] if isinstance(names, str) else names):
+        register_operator(name, "pair" if arity == 2 else "cs", lambda *_: ({}, None), weight, value, keys=by, group=kernel, output=i)
+
+
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 

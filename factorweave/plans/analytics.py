@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorweave.functions.stats import DAY, SECU
+from factorweave.functions.kernels import regression
+from factorweave.functions.narrow import plan_narrowing
+from factorweave.functions.stats import DAY, INDUSTRY, SECU
 from factorweave.operators import events as ev
-from factorweave.operators import ic, portfolio, search
+from factorweave.operators import ic, periods, portfolio, search
+from factorweave.operators.registry import register_group_kernel
 from factorweave.plans.ast import COLUMNS, parse
 from factorweave.plans.compiler import evaluate
 from factorweave.sources.panel import PANEL_SQL, event_cells, members, read_panel, rounded
@@ -474,3 +477,79 @@ _LEAF_VALUES = ", ".join(f'"{c}"' for c in COLUMNS)
 ORACLE_SQL["factor_corr_many"] = f"""WITH {_MANY.replace("raw_close_vwap AS f_vwap FROM", f"raw_close_vwap AS f_vwap, {_LEAF_VALUES} FROM")} """ + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {_R(f'corr({_LEAF_SQL[a]}, {_LEAF_SQL[b]})', 'corr')} FROM many" for i, a in enumerate(_LEAVES) for b in _LEAVES[i + 1 :]
 )
+
+
+register_group_kernel(["reg_resid", "reg_slope", "reg_start"], regression, 2)
+register_group_kernel(["ind_reg_resid"], regression, 2, (DAY, INDUSTRY))
+_REGRESSIONS = {f"{n}_{k}": f"{n}(raw_close_open,{x})" for n in ("reg_resid", "reg_slope", "reg_start", "ind_reg_resid") for k, x in (("vwap", "raw_close_vwap"), ("mean", "ts_mean(raw_close_close,5)"))}
+
+
+def day_regressions(spark, sf_dir):
+    """Least squares lines across the securities of a day, and of its industries, by group kernels."""
+    return _out(evaluate(read_panel(spark, sf_dir), _REGRESSIONS))
+
+
+QUERIES["day_regressions"] = day_regressions
+_W5 = _W10.replace("9 PRECEDING", "4 PRECEDING")
+
+
+def _line_sql(name: str, keys: str) -> str:
+    """Columns of the line of raw_close_open on each regressor, over rows that have both."""
+    out = []
+    for k in ("vwap", "mean"):
+        y, x, w = f"CASE WHEN x_{k} IS NOT NULL THEN y END", f"CASE WHEN y IS NOT NULL THEN x_{k} END", f"OVER (PARTITION BY {keys})"
+        flat = f"max({x}) {w} = min({x}) {w}"
+        slope = f"covar_pop({y}, {x}) {w} / nullif(var_pop({x}) {w}, 0)"
+        out.append(f"CASE WHEN x_{k} IS NOT NULL AND y IS NOT NULL AND NOT {flat} THEN {slope} END AS {name}b_{k}, CASE WHEN x_{k} IS NOT NULL AND y IS NOT NULL THEN avg({y}) {w} - {slope} * avg({x}) {w} END AS {name}a_{k}")
+    return ", ".join(out)
+
+
+ORACLE_SQL["day_regressions"] = f"""WITH {PANEL_SQL}, i AS (SELECT SecuCode, TradingDay, SWF, raw_close_open AS y, raw_close_vwap AS x_vwap, CASE WHEN count(raw_close_close) {_W5} = 5 THEN avg(raw_close_close) {_W5} END AS x_mean FROM panel),
+r AS (SELECT *, {_line_sql('d', 'TradingDay')}, {_line_sql('s', 'TradingDay, SWF')} FROM i)
+SELECT SecuCode, TradingDay, {', '.join(f"{_R(f'y - db_{k} * x_{k} - da_{k}', f'reg_resid_{k}')}, {_R(f'db_{k}', f'reg_slope_{k}')}, {_R(f'CASE WHEN db_{k} IS NOT NULL THEN da_{k} END', f'reg_start_{k}')}, {_R(f'CASE WHEN SWF IS NOT NULL THEN y - sb_{k} * x_{k} - sa_{k} END', f'ind_reg_resid_{k}')}" for k in ('vwap', 'mean'))} FROM r"""
+
+
+def event_lags_dense(spark, sf_dir):
+    """Lags of half of the cells, so that many days are missing."""
+    got = ev.dense_lags(_cells(spark, sf_dir).where(F.pmod(F.dayofyear(DAY) + F.col(SECU), F.lit(2)) == 0), "ret", range(-1, 2))
+    return _out(got.select(SECU, DAY, *[F.col(f"`{ev.lag_name('ret', k)}`").alias(n) for k, n in ((-1, "before"), (0, "same"), (1, "after"))]))
+
+
+def ic_two_weeks(spark, sf_dir):
+    """IC of pairs of weeks, each third of the weeks left out, so that periods are empty."""
+    daily = ic.daily_ic(_rows(spark, sf_dir)).where(F.pmod(F.datediff(DAY, F.lit("1970-01-05").cast("date")) / 7, F.lit(7)) > 2)
+    return _out(periods.resample_ic(daily, "2W"))
+
+
+def ic_business_months(spark, sf_dir):
+    return _out(periods.resample_ic(ic.daily_ic(_rows(spark, sf_dir)), "BM"))
+
+
+def narrow_types(spark, sf_dir):
+    """What the columns of lineitem can be stored as."""
+    plan = plan_narrowing(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    return _out(spark.createDataFrame([(p.column, p.new, p.null_share) for p in plan], "column string, new string, null_share double"))
+
+
+QUERIES |= {q.__name__: q for q in (event_lags_dense, ic_two_weeks, ic_business_months, narrow_types)}
+_HALF = _CELLS.format("half").replace("\ndays AS", "\nhalf AS (SELECT * FROM cells WHERE (dayofyear(TradingDay) + SecuCode) % 2 = 0),\ndays AS")
+ORACLE_SQL["event_lags_dense"] = f"""WITH {_HALF}, g AS (SELECT SecuCode, days.TradingDay, days.t FROM (SELECT DISTINCT SecuCode FROM half), days),
+w AS (SELECT g.SecuCode, g.TradingDay, h.SecuCode IS NOT NULL AS own, p.value AS before, s.value AS same, n.value AS after FROM g LEFT JOIN half h ON h.SecuCode = g.SecuCode AND h.TradingDay = g.TradingDay
+LEFT JOIN vals p ON p.SecuCode = g.SecuCode AND p.t = g.t - 1 LEFT JOIN vals s ON s.SecuCode = g.SecuCode AND s.t = g.t LEFT JOIN vals n ON n.SecuCode = g.SecuCode AND n.t = g.t + 1)
+SELECT SecuCode, TradingDay, {_R('before', 'before')}, {_R('same', 'same')}, {_R('after', 'after')} FROM w WHERE own OR before IS NOT NULL OR same IS NOT NULL OR after IS NOT NULL"""
+_PERIOD = "sum(ic) / nullif(sqrt(count(ic)), 0)"
+_PERIOD_OUT = f"{_R(_PERIOD, 'ic')}, {_R(_PERIOD.replace('ic', 'rank_ic'), 'rank_ic')}, {_R('sum(pos)', 'pos')}, {_R('sum(neg)', 'neg')}, sum(n)::BIGINT AS n"
+ORACLE_SQL["ic_two_weeks"] = f"""WITH {_factor_sql()}{_DAILY}, k AS (SELECT * FROM daily WHERE (TradingDay - DATE '1970-01-05') // 7 % 7 > 2), b AS (SELECT date_trunc('week', min(TradingDay))::DATE AS lo, max(TradingDay) AS hi FROM k),
+s AS (SELECT unnest(generate_series(lo, hi, INTERVAL 14 DAY))::DATE AS start FROM b)
+SELECT (start + 13)::DATE AS TradingDay, {_PERIOD_OUT} FROM s LEFT JOIN k ON TradingDay BETWEEN start AND start + 13 GROUP BY start"""
+_LAST_WEEKDAY = "(last_day(m) - greatest(isodow(last_day(m)) - 5, 0)::INT)::DATE"
+ORACLE_SQL["ic_business_months"] = f"""WITH {_factor_sql()}{_DAILY}, b AS (SELECT date_trunc('month', min(TradingDay))::DATE AS lo, max(TradingDay) AS hi FROM daily),
+m AS (SELECT unnest(generate_series(lo, hi + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS m FROM b), l AS (SELECT {_LAST_WEEKDAY} AS stop, lag({_LAST_WEEKDAY}) OVER (ORDER BY m) AS before FROM m),
+p AS (SELECT stop, before FROM l, b WHERE before IS NULL OR before < hi)
+SELECT stop AS TradingDay, {_PERIOD_OUT} FROM p LEFT JOIN daily ON TradingDay <= stop AND (before IS NULL OR TradingDay > before) GROUP BY stop"""
+_WHOLE_SQL = lambda c: f"CASE WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'int' ELSE 'bigint' END"
+_REAL_SQL = lambda c: f"CASE WHEN bool_and({c} = floor({c})) THEN {_WHOLE_SQL(c)} WHEN max(abs({c}::FLOAT::DOUBLE - {c}) / nullif(abs({c}), 0)) <= 1e-7 THEN 'float' ELSE 'double' END"
+ORACLE_SQL["narrow_types"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column, {(_REAL_SQL if c in ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax') else _WHOLE_SQL)(c)} AS new, round(1 - count({c}) / count(*)::DOUBLE, 6) + 0.0 AS null_share FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+)

@@ -7,8 +7,12 @@ before, so that changes between securities and days, each a shuffle, are few.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from factorweave.functions.stats import DAY, INDUSTRY, SECU, finite
 from factorweave.plans.ast import ExpressionError, Node, parse
@@ -36,6 +40,37 @@ def schedule(trees: list[Node]) -> list[list[Node]]:
     return rounds
 
 
+def _by_group(df: DataFrame, keys: tuple[str, ...], nodes: list[Node], place: dict[str, str], prefix: str) -> DataFrame:
+    """df with the results of group kernels over the rows of each group; one call for all outputs of the same inputs."""
+    if missing := [k for k in keys if k not in df.columns]:
+        raise ExpressionError(f"the panel has no column {', '.join(missing)}")
+    calls: dict[tuple, dict[int, str]] = {}
+    for x in nodes:
+        inputs = tuple(place[str(c)] for c in x.children)
+        place[str(x)] = calls.setdefault((x.spec.group, inputs), {}).setdefault(x.spec.output, f"{prefix}_{len(place)}")
+    names = [c for outputs in calls.values() for c in outputs.values()]
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in names]])
+    arrow, own = to_arrow_schema(schema), df.columns
+
+    def rows(key, table):
+        table, out = table.sort_by(SECU), {}
+        for (kernel, inputs), outputs in calls.items():
+            x = [np.asarray(table[c].to_numpy(zero_copy_only=False), float) for c in inputs]
+            have = ~np.any([np.isnan(v) for v in x], axis=0)
+            known = all(k.is_valid for k in key) and have.any()
+            with np.errstate(all="ignore"):
+                got = kernel(*[v[have] for v in x]) if known else None
+            got = got if isinstance(got, tuple) else (got,)
+            for i, name in outputs.items():
+                value = np.full(table.num_rows, np.nan)
+                if known:
+                    value[have] = got[i]
+                out[name] = pa.array(np.where(np.isfinite(value), value, np.nan), from_pandas=True)
+        return pa.Table.from_arrays([*[table[c].cast(arrow.field(c).type) for c in own], *[out[c] for c in names]], schema=arrow)
+
+    return df.groupBy(*keys).applyInArrow(rows, schema)
+
+
 def evaluate(panel: DataFrame, expressions: list[str | Node] | dict[str, str | Node], keep: list[str] | None = None, float32: bool = False) -> DataFrame:
     """(SecuCode, TradingDay, keep..., one column for each expression).
 
@@ -55,7 +90,10 @@ def evaluate(panel: DataFrame, expressions: list[str | Node] | dict[str, str | N
     place = {c: f"__leaf{i}" for i, c in enumerate(wanted)}
     for r, nodes in enumerate(schedule(list(trees.values()))):
         helpers, results, shared = {}, {}, {}
+        kernels = [x for x in nodes if x.spec.group]
         for k, x in enumerate(nodes):
+            if x.spec.group:
+                continue
             inputs = [F.col(place[str(c)]) for c in x.children]
             needs, result = x.spec.build(*inputs, *([x.n] if x.spec.takes_n else []))
             own = {h: shared.setdefault(str(c), f"__h{r}_{k}_{h}") for h, c in needs.items()}  # equal helpers are one column
@@ -63,5 +101,7 @@ def evaluate(panel: DataFrame, expressions: list[str | Node] | dict[str, str | N
             results[f"__v{r}_{k}"] = finite(result(**{h: F.col(n) for h, n in own.items()}))
             place[str(x)] = f"__v{r}_{k}"
         df = df.withColumns(helpers).withColumns(results).drop(*helpers) if helpers else df.withColumns(results)
+        for i, keys in enumerate(sorted({x.spec.keys for x in kernels})):
+            df = _by_group(df, keys, [x for x in kernels if x.spec.keys == keys], place, f"__g{r}_{i}")
     as_ = "float" if float32 else "double"
     return df.select(SECU, DAY, *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], *[F.col(place[str(t)]).cast(as_).alias(name) for name, t in trees.items()])
