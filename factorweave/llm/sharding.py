@@ -7,6 +7,8 @@ by bisection over running sums, and the cuts are made there.  DataFrame function
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,25 +48,63 @@ def _walk(sums: DataFrame, capacities: list[int], shards: int, total: int, most:
     return at
 
 
-def cuts(sums: DataFrame, shards: int, ways: int = 64) -> list[int]:
-    """The bytes before each shard under the smallest capacity that is enough."""
+def _ends(sums: DataFrame, windows: list[tuple[int, int]], most_ends: int) -> list[int] | None:
+    """The ends of groups inside the windows, in order; None if there are more than `most_ends`."""
+    end = F.col("bytes_before") + F.col("bytes")
+    inside = F.lit(False)
+    for a, b in windows:
+        inside = inside | end.between(a, b)
+    got = sums.where(inside).select(end.alias("end")).limit(most_ends + 1).toArrow()["end"].to_pylist()
+    return sorted(got) if len(got) <= most_ends else None
+
+
+def cuts(sums: DataFrame, shards: int, ways: int = 64, most_ends: int = 1 << 20) -> list[int]:
+    """The bytes before each shard under the smallest capacity that is enough.
+
+    A cut of a greedy walk never moves back as the capacity grows.  So once the capacity is known to
+    lie between two, each cut lies between theirs, and only groups that end there matter.  Where
+    these are at most `most_ends` (8 MB of numbers) the rest of the search needs no job; until
+    then rounds over the stored sums bring the capacity closer, `ways` at a time.
+    """
     total, most = sums.agg(F.sum("bytes"), F.max("bytes")).first()
     if not total:
         return [0]
     low, high = max(most, -(-total // shards)), -(-total // shards) + most  # the second is always enough
+    windows = [(0, total)]
     walks: dict[int, list[int]] = {}
     while low < high:
+        ends = _ends(sums, windows, most_ends)
+        if ends is not None:
+            return _searched(ends, low, high, shards, total)
         tried = sorted({low + (high - low) * i // ways for i in range(ways)})
         walks |= zip(tried, _walk(sums, tried, shards, total, most), strict=True)
-        enough = [walks[c][-1] == total for c in tried]
-        k = enough.index(True) if True in enough else len(tried)
-        high, low = (tried[k] if k < len(tried) else high), (tried[k - 1] + 1 if k else low)
+        k = next((i for i, c in enumerate(tried) if walks[c][-1] == total), len(tried))
         if k == 0:
+            high = low
             break
+        high, low = (tried[k] if k < len(tried) else high), tried[k - 1] + 1
+        before, after = walks[tried[k - 1]], walks.get(high)
+        windows = [(before[j], after[j] if after and j < len(after) else min(j * high, total)) for j in range(1, shards + 1) if j < len(before)]
     at = walks[high] if high in walks else _walk(sums, [high], shards, total, most)[0]
     return sorted(set(at[:-1]) - {total})
 
 
+def _searched(ends: list[int], low: int, high: int, shards: int, total: int) -> list[int]:
+    """The cuts under the smallest capacity from low to high, of which high is enough, given all ends that cuts can fall on."""
+
+    def walk(capacity: int) -> list[int]:
+        at = [0]
+        while at[-1] < total and len(at) <= shards:
+            k = bisect_right(ends, at[-1] + capacity) - 1
+            at.append(total if at[-1] + capacity >= total else max(at[-1], ends[k] if k >= 0 else 0))
+        return at
+
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if walk(middle)[-1] >= total else (middle + 1, high)
+    return sorted(set(walk(high)) - {total})
+
+
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each document; shard sizes are minimax.
 
