@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,23 +130,64 @@ def group_box(rows: DataFrame, groups: int = 10) -> DataFrame:
     return binned.join(F.broadcast(ends), "bin").groupBy("bin").agg(F.count("*").alias("n"), F.avg(held).alias("mean_ret"))
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Ascending ranks, ties averaged, over the number of values."""
+    _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at] / max(len(x), 1)
+
+
+def _zscores(x: np.ndarray) -> np.ndarray | None:
+    """Z-scores, or None where all values are alike."""
+    if not len(x) or x.max() == x.min():
+        return None
+    off = x - x.mean()
+    dev = np.sqrt((off * off).mean())
+    return off / dev if dev > 0 else None
+
+
+_DAILY_BATCH = "k int, ic double, rank_ic double, n long, pos double, neg double, valid long"
+
+
+def _daily_batch(key, table):
+    """The IC of each factor on one day, over the securities that have it and the return."""
+    table = table.sort_by(SECU)
+    ret = np.asarray(table["r"].to_numpy(zero_copy_only=False), float)
+    column, out = table["f"].combine_chunks(), []
+    every = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(ret), -1)
+    whole = None
+    for k in range(every.shape[1]):
+        there = ~np.isnan(every[:, k])
+        n = int(there.sum())
+        if not n:
+            continue
+        if n == len(ret):  # the return's part is the same for all factors without a gap
+            whole = whole or (_zscores(ret), _ranks(ret))
+        zr, rr = whole if n == len(ret) else (_zscores(ret[there]), _ranks(ret[there]))
+        f = every[there, k]
+        zf, rf = _zscores(f), _ranks(f)
+        row = {"k": k, "n": n, "valid": 0}
+        if zf is not None and zr is not None:
+            ic = zf * np.clip(zr, -3.0, 3.0)
+            row |= {"ic": ic.mean(), "pos": ic[zf >= 0].sum() if (zf >= 0).any() else None, "neg": ic[zf <= 0].sum() if (zf <= 0).any() else None, "valid": n}
+        if rf.max() > rf.min() and rr.max() > rr.min():
+            df, dr = rf - rf.mean(), rr - rr.mean()
+            row["rank_ic"] = (df @ dr) / np.sqrt((df @ df) * (dr @ dr))
+        out.append(row)
+    return pa.Table.from_pylist(out, schema=pa.schema([(n, {"int": pa.int32(), "double": pa.float64(), "long": pa.int64()}[t]) for n, t in (c.split() for c in _DAILY_BATCH.split(", "))]))
+
+
 def batch_ic(df: DataFrame, factor_cols: list[str], threshold: float = 0.0) -> DataFrame:
     """One row a factor of |ic| % above threshold: ic, t_value, ic_pos, ic_neg, rank_ic, icir,
     winning_rate, ic_min, ic_max, n_days and mean_count.
 
-    All factors share one plan keyed by (factor, day).  Factors are z-scored without a clip.
+    Rows are dealt by day once, with all factors side by side; a group is one day's securities,
+    and the ranks of its returns are taken once.  Factors are z-scored without a clip.
     A factor without a valid day has ic null and is kept, as an error.
     """
-    long = df.select(SECU, DAY, "ret", F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), finite(F.col(f"`{c}`")).alias("f")) for c in factor_cols])).alias("x")).select(SECU, DAY, F.col("ret").alias("r"), "x.*")
-    keys = ["factor", DAY]
-    rows = long.where("f is not null and r is not null")
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumns({"zf": zscore(F.col("f"), w), "zr": clip(zscore(F.col("r"), w), -3.0, 3.0), "rf": pct_rank(F.col("f"), keys), "rr": pct_rank(F.col("r"), keys)})
-    ic = F.col("zf") * F.col("zr")
-    daily = rows.groupBy(*keys).agg(
-        F.avg(ic).alias("ic"), corr(F.col("rf"), F.col("rr")).alias("rank_ic"), F.count("*").alias("n"),
-        F.sum(F.when(F.col("zf") >= 0, ic)).alias("pos"), F.sum(F.when(F.col("zf") <= 0, ic)).alias("neg"), F.count(ic).alias("valid"),
-    )
+    factors = F.array(*[finite(F.col(f"`{c}`")) for c in factor_cols])
+    rows = df.select(SECU, DAY, F.col("ret").cast("double").alias("r"), factors.alias("f")).where("r is not null and not isnan(r)")
+    names_of = F.array(*[F.lit(c) for c in factor_cols])
+    daily = rows.groupBy(DAY).applyInArrow(_daily_batch, _DAILY_BATCH).withColumn("factor", F.get(names_of, F.col("k")))
     got = daily.groupBy("factor").agg(
         (F.avg("ic") * 100).alias("ic"), tvalue(F.col("ic")).alias("t_value"), (ratio(F.sum("pos"), F.sum("valid")) * 100).alias("ic_pos"), (ratio(F.sum("neg"), F.sum("valid")) * 100).alias("ic_neg"),
         (F.avg("rank_ic") * 100).alias("rank_ic"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), (win_rate(F.col("ic")) * 100).alias("winning_rate"),

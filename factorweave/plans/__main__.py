@@ -9,19 +9,37 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factorweave.functions.stats import DAY, INDUSTRY, SECU
 from factorweave.operators.ic import with_return
 from factorweave.operators.search import Search, revalidate
+from factorweave.plans.compiler import evaluate
 from factorweave.sources.panel import read_warm_start, write_report
 
 
+def return_to_explain(panel: DataFrame, ret: str, shift: int | None = 2, ind_neu: bool = False, derisk: bool = False) -> DataFrame:
+    """panel with `ret`: the return of a column `shift` rows later, of its derisked form or neutral to industries if wanted."""
+    name = f"{ret}_derisked" if derisk else ret
+    if name not in panel.columns:
+        raise ValueError(f"the panel has no return {name}")
+    if ind_neu:
+        own = panel.withColumn("kept_industry", F.col(INDUSTRY))
+        others = [c for c in own.columns if c not in (SECU, DAY, INDUSTRY, "neutral_return")]
+        panel = evaluate(own, {"neutral_return": f"ind_neu({name})"}, keep=others).withColumnRenamed("kept_industry", INDUSTRY)
+        name = "neutral_return"
+    return with_return(panel, name, shift)
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="factorweave.plans", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--panel", required=True, help="Parquet panel with SecuCode, TradingDay and the leaf columns")
     p.add_argument("--out", required=True, help="folder: fitness and values by epoch, and the out-of-sample report")
     p.add_argument("--ret", default="raw_close_close")
     p.add_argument("--ret_shift", type=int, default=2)
+    p.add_argument("--ind_neu", action=argparse.BooleanOptionalAction, default=False, help="explain the return less its industry's mean of the day, over their deviation")
+    p.add_argument("--derisk", action=argparse.BooleanOptionalAction, default=False, help="explain the column of that name with _derisked behind it")
     p.add_argument("--epochs", type=int, default=20)
     p.add_argument("--max_depth", type=int, default=3)
     p.add_argument("--population_size", type=int, default=2000)
@@ -35,7 +53,7 @@ def main(args: list[str] | None = None) -> None:
     logging.basicConfig(filename=a.log, level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = SparkSession.builder.getOrCreate()
-    panel = with_return(spark.read.parquet(a.panel), a.ret, a.ret_shift)
+    panel = return_to_explain(spark.read.parquet(a.panel), a.ret, a.ret_shift, a.ind_neu, a.derisk)
     if a.evaluate_from:
         write_report(revalidate(panel, f"{a.out}/fitness", a.evaluate_from, a.evaluate_to), f"{a.out}/out_of_sample")
         return

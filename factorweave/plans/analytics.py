@@ -480,8 +480,8 @@ ORACLE_SQL["factor_corr_many"] = f"""WITH {_MANY.replace("raw_close_vwap AS f_vw
 
 
 register_group_kernel(["reg_resid", "reg_slope", "reg_start"], regression, 2)
-register_group_kernel(["ind_reg_resid"], regression, 2, (DAY, INDUSTRY))
-_REGRESSIONS = {f"{n}_{k}": f"{n}(raw_close_open,{x})" for n in ("reg_resid", "reg_slope", "reg_start", "ind_reg_resid") for k, x in (("vwap", "raw_close_vwap"), ("mean", "ts_mean(raw_close_close,5)"))}
+register_group_kernel(["reg_resid_ind"], regression, 2, (DAY, INDUSTRY))
+_REGRESSIONS = {f"{n}_{k}": f"{n}(raw_close_open,{x})" for n in ("reg_resid", "reg_slope", "reg_start", "reg_resid_ind") for k, x in (("vwap", "raw_close_vwap"), ("mean", "ts_mean(raw_close_close,5)"))}
 
 
 def day_regressions(spark, sf_dir):
@@ -506,7 +506,7 @@ def _line_sql(name: str, keys: str) -> str:
 
 ORACLE_SQL["day_regressions"] = f"""WITH {PANEL_SQL}, i AS (SELECT SecuCode, TradingDay, SWF, raw_close_open AS y, raw_close_vwap AS x_vwap, CASE WHEN count(raw_close_close) {_W5} = 5 THEN avg(raw_close_close) {_W5} END AS x_mean FROM panel),
 r AS (SELECT *, {_line_sql('d', 'TradingDay')}, {_line_sql('s', 'TradingDay, SWF')} FROM i)
-SELECT SecuCode, TradingDay, {', '.join(f"{_R(f'y - db_{k} * x_{k} - da_{k}', f'reg_resid_{k}')}, {_R(f'db_{k}', f'reg_slope_{k}')}, {_R(f'CASE WHEN db_{k} IS NOT NULL THEN da_{k} END', f'reg_start_{k}')}, {_R(f'CASE WHEN SWF IS NOT NULL THEN y - sb_{k} * x_{k} - sa_{k} END', f'ind_reg_resid_{k}')}" for k in ('vwap', 'mean'))} FROM r"""
+SELECT SecuCode, TradingDay, {', '.join(f"{_R(f'y - db_{k} * x_{k} - da_{k}', f'reg_resid_{k}')}, {_R(f'db_{k}', f'reg_slope_{k}')}, {_R(f'CASE WHEN db_{k} IS NOT NULL THEN da_{k} END', f'reg_start_{k}')}, {_R(f'CASE WHEN SWF IS NOT NULL THEN y - sb_{k} * x_{k} - sa_{k} END', f'reg_resid_ind_{k}')}" for k in ('vwap', 'mean'))} FROM r"""
 
 
 def event_lags_dense(spark, sf_dir):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorweave.functions.kernels import KERNELS, finite
-from factorweave.functions.stats import DAY, INDUSTRY, SECU, tvalue
+from factorweave.functions.stats import DAY, INDUSTRY, SECU
 from factorweave.plans.ast import COLUMNS, Node, column
 from factorweave.plans.compiler import evaluate
 from factorweave.sources.shared import Store
@@ -222,17 +222,16 @@ class Subtrees:
             for i, part in enumerate(parts):
                 names = {f"f{k}": t for k, t in enumerate(part)}
                 values = self.values(names, [self.ret_col]).where(F.col(self.ret_col).isNotNull())
-                values.select(DAY, F.col(self.ret_col).alias("ret"), F.array(*names).alias("f")).write.parquet(f"{folder}/batch={i}")
+                values.select(SECU, DAY, F.col(self.ret_col).alias("ret"), F.array(*names).alias("f")).write.parquet(f"{folder}/batch={i}")
         daily = self.spark.read.parquet(folder).groupBy("batch", DAY).applyInArrow(_daily_scores, f"batch int, {DAY} date, v array<double>")
-        each = daily.select("batch", F.posexplode("v").alias("k", "v"))
-        got = each.groupBy("batch", "k").agg((F.avg("v") * 100).alias("ic"), tvalue(F.col("v")).alias("tvalue"), F.count("v").alias("valid_factor_size"), F.count("*").alias("days"))
+        got = daily.groupBy("batch").applyInArrow(_batch_scores, "batch int, k int, ic double, tvalue double, valid_factor_size long, days long")
         names = self.spark.createDataFrame([(i, k, str(t)) for i, part in enumerate(parts) for k, t in enumerate(part)], "batch int, k int, factor_name string")
         return names.join(got, ["batch", "k"], "left").select("factor_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ic", "tvalue", "valid_factor_size", "days")])
 
 
 def _daily_scores(key, table):
     """The mean product of held z-score and return of each factor of a batch on one day; its rows are the day's securities."""
-    rows = table.num_rows
+    rows, table = table.num_rows, table.sort_by(SECU)  # sums in one order, so that runs agree to the last bit
     x = table["f"].combine_chunks()
     x = np.asarray(x.flatten().to_numpy(zero_copy_only=False), float).reshape(rows, -1)
     ret = np.asarray(table["ret"].to_numpy(zero_copy_only=False), float)[:, None]
@@ -246,3 +245,18 @@ def _daily_scores(key, table):
     mean = np.where(known, product, 0.0).sum(0) / some
     v = pa.ListArray.from_arrays(pa.array([0, x.shape[1]], pa.int32()), pa.array(mean, mask=~varies))
     return pa.table({"batch": pa.array([key[0].as_py()], pa.int32()), DAY: pa.array([key[1].as_py()], pa.date32()), "v": v})
+
+
+def _batch_scores(key, table):
+    """Mean in %, t value and count of the daily scores of each factor of a batch; its rows are days."""
+    days, table = table.num_rows, table.sort_by(DAY)
+    x = np.asarray(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(days, -1)
+    known = ~np.isnan(x)
+    n = known.sum(0)
+    mean = np.where(known, x, 0.0).sum(0) / np.maximum(n, 1)
+    off = np.where(known, x - mean, 0.0)
+    dev = np.sqrt((off * off).sum(0) / np.maximum(n - 1, 1))
+    varies = (n > 1) & (dev > 0)
+    t = np.where(varies, mean * np.sqrt(n) / np.where(varies, dev, 1.0), 0.0)
+    k = x.shape[1]
+    return pa.table({"batch": pa.array([key[0].as_py()] * k, pa.int32()), "k": pa.array(range(k), pa.int32()), "ic": mean * 100, "tvalue": t, "valid_factor_size": n.astype(np.int64), "days": pa.array([days] * k, pa.int64())})
