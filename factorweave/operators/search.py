@@ -19,7 +19,7 @@ from factorweave.operators.correlation import correlated, independent
 from factorweave.operators.ic import batch_ic
 from factorweave.plans import ast
 from factorweave.plans.compiler import evaluate
-from factorweave.plans.population import Subtrees
+from factorweave.plans.population import Subtrees, evaluate_many
 from factorweave.sources.panel import read_fitness, write_fitness, write_values
 from factorweave.sources.shared import Store
 
@@ -287,7 +287,7 @@ class Search:
         for a in range(0, len(saved), self.batch):
             names = {f"f{i}": t for i, t in enumerate(saved[a : a + self.batch])}
             own = F.array(*[F.struct(F.lit(str(t)).alias("factor"), F.col(f).alias("value")) for f, t in names.items()])
-            write_values(evaluate(panel, names).select(SECU, DAY, F.explode(own).alias("x")).select(SECU, DAY, "x.*").where("value is not null"), f"{out}/values", done["epoch"])
+            write_values(evaluate_many(panel, names).select(SECU, DAY, F.explode(own).alias("x")).select(SECU, DAY, "x.*").where("value is not null"), f"{out}/values", done["epoch"])
 
     def _unlike(self, panel: DataFrame, scored: list[Scored], subtrees: Subtrees | None = None) -> list[Scored]:
         """All of scored; a tree whose first component correlates with that of a better one gets fitness 0."""
@@ -299,7 +299,7 @@ class Search:
             for a in range(0, len(able), self.batch):
                 names = {f"f{i}": s.tree for i, s in enumerate(able[a : a + self.batch])}
                 own = panel.sparkSession.createDataFrame([(f, str(t)) for f, t in names.items()], "factor string, name string")
-                pcs = first_components(subtrees.values(names) if subtrees else evaluate(panel, names), list(names))
+                pcs = first_components(subtrees.values(names) if subtrees else evaluate_many(panel, names), list(names))
                 pcs.join(F.broadcast(own), "factor").select(F.col("name").alias("factor"), "pc").write.mode("append").parquet(folder)
             kept = set(uncorrelated([str(s.tree) for s in able], panel.sparkSession.read.parquet(folder), self.pc_threshold))
         out = [s if str(s.tree) in kept else replace(s, fitness=0.0) for s in scored]
@@ -334,7 +334,7 @@ def worth_keeping(fitness: DataFrame, share: float = 0.6, least_t: float = 3.0)
 def out_of_sample(panel: DataFrame, expressions: list[str], start: str, end: str | None = None, ret_col: str = "ret", threshold: float = 0.0) -> DataFrame:
     """batch_ic of expressions over [start, end]; values are computed over all days, so windows are warm."""
     trees = {f"f{i}": ast.parse(e) for i, e in enumerate(expressions)}
-    values = evaluate(panel, trees, keep=[ret_col])
+    values = evaluate_many(panel, trees, keep=[ret_col])
     day = F.col(DAY)
     values = values.where((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date") if end else F.lit(True))).withColumnRenamed(ret_col, "ret")
     names = F.create_map(*[F.lit(x) for f, t in trees.items() for x in (f, str(t))])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from factorweave.functions.kernels import KERNELS, finite
 from factorweave.functions.stats import DAY, INDUSTRY, SECU
-from factorweave.plans.ast import COLUMNS, Node, column
+from factorweave.plans.ast import COLUMNS, ExpressionError, Node, column, parse
 from factorweave.plans.compiler import evaluate
 from factorweave.sources.shared import Store
 
@@ -123,6 +123,26 @@ def _placed(tree: Node, place: dict[str, str]) -> Node:
     return Node(tree.op, tree.name, tuple(_placed(c, place) for c in tree.children), tree.n) if tree.children else tree
 
 
+def evaluate_many(panel: DataFrame, names: dict[str, str | Node], keep: list[str] | None = None) -> DataFrame:
+    """evaluate() for many trees: what looks at one security at a time is computed over arrays.
+
+    The largest such subtrees are computed in one pass by security, what is around them by the
+    compiler.  Values agree with those of evaluate() but for rounding.
+    """
+    trees = {k: parse(t) if isinstance(t, str) else t for k, t in names.items()}
+    if missing := sorted({c for t in trees.values() for c in t.columns()} - set(panel.columns)):
+        raise ExpressionError(f"the panel has no column {', '.join(missing)}")
+    if all(map(has_kernels, trees.values())):
+        return over_arrays(panel, trees, keep)
+    inner = {str(x): x for t in trees.values() for x in _largest(t)}
+    if inner:
+        place = {k: f"inner{i}" for i, k in enumerate(inner)}
+        trees = {k: _placed(t, place) for k, t in trees.items()}
+        kept = {c for t in trees.values() for c in t.columns()} | set(keep or []) | {INDUSTRY}
+        panel = over_arrays(panel, {place[k]: x for k, x in inner.items()}, [c for c in panel.columns if c in kept])
+    return evaluate(panel, trees, keep)
+
+
 class Subtrees:
     """Stored values of subtrees over one panel, kept between batches and epochs until close().
 
@@ -176,16 +196,7 @@ class Subtrees:
     def values(self, names: dict[str, Node], keep: list[str] | None = None) -> DataFrame:
         """(SecuCode, TradingDay, keep..., a column for each tree)."""
         trees = {k: self.read(t) for k, t in names.items()}
-        panel = self.panel_for(list(trees.values()))
-        if all(map(has_kernels, trees.values())):
-            return over_arrays(panel, trees, keep)
-        inner = {str(x): x for t in trees.values() for x in _largest(t)}
-        if inner:
-            place = {k: f"inner{i}" for i, k in enumerate(inner)}
-            trees = {k: _placed(t, place) for k, t in trees.items()}
-            kept = {c for t in trees.values() for c in t.columns()} | set(keep or []) | {INDUSTRY}
-            panel = over_arrays(panel, {place[k]: x for k, x in inner.items()}, [c for c in panel.columns if c in kept])
-        return evaluate(panel, trees, keep)
+        return evaluate_many(self.panel_for(list(trees.values())), trees, keep)
 
     def prepare(self, trees: list[Node]) -> None:
         """Stores what is worth it for these trees and isn't there; what no longer fits and isn't needed goes."""

@@ -8,9 +8,9 @@ from factorweave.functions.kernels import KERNELS
 from factorweave.operators import queries, search
 from factorweave.operators.ic import with_return
 from factorweave.operators.registry import OPERATORS
-from factorweave.plans.ast import column, draw, parse
+from factorweave.plans.ast import ExpressionError, column, draw, parse
 from factorweave.plans.compiler import evaluate
-from factorweave.plans.population import Subtrees, across, has_kernels, over_arrays, worth_storing
+from factorweave.plans.population import Subtrees, across, evaluate_many, has_kernels, over_arrays, worth_storing
 from factorweave.sources.panel import read_panel
 
 
@@ -117,3 +117,14 @@ def test_folders_and_tables_go(panel, spark):
         paths = list(s.store.paths)
     assert {t.name for t in spark.catalog.listTables()} == before and s.store.paths == []
     assert not any(spark.sparkContext._jvm.java.io.File(p.removeprefix("file://")).exists() for p in paths)
+
+
+def test_many_at_once_equal_the_compiler(panel):
+    """Trees of one security at a time, across days, both, and bare columns; kept columns and errors as there."""
+    trees = {f"t{i}": t for i, t in enumerate([*trees_of(8, 21), parse("cs_rank(ts_mean(close,3))"), parse("ind_neu(comb_sub(open,close))"), parse("ts_std(cs_norm(ts_diff(close,1)),4)"), column("vwap")])}
+    names = [*trees, "ret", "SWF"]
+    assert_same(table(evaluate_many(panel, trees, ["ret"]), [*trees, "ret"]), table(evaluate(panel, trees, ["ret"]), [*trees, "ret"]))
+    assert_same(table(evaluate_many(panel, {"a": "ts_mean(close,3)"}, ["ret"]), ["a", "ret"]), table(evaluate(panel, {"a": "ts_mean(close,3)"}, ["ret"]), ["a", "ret"]))
+    assert set(names) - {"SWF"} <= set(evaluate_many(panel, trees, ["ret"]).columns)
+    with pytest.raises(ExpressionError, match="nothing"):
+        evaluate_many(panel, {"a": "ts_mean(nothing,3)"})
