@@ -316,21 +316,15 @@ def odd_sketches(shingles: np.ndarray, counts: np.ndarray, words: int = 16) -> n
     return np.packbits(odd, bitorder="little").view(np.uint64).reshape(len(counts), words)
 
 
-def similar_pairs(sets: list[np.ndarray], block: np.ndarray, least: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs whose Jaccard similarity is `least` or more.
-
-    With two blocks only pairs of both are looked at, as others are looked at elsewhere.
-    """
+def similar_pairs(sets: list[np.ndarray], look: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs i < j with look[i, j] whose Jaccard similarity is `least` or more."""
     size = np.array([len(s) for s in sets])
     sketch, root = odd_sketches(np.concatenate(sets), size), list(range(len(sets)))
     most = (size[:, None] + size[None]) * ((1 - least) / (1 + least)) + 1e-9  # elements that may be in one of both
     apart = np.zeros((len(sets), len(sets)), np.int32)
     for w in sketch.T:
         apart += np.bitwise_count(w[:, None] ^ w[None])
-    ok = np.triu((apart <= most) & (np.abs(size[:, None] - size[None]) <= most), 1)
-    if block.min() != block.max():
-        ok &= block[:, None] != block[None]
-    i, j = np.nonzero(ok)
+    i, j = np.nonzero(np.triu(look & (apart <= most) & (np.abs(size[:, None] - size[None]) <= most), 1))
     order = np.argsort(apart[i, j], kind="stable")
 
     def find(x: int) -> int:
@@ -380,28 +374,83 @@ def _candidates(classes: DataFrame, number: int, parts: int, bits: int) -> DataF
     return index.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(rows, "a long, b long")
 
 
-def _tiles(least: float):
-    """Verified edges (a, b) among the rows (cluster, low, high, block, node, shingles) of each tile."""
+_TILE = "tile string, side int, own long, node long, shingles binary"
+
+
+def _tiles(sets: DataFrame, least: float) -> DataFrame:
+    """Verified edges (a, b) among the rows (_TILE) of each tile.
+
+    Rows of one side are compared with each other on side 0 only; rows of equal `own`, which
+    are connected already, never are.
+    """
 
     def rows(batches):
         held, name = [], None
 
         def done():
-            if len(held) > 1 and len({b for b, *_ in held}) in (1, 2):
-                nodes = [n for _, n, _ in held]
-                a, b = similar_pairs([np.frombuffer(s, np.uint64) for *_, s in held], np.array([b for b, *_ in held]), least)
-                if a:
+            if len(held) > 1:
+                side, own, nodes, data = zip(*held, strict=True)
+                side, own = np.array(side), np.array(own)
+                look = ((side[:, None] != side[None]) | (side[:, None] == 0)) & (own[:, None] != own[None])
+                if look.any():
+                    a, b = similar_pairs([np.frombuffer(s, np.uint64) for s in data], look, least)
                     yield pa.record_batch([pa.array([nodes[i] for i in a], pa.int64()), pa.array([nodes[i] for i in b], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for cluster, low, high, block, node, shingles in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (cluster, low, high) != name:
+            for tile, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if tile != name:
                     yield from done()
-                    held, name = [], (cluster, low, high)
-                held.append((block, node, shingles))
+                    held, name = [], tile
+                held.append(row)
         yield from done()
 
-    return rows
+    return sets.select(*[c.split()[0] for c in _TILE.split(", ")]).repartition("tile").sortWithinPartitions("tile").mapInArrow(rows, "a long, b long")
+
+
+_SHINGLES = 1 << 22  # in a block of sets that a task compares with another
+
+
+def _number(block: int) -> Column:
+    """How many blocks sets need that have `block` sets and _SHINGLES shingles each, on average."""
+    return F.ceil(F.greatest(F.count("*") / block, F.sum(F.col("n").cast("long")) / _SHINGLES)).cast("int")
+
+
+def _first_tiles(sets: DataFrame) -> DataFrame:
+    """Each block of a cluster, and its first block again beside every other: rows grow with the cluster only."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tiles = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = sets.withColumn("block", own).withColumn("number", F.explode(tiles)).withColumn("own", F.col("node"))
+    return dealt.withColumn("side", (F.col("block") != F.col("number")).cast("int")).withColumn("tile", F.concat_ws("/", "cluster", "number"))
+
+
+def _unconnected(members: DataFrame, roots: DataFrame, least: float, block: int) -> tuple[DataFrame, DataFrame] | None:
+    """(sets, sides) of clusters of several blocks that are not connected yet, if any.
+
+    sets has (node, key, own, name): its component and block.  A component of `block` sets or
+    more has blocks of its own, others share theirs.  sides has (name, tile, side): two
+    blocks meet unless they are of one component or no sizes of theirs can be similar.
+    """
+    wide = members.where("blocks > 1").join(roots, "node", "left").select("node", "key", "n", "cluster", F.coalesce("root", "node").alias("own"))
+    apart = wide.groupBy("cluster").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high")
+    wide = saved(wide.join(apart.select("cluster"), "cluster", "left_semi"), "unconnected")
+    if wide.isEmpty():
+        return None
+    sizes = wide.groupBy("own").agg((F.count("*") >= block).alias("big"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 / least)).cast("int")  # similar sets are in one or in adjacent ones
+    wide = wide.join(sizes, "own").withColumn("owner", F.when(F.col("big"), F.col("own")).otherwise(F.lit(0))).withColumn("band", band)
+    of = ["cluster", "big", "owner", "band"]
+    place = F.pmod(F.xxhash64(F.when(F.col("big"), F.col("node")).otherwise(F.col("own"))), F.col("number"))
+    wide = wide.join(wide.groupBy(of).agg(_number(block).alias("number")), of)
+    wide = saved(wide.select("node", "key", "own", *of, F.concat_ws("/", *of, place).alias("name")), "blocks")
+    low = wide.select("name", *of).distinct()
+    high = low.select(*[F.col(c).alias(f"other_{c}") for c in low.columns])
+    meet = (F.col("cluster") == F.col("other_cluster")) & (F.col("name") <= F.col("other_name")) & (F.abs(F.col("band") - F.col("other_band")) <= 1)
+    meet &= ~(F.col("big") & F.col("other_big") & (F.col("owner") == F.col("other_owner")))
+    pairs = low.join(high, meet).select("name", "other_name", F.concat_ws(" ", "name", "other_name").alias("tile"))
+    pairs = saved(pairs, "pairs-of-blocks")
+    same = F.col("name") == F.col("other_name")
+    sides = pairs.select("name", "tile", F.when(same, 0).otherwise(1).alias("side"))
+    return wide, sides.unionByName(pairs.where(~same).select(F.col("other_name").alias("name"), "tile", F.lit(2).alias("side")))
 
 
 def similar_texts(rows: DataFrame, least: float = 0.8, shingle: int = 5, parts: int | None = None, block: int = 256) -> tuple[DataFrame, DataFrame | None]:
@@ -418,7 +467,10 @@ def similar_texts(rows: DataFrame, least: float = 0.8, shingle: int = 5, parts:
        128 bits as sets of the similarity and 4 standard deviations, are candidates; what
        they connect is a cluster.
     3. All sets of a cluster are compared in whole, in tiles of two blocks of about `block`
-       sets; sketches of parities skip what can't reach the similarity.
+       sets; sketches of parities skip what can't reach the similarity.  First each block is
+       compared with itself and with the cluster's first one, which connects near copies
+       of one text, however many: work grows with their number.  Then the tiles whose blocks
+       are not of one component and hold sets of similar sizes are.
     """
     small_batches(rows.sparkSession)
     if parts is None:
@@ -437,11 +489,12 @@ def similar_texts(rows: DataFrame, least: float = 0.8, shingle: int = 5, parts:
     own = saved(rows.select("key", "doc_id", "text").mapInArrow(sign, f"key {rows.schema['key'].dataType.simpleString()}, doc_id long, node long, check long, n int, fps array<long>"), "nodes")
     classes = own.where("n > 0").groupBy("node").agg(F.min_by("fps", "check").alias("fps"))
     clusters = components(_candidates(classes, number, parts, bits))
-    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    clusters = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("members")), "root")
-    clusters = saved(clusters.select("node", F.col("root").alias("cluster"), F.ceil(F.col("members") / block).cast("int").alias("blocks")), "clusters")
-    if clusters.isEmpty():
+    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cluster")
+    first = own.where("n > 0").groupBy("node").agg(F.min(F.struct("check", "key", "n")).alias("least"))
+    members = saved(first.join(clusters, "node").select("node", "least.*", "cluster"), "members")
+    if members.isEmpty():
         return own, None
+    members = saved(members.join(members.groupBy("cluster").agg(_number(block).alias("blocks")), "cluster"), "representatives")
 
     def sets(batches):
         for batch in batches:
@@ -450,17 +503,18 @@ def similar_texts(rows: DataFrame, least: float = 0.8, shingle: int = 5, parts:
                 data = [shingles[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.record_batch([*part.columns[1:], pa.array(data, pa.binary())], names=[*part.schema.names[1:], "shingles"])
 
-    first = own.where("n > 0").groupBy("node").agg(F.min(F.struct("check", "key")).alias("least"))
-    first = saved(first.join(clusters, "node").select("node", "least.*", "cluster", "blocks"), "representatives")
-    picked = rows.select("key", "text").join(first, "key").dropDuplicates(["key"]).select("text", "node", "cluster", "blocks")
-    picked = picked.mapInArrow(sets, "node long, cluster long, blocks int, shingles binary")
-    own_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = picked.withColumn("block", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles")
-    tiles = tiles.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    roots = components(tiles.mapInArrow(_tiles(least), "a long, b long"))
+    def with_sets(of: DataFrame, columns: str) -> DataFrame:
+        names = [c.split()[0] for c in columns.split(", ")]
+        picked = rows.select("key", "text").join(of, "key").dropDuplicates(["key"]).select("text", *names)
+        return picked.mapInArrow(sets, f"{columns}, shingles binary")
+
+    roots = components(_tiles(_first_tiles(with_sets(members, "node long, cluster long, blocks int")), least))
+    rest = _unconnected(members, roots, least, block)
+    if rest:
+        edges = _tiles(with_sets(rest[0], "node long, own long, name string").join(rest[1], "name"), least)
+        roots = components(edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    return own, roots.join(first.select("node", "check"), "node")
+    return own, roots.join(members.select("node", "check"), "node")
 
 
 def distinct_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 
+from factorweave.llm import simhash
 from factorweave.llm.simhash import bit_share, number_of_fingerprints, shingle_sets, similar_texts
 
 
@@ -83,3 +84,56 @@ def test_longer_segments_and_small_blocks_find_the_same(spark, docs, odd):
     for r in own.join(roots, "node", "left").collect():
         got.setdefault(r.root if r.root is not None else r.node, set()).add(rows[r.key])
     assert sorted(map(sorted, (map(repr, g) for g in got.values()))) == sorted(map(sorted, (map(repr, set(g)) for g in brute(rows))))
+
+
+def near_copies(n, seed=5):
+    """n texts that differ from one text, and so from each other, in a word or two."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(n):
+        own = base[:]
+        own[rng.randrange(120)] = f"x{i}"
+        rows.append((i, i, " ".join(own)))
+    return rows
+
+
+def test_what_is_dealt_of_near_copies_grows_with_their_number(spark):
+    """20,000 unlike near copies make one group, and each set is dealt twice at most, on average."""
+    dealt = {}
+    for n in (2_000, 20_000):
+        df = spark.createDataFrame(near_copies(n), "key long, doc_id long, text string").repartition(8)
+        seen = []
+        whole = simhash._tiles
+        simhash._tiles = lambda sets, least: (seen.append(sets.count()), whole(sets, least))[1]  # noqa: B023
+        try:
+            own, roots = similar_texts(df)
+        finally:
+            simhash._tiles = whole
+        assert roots.count() == n and roots.select("root").distinct().count() == 1
+        dealt[n] = sum(seen)
+        assert dealt[n] <= 2.5 * n
+    assert dealt[20_000] <= 12 * dealt[2_000]
+
+
+def test_blocks_of_one_component_do_not_meet(spark):
+    nodes = [(k, f"k{k}", 100 if k < 90 else 400, 0, 4) for k in range(100)]
+    members = spark.createDataFrame(nodes, "node long, key string, n int, cluster long, blocks int")
+    roots = spark.createDataFrame([(k, 0) for k in range(1, 60)], "node long, root long")
+    sets, sides = simhash._unconnected(members, roots, 0.8, 20)
+    name = {r.node: (r.name, r.own) for r in sets.collect()}
+    tiles = {}
+    for r in sides.collect():
+        tiles.setdefault(r.tile, []).append((r.name, r.side))
+    meet = {frozenset(x for x, _ in t) for t in tiles.values()}
+    assert all(sorted(s for _, s in t) in ([0], [1, 2]) for t in tiles.values()) and len(meet) == len(tiles)
+    n = {k: row[2] for k, row in enumerate(nodes)}
+    for a in range(100):
+        for b in range(a):
+            apart = name[a][1] != name[b][1]
+            if apart and 0.8 * max(n[a], n[b]) <= min(n[a], n[b]):
+                assert frozenset({name[a][0], name[b][0]}) in meet
+            elif not apart and a < 60:
+                assert frozenset({name[a][0], name[b][0]}) not in meet
+    connected = spark.createDataFrame([(k, 0) for k in range(1, 100)], "node long, root long")
+    assert simhash._unconnected(members, connected, 0.8, 20) is None
