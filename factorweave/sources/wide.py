@@ -14,9 +14,19 @@ from factorweave.functions.stats import DAY, SECU
 from factorweave.operators.portfolio import notable_factors
 
 
+def _bare(cell: Column) -> Column:
+    """A cell without the space or quotes around it."""
+    return F.btrim(F.btrim(cell), F.lit('"'))
+
+
 def _cells(line: str) -> Column:
-    """The cells of a line without the space or quotes around them; separators inside quotes aren't read."""
-    return F.transform(F.split(F.regexp_replace(line, "\r$", ""), ",", -1), lambda c: F.btrim(F.btrim(c), F.lit('"')))
+    """The cells of a line, bare; separators inside quotes aren't read."""
+    return F.transform(F.split(F.regexp_replace(line, "\r$", ""), ",", -1), _bare)
+
+
+def _first_cell(line: str) -> Column:
+    """The first of _cells(line), without a look at the others."""
+    return _bare(F.regexp_replace(F.substring_index(line, ",", 1), "\r$", ""))
 
 
 def _day(cell: Column) -> Column:
@@ -37,12 +47,14 @@ def read_wide(spark: SparkSession, path: str, value: str = "factor") -> DataFram
     """
     lines = spark.read.option("recursiveFileLookup", "false").text(path)
     name = F.col("file") if "file" in lines.columns else F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
-    lines = lines.select(name.cast("string").alias("file"), F.col("_metadata.file_path").alias("from"), (F.col("_metadata.file_block_start") == 0).alias("first_block"), F.monotonically_increasing_id().alias("at"), "value")
-    header = lines.where("first_block").groupBy("from").agg(F.min(F.struct("at", "value")).alias("head"))
+    lines = lines.select(name.cast("string").alias("file"), F.col("_metadata.file_path").alias("from"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    header = lines.where("block = 0").groupBy("from").agg(F.min(F.struct("at", "value")).alias("head"))
     codes = F.transform(_cells("head.value"), lambda c: F.split(c, r"\.")[0])
-    header = header.select("from", F.col("head.value").alias("head"), codes.alias("codes"))
-    cells = F.slice(F.arrays_zip(F.col("codes").alias("code"), _cells("value").alias("cell")), 2, 1 << 30)
-    rows = lines.join(header, "from").where("value <> head").select("file", _day(_cells("value")[0]).alias(DAY), F.explode(cells).alias("c")).where(f"{DAY} is not null")
+    header = lines.select("from", "block").distinct().join(header, "from")  # for each block of a file its header, so a block is a task's part
+    header = header.select("from", "block", F.col("head.value").alias("head"), codes.alias("codes"))
+    lines = lines.join(header.hint("shuffle_hash"), ["from", "block"]).where("value <> head").select("file", _day(_first_cell("value")).alias(DAY), "codes", _cells("value").alias("cells")).where(f"{DAY} is not null")
+    # a line's day and cells are columns before the cells become rows: whatever is left to do for each row must not look at the line
+    rows = lines.select("file", DAY, F.explode(F.slice(F.arrays_zip(F.col("codes").alias("code"), F.col("cells").alias("cell")), 2, 1 << 30)).alias("c"))
     number = F.when(F.lower("c.cell").isin("inf", "+inf"), float("inf")).when(F.lower("c.cell") == "-inf", -float("inf")).otherwise(F.col("c.cell").try_cast("double"))
     return rows.select("file", F.col("c.code").alias(SECU), DAY, number.alias(value)).where(F.col(SECU).isNotNull() & F.col(value).isNotNull())
 
@@ -53,22 +65,26 @@ def read_wide_returns(spark: SparkSession, path: str, value: str = "ret") -> Dat
     return read_wide(spark, path, value).drop("file").where(~F.isnan(x)).withColumn(value, F.when(F.abs(x) == float("inf"), 0.0).otherwise(x))
 
 
-def write_wide(df: DataFrame, path: str, file_col: str = "file", value_col: str = "factor") -> None:
+def write_wide(df: DataFrame, path: str, file_col: str = "file", value_col: str = "factor", part_cells: int = 4_000_000) -> None:
     """Writes rows (file, SecuCode, TradingDay, value) as one wide CSV for each file, in folders `file=...`.
 
-    A file is written by one task.  Of rows of one key the largest value stands; days
-    ascend, and securities are in order of their codes.
+    A file of more than part_cells cells is dealt by day over parts of about so many, each with the
+    header; a part is written by one task.  Of rows of one key the largest value stands; days
+    of a part ascend, and securities are in order of their codes.
     """
     rows = df.select(F.col(f"`{file_col}`").cast("string").alias("file"), F.col(SECU).cast("string").alias("code"), F.col(DAY).cast("string").alias("day"), F.col(f"`{value_col}`").cast("string").alias("cell"), F.col(f"`{value_col}`").alias("v"))
     rows = rows.where("file is not null and code is not null and day is not null").groupBy("file", "day", "code").agg(F.max_by("cell", "v").alias("cell"))
-    places = rows.groupBy("file").agg(F.array_sort(F.collect_set("code")).alias("codes"))  # the securities of a file
-    by_place = places.select("file", F.posexplode("codes").alias("pos", "code"))
-    lines = rows.join(by_place, ["file", "code"]).groupBy("file", "day").agg(F.array_sort(F.collect_list(F.struct(F.col("pos") + 1, F.coalesce("cell", F.lit(""))))).alias("cells"))
-    before = F.concat(F.array(F.lit(0)), F.transform("cells", lambda c: c["col1"]))
-    parts = F.zip_with(F.col("cells"), F.slice(before, 1, F.size("cells")), lambda c, last: F.concat(F.repeat(F.lit(","), c["col1"] - last), c["col2"]))
-    written = F.concat(F.col("day"), F.array_join(parts, ""))
-    text = lines.select("file", "day", written.alias("value")).unionByName(places.select("file", F.lit("").alias("day"), F.concat(F.lit("TradingDay,"), F.array_join("codes", ",")).alias("value")))
-    text.repartition("file").sortWithinPartitions("file", "day").drop("day").write.partitionBy("file").text(path)
+    codes = rows.groupBy("file", "code").agg(F.count("*").alias("n"))
+    places = codes.groupBy("file").agg(F.sort_array(F.collect_list("code")).alias("codes"), F.ceil(F.sum("n") / part_cells).cast("int").alias("parts"))  # the securities of a file
+    by_place = places.select("file", "parts", F.posexplode("codes").alias("pos", "code"))
+    lines = rows.join(by_place, ["file", "code"]).groupBy("file", "day").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct((F.col("pos") + 1).alias("at"), F.coalesce("cell", F.lit("")).alias("cell")))).alias("cells"))
+    before = F.concat(F.array(F.lit(0)), F.transform("cells", lambda c: c["at"]))
+    texts = F.zip_with(F.col("cells"), F.slice(before, 1, F.size("cells")), lambda c, last: F.concat(F.repeat(F.lit(","), c["at"] - last), c["cell"]))
+    written = F.concat(F.col("day"), F.array_join(texts, ""))
+    lines = lines.select("file", F.pmod(F.xxhash64("day"), F.col("parts")).cast("int").alias("part"), "day", written.alias("value"))
+    heads = places.select("file", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit("").alias("day"), F.concat(F.lit("TradingDay,"), F.array_join("codes", ",")).alias("value"))
+    text = lines.unionByName(heads).repartition("file", "part")
+    text.sortWithinPartitions("file", "part", "day").drop("part", "day").write.partitionBy("file").text(path)
 
 
 def folder_layers(factors: DataFrame, returns: dict[str, DataFrame], groups: int, threshold: dict[str, float]) -> DataFrame:

@@ -85,3 +85,23 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_a_line_is_split_once_and_not_for_each_cell(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("d,a,b\n2020-01-02,1,2\n")
+    above, generate, _ = wide.read_wide(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert generate and "split(" not in above and "regexp_extract(" not in above
+
+
+def test_large_files_are_written_in_parts(spark, tmp_path):
+    days = [date(2020, 1, d) for d in range(1, 21)]
+    df = spark.createDataFrame([(f, c, d, float(d.day)) for f in "xy" for c in "abc" for d in days if (c, d.day) != ("b", 3)], "file string, SecuCode string, TradingDay date, factor double")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # else tasks of little are put together
+    spark.conf.set(key, "false")
+    try:
+        wide.write_wide(df, str(tmp_path / "wide"), part_cells=10)
+    finally:
+        spark.conf.unset(key)
+    parts = list((tmp_path / "wide" / "file=x").glob("*.txt"))
+    assert len(parts) > 1 and all(p.read_text().startswith("TradingDay,a,b,c\n") for p in parts)
+    assert rows(wide.read_wide(spark, str(tmp_path / "wide"))) == rows(df)
