@@ -250,3 +250,23 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = bars.daily_bars(df)
     assert got.count() > 15 and got.exceptAll(want).count() == 0
+
+
+def test_daily_ic_carries_two_numbers_a_row(spark):
+    """As the columns of ic_rows give it, without their windows."""
+    from pyspark.sql import functions as F
+
+    values = [(f"s{i}", f"2020-01-0{d}", float((i * 7 + d) % 5), float((i * i + d) % 7) if d != 2 else 1.0) for i in range(12) for d in (1, 2, 3)] + [("s0", "2020-01-04", 1.0, 2.0), ("s1", "2020-01-05", None, 2.0)]
+    df = spark.createDataFrame(values, "SecuCode string, day string, f double, ret double").withColumn("TradingDay", F.to_date("day"))
+    rows = ic.ic_rows(df, "f")
+    daily = ic.daily_ic(rows)
+    assert "rank(" not in daily._jdf.queryExecution().executedPlan().toString()
+    x = F.col("zf") * F.col("zr")
+    want = rows.groupBy("TradingDay").agg(
+        F.avg(x).alias("ic"), F.try_divide(F.covar_pop("rf", "rr"), F.nullif(F.stddev_samp("rf") * F.stddev_samp("rr"), F.lit(0.0))).alias("rank_ic"),
+        F.sum(F.when(F.col("zf") >= 0, x)).alias("pos"), F.sum(F.when(F.col("zf") <= 0, x)).alias("neg"), F.count(x).alias("n"),
+    )
+    got, want = ({r["TradingDay"]: tuple(r)[1:] for r in t.collect()} for t in (daily, want))
+    assert got.keys() == want.keys() and len(got) == 4
+    for day, r in want.items():
+        assert [v if v is None else pytest.approx(v) for v in r] == list(got[day]), day
