@@ -121,3 +121,23 @@ def test_correlation_within_a_day(spark):
         assert got["a"] is None and got["b"] is None and got["c"] == pytest.approx(-1.0) and got["d"] == pytest.approx(0.5)
     finally:
         del OPERATORS["day_corr_3"]
+
+
+def test_correlations_are_computed_by_history(spark):
+    """As the window columns of correlation() give them, but without a window that is gone through for each row."""
+    import numpy as np
+
+    from factorweave.operators.registry import OPERATORS, correlation, register_operator
+
+    rng = np.random.default_rng(3)
+    values = [(f"s{s}", date(2020, 1, 1) + timedelta(days=d), None if (d + s) % 23 == 5 else float(rng.normal()), 1.0 if s == 1 and d < 15 else float(rng.normal())) for s in range(3) for d in range(45)]
+    df = spark.createDataFrame(values, "SecuCode string, TradingDay date, open double, close double").repartition(3)
+    register_operator("windows_10", "pair", correlation(10), keys=("SecuCode",))
+    got = evaluate(df, {"new": "ts_corr_10D(open,close)", "then": "ts_mean(ts_corr_10D(open,close),2)"})
+    assert "covar_pop" not in got._jdf.queryExecution().executedPlan().toString()
+    try:
+        both = got.join(evaluate(df, {"old": "windows_10(open,close)"}), ["SecuCode", "TradingDay"]).collect()
+    finally:
+        del OPERATORS["windows_10"]
+    assert len(both) == 135 and sum(r["new"] is not None for r in both) > 20
+    assert [(r["new"] is None) == (r["old"] is None) and (r["new"] is None or abs(r["new"] - r["old"]) < 1e-9) for r in both] == [True] * 135
