@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorweave.functions.stats import DAY, SECU, clip, desc_rank, finite, over_day, pct_rank, ratio, win_rate, zscore
+from factorweave.functions.stats import DAY, SECU, clip, finite, over_day, pct_rank, ratio, win_rate, zscore
 from factorweave.operators.ic import report_by_year
 
 #: Trading days of a year (fixed value).
@@ -37,16 +37,20 @@ def positions(df: DataFrame, factor_col: str, normalize: bool = True, rank: bool
 
     Rows without a factor have position 0; they stay, as a position that ends is turnover.
     """
-    f = finite(F.col(f"`{factor_col}`")) * (-1 if inverse else 1)
-    df = df.withColumn("f", f)
+    df = df.select(SECU, DAY, "ret", (finite(F.col(f"`{factor_col}`")) * (-1 if inverse else 1)).alias("f"))  # no more is carried through the sorts
+    order = F.col("f")
     if rank:
-        df = df.withColumn("f", pct_rank(F.col("f"), [DAY]) - 0.5)
+        df = df.withColumn("x", F.col("f")).withColumn("f", pct_rank(F.col("x"), [DAY]) - 0.5)
+        order = F.col("x")  # ranks ascend as the factor does, so the factor's sort is theirs
     elif normalize:
         df = df.withColumn("f", clip(zscore(F.col("f"), over_day()), -3.0, 3.0))
-    df = df.where("ret is not null").select(SECU, DAY, "ret", "f")
+    df = df.where("ret is not null")
     df = df.withColumns({"short": F.when(F.col("f") <= 0, -F.col("f")), "long": F.when(F.col("f") >= 0, F.col("f"))})
     if topn is not None:
-        df = df.withColumns({f"__{c}": desc_rank(F.col(c), [DAY]) for c in ("short", "long")})
+        # the largest of `short` come first in order, those of `long` last; rows alike count as the mean of their places
+        day = Window.partitionBy(DAY).orderBy(order)
+        until, alike = day.rangeBetween(Window.unboundedPreceding, Window.currentRow), day.rangeBetween(Window.currentRow, Window.currentRow)
+        df = df.withColumns({"__short": F.count("short").over(until) - (F.count("short").over(alike) - 1) / 2, "__long": F.count("long").over(over_day()) - F.count("long").over(until) + (F.count("long").over(alike) + 1) / 2})
         df = df.withColumns({c: F.when(F.col(f"__{c}") <= topn, F.col(c)) for c in ("short", "long")})
     df = df.withColumns({f"{c}_position": F.coalesce(ratio(F.col(c), F.sum(c).over(over_day())), F.lit(0.0)) for c in ("short", "long")})
     if cap is not None:

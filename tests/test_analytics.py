@@ -270,3 +270,11 @@ def test_daily_ic_carries_two_numbers_a_row(spark):
     assert got.keys() == want.keys() and len(got) == 4
     for day, r in want.items():
         assert [v if v is None else pytest.approx(v) for v in r] == list(got[day]), day
+
+
+def test_a_day_is_sorted_once_for_ranked_legs(spark, sf):
+    from factorweave.plans import analytics
+
+    plan = analytics.long_short_top_rank(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    ranked = plan[: plan.index("rank(")] + plan[plan.index("rank(") :].split("Exchange")[0]
+    assert ranked.count("Sort [TradingDay") == 1
