@@ -278,3 +278,11 @@ def test_a_day_is_sorted_once_for_ranked_legs(spark, sf):
     plan = analytics.long_short_top_rank(spark, sf)._jdf.queryExecution().executedPlan().toString()
     ranked = plan[: plan.index("rank(")] + plan[plan.index("rank(") :].split("Exchange")[0]
     assert ranked.count("Sort [TradingDay") == 1
+
+
+def test_boxes_are_made_of_stored_scores(spark, sf):
+    """Edges and rows are of one computation of the z-scores."""
+    from factorweave.plans import analytics
+
+    files = analytics.group_box(spark, sf).inputFiles()
+    assert files and all("group-box-" in f for f in files)
