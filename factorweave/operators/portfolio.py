@@ -127,7 +127,12 @@ def notable_factors(df: DataFrame, groups: int, threshold: dict[str, float]) ->
     x = df.select(*keys, SECU, DAY, finite(F.col("factor")).alias("f"), "ret").where("f is not null and ret is not null")
     day = Window.partitionBy(*keys, DAY)
     x = x.withColumns({"layer": F.ntile(groups).over(day.orderBy("f", SECU)), "over": F.col("ret") - F.avg("ret").over(day)})
-    daily = x.where(F.col("layer").isin(1, groups)).groupBy(*keys, DAY, "layer").agg(F.avg("over").alias("over"))
+    return notable_ends(x.where(F.col("layer").isin(1, groups)).groupBy(*keys, DAY, "layer").agg(F.avg("over").alias("over")), groups, threshold)
+
+
+def notable_ends(daily: DataFrame, groups: int, threshold: dict[str, float]) -> DataFrame:
+    """notable_factors from (file, universe, TradingDay, layer, over): the first and last layer's return of each day, over the market's."""
+    keys = ["file", "universe"]
     ends = daily.groupBy(*keys).agg(*[F.sum(F.when(F.col("layer") == k, F.col("over"))).alias(c) for k, c in ((1, "first"), (groups, "last"))])
     least = F.element_at(F.create_map(*[F.lit(v) for kv in threshold.items() for v in kv]), F.col("universe"))
     return ends.withColumn("notable", F.coalesce(F.greatest("first", "last") > least, F.lit(False)))

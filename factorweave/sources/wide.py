@@ -7,11 +7,18 @@ plan is the same for 5 or 5,000 securities, and each file may list its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorweave.functions.stats import DAY, SECU
-from factorweave.operators.portfolio import notable_factors
+from factorweave.functions.stats import DAY, SECU, finite
+from factorweave.operators.portfolio import notable_ends
+from factorweave.sources.shared import shuffles_dropped
 
 
 def _bare(cell: Column) -> Column:
@@ -20,12 +27,17 @@ def _bare(cell: Column) -> Column:
 
 
 def _cells(line: str) -> Column:
-    """The cells of a line, bare; separators inside quotes aren't read."""
-    return F.transform(F.split(F.regexp_replace(line, "\r$", ""), ",", -1), _bare)
+    """The cells of a line, as they are; separators inside quotes aren't read."""
+    return F.split(F.regexp_replace(line, "\r$", ""), ",", -1)
+
+
+def _number(cell: Column) -> Column:
+    """A cell's number; the cast itself leaves out white space and knows infinity and NaN."""
+    return F.when(cell.contains('"'), _bare(cell)).when(cell != "", cell).try_cast("double")
 
 
 def _first_cell(line: str) -> Column:
-    """The first of _cells(line), without a look at the others."""
+    """The first of _cells(line), bare, without a look at the others."""
     return _bare(F.regexp_replace(F.substring_index(line, ",", 1), "\r$", ""))
 
 
@@ -49,14 +61,13 @@ def read_wide(spark: SparkSession, path: str, value: str = "factor") -> DataFram
     name = F.col("file") if "file" in lines.columns else F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
     lines = lines.select(name.cast("string").alias("file"), F.col("_metadata.file_path").alias("from"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     header = lines.where("block = 0").groupBy("from").agg(F.min(F.struct("at", "value")).alias("head"))
-    codes = F.transform(_cells("head.value"), lambda c: F.split(c, r"\.")[0])
+    codes = F.transform(_cells("head.value"), lambda c: F.split(_bare(c), r"\.")[0])
     header = lines.select("from", "block").distinct().join(header, "from")  # for each block of a file its header, so a block is a task's part
     header = header.select("from", "block", F.col("head.value").alias("head"), codes.alias("codes"))
     lines = lines.join(header.hint("shuffle_hash"), ["from", "block"]).where("value <> head").select("file", _day(_first_cell("value")).alias(DAY), "codes", _cells("value").alias("cells")).where(f"{DAY} is not null")
     # a line's day and cells are columns before the cells become rows: whatever is left to do for each row must not look at the line
     rows = lines.select("file", DAY, F.explode(F.slice(F.arrays_zip(F.col("codes").alias("code"), F.col("cells").alias("cell")), 2, 1 << 30)).alias("c"))
-    number = F.when(F.lower("c.cell").isin("inf", "+inf"), float("inf")).when(F.lower("c.cell") == "-inf", -float("inf")).otherwise(F.col("c.cell").try_cast("double"))
-    return rows.select("file", F.col("c.code").alias(SECU), DAY, number.alias(value)).where(F.col(SECU).isNotNull() & F.col(value).isNotNull())
+    return rows.select("file", F.col("c.code").alias(SECU), DAY, _number(F.col("c.cell")).alias(value)).where(F.col(SECU).isNotNull() & F.col(value).isNotNull())
 
 
 def read_wide_returns(spark: SparkSession, path: str, value: str = "ret") -> DataFrame:
@@ -65,39 +76,96 @@ def read_wide_returns(spark: SparkSession, path: str, value: str = "ret") -> Dat
     return read_wide(spark, path, value).drop("file").where(~F.isnan(x)).withColumn(value, F.when(F.abs(x) == float("inf"), 0.0).otherwise(x))
 
 
-def write_wide(df: DataFrame, path: str, file_col: str = "file", value_col: str = "factor", part_cells: int = 4_000_000) -> None:
+def _part_lines(key, cells: pa.Table, head: pa.Table) -> pa.Table:
+    """(file, part, day, value): the header and the lines of a part of a file, from its cells and the file's codes."""
+    codes, schema = head["codes"].combine_chunks().flatten(), pa.schema([("file", pa.string()), ("part", pa.int32()), ("day", pa.string()), ("value", pa.string())])
+    if not cells.num_rows:
+        return schema.empty_table()
+    days, line = np.unique(cells[DAY].to_numpy(), return_inverse=True)
+    at, v, have = pc.index_in(cells["code"], value_set=codes).to_numpy(), cells["v"].to_numpy(), cells["v"].is_valid().to_numpy()
+    order = np.lexsort((v, have, line))  # of cells of one place the last one stands, which is the largest
+    stop, text = np.searchsorted(line[order], np.arange(len(days) + 1)), cells["v"].cast(pa.string()).combine_chunks()
+    lines = ["TradingDay," + ",".join(codes.to_pylist())]
+    for i, day in enumerate(days):
+        own = order[stop[i] : stop[i + 1]]
+        place = np.full(len(codes), -1)
+        place[at[own]] = own
+        row = text.take(pa.array(place, mask=place < 0)).fill_null("")
+        lines.append(f"{day}," + pc.binary_join(pa.ListArray.from_arrays([0, len(row)], row), ",")[0].as_py())
+    names = ["", *map(str, days)]
+    return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(lines)), pa.array([key[1].as_py()] * len(lines), pa.int32()), pa.array(names), pa.array(lines)], schema=schema)
+
+
+def write_wide(df: DataFrame, path: str, file_col: str = "file", value_col: str = "factor", part_cells: int = 4_000_000, compression: str | None = None) -> None:
     """Writes rows (file, SecuCode, TradingDay, value) as one wide CSV for each file, in folders `file=...`.
 
     A file of more than part_cells cells is dealt by day over parts of about so many, each with the
     header; a part is written by one task.  Of rows of one key the largest value stands; days
-    of a part ascend, and securities are in order of their codes.
+    of a part ascend, and securities are in order of their codes.  compression: a codec of Spark's
+    text files, such as gzip, whose files are read by one task each.
+
+    df is read twice, first for the securities of each file; its cells are dealt once, as numbers.
     """
-    rows = df.select(F.col(f"`{file_col}`").cast("string").alias("file"), F.col(SECU).cast("string").alias("code"), F.col(DAY).cast("string").alias("day"), F.col(f"`{value_col}`").cast("string").alias("cell"), F.col(f"`{value_col}`").alias("v"))
-    rows = rows.where("file is not null and code is not null and day is not null").groupBy("file", "day", "code").agg(F.max_by("cell", "v").alias("cell"))
-    codes = rows.groupBy("file", "code").agg(F.count("*").alias("n"))
-    places = codes.groupBy("file").agg(F.sort_array(F.collect_list("code")).alias("codes"), F.ceil(F.sum("n") / part_cells).cast("int").alias("parts"))  # the securities of a file
-    by_place = places.select("file", "parts", F.posexplode("codes").alias("pos", "code"))
-    lines = rows.join(by_place, ["file", "code"]).groupBy("file", "day").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct((F.col("pos") + 1).alias("at"), F.coalesce("cell", F.lit("")).alias("cell")))).alias("cells"))
-    before = F.concat(F.array(F.lit(0)), F.transform("cells", lambda c: c["at"]))
-    texts = F.zip_with(F.col("cells"), F.slice(before, 1, F.size("cells")), lambda c, last: F.concat(F.repeat(F.lit(","), c["at"] - last), c["cell"]))
-    written = F.concat(F.col("day"), F.array_join(texts, ""))
-    lines = lines.select("file", F.pmod(F.xxhash64("day"), F.col("parts")).cast("int").alias("part"), "day", written.alias("value"))
-    heads = places.select("file", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit("").alias("day"), F.concat(F.lit("TradingDay,"), F.array_join("codes", ",")).alias("value"))
-    text = lines.unionByName(heads).repartition("file", "part")
-    text.sortWithinPartitions("file", "part", "day").drop("part", "day").write.partitionBy("file").text(path)
-
-
-def folder_layers(factors: DataFrame, returns: dict[str, DataFrame], groups: int, threshold: dict[str, float]) -> DataFrame:
+    rows = df.select(F.col(f"`{file_col}`").cast("string").alias("file"), SECU, F.col(DAY).cast("date").alias(DAY), F.col(f"`{value_col}`").cast("double").alias("v")).where(f"file is not null and {SECU} is not null and {DAY} is not null")
+    codes = rows.groupBy("file", SECU).agg(F.count("*").alias("n"))
+    places = codes.groupBy("file").agg(F.array_sort(F.collect_set(F.col(SECU).cast("string"))).alias("codes"), F.ceil(F.sum("n") / part_cells).cast("int").alias("parts"))  # the securities of a file
+    heads = places.select(F.col("file").alias("file"), "codes", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = rows.join(F.broadcast(places.select("file", "parts")), "file").withColumn("part", F.pmod(F.xxhash64(DAY), F.col("parts")).cast("int")).drop("parts").repartition("file", "part")
+    cells = dealt.withColumn("code", F.col(SECU).cast("string")).select("file", "part", DAY, "code", "v")
+    text = cells.groupBy("file", "part").cogroup(heads.groupBy("file", "part")).applyInArrow(_part_lines, "file string, part int, day string, value string")
+    with shuffles_dropped(df.sparkSession):
+        text.sortWithinPartitions("file", "part", "day").drop("part", "day").write.partitionBy("file").text(path, compression=compression)
+
+
+def _day_layers(groups: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """A function of a day's factors and returns: the mean return, over the market's, of the first and last of each file's layers in each universe."""
+
+    def ends(key, factors, returns):
+        found: list[tuple] = []
+        codes = pa.chunked_array([*factors[SECU].chunks, *returns[SECU].chunks], pa.string()).combine_chunks().dictionary_encode()
+        rank = np.empty(len(codes.dictionary), np.int64)
+        rank[pc.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(rank))
+        ids = rank[codes.indices.to_numpy()]
+        lists = returns["universes"].combine_chunks()
+        files, universes, row = factors["file"].combine_chunks().dictionary_encode(), lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy()
+        secu, held = ids[: factors.num_rows], ids[factors.num_rows :]
+        file, universe = files.indices.to_numpy(), universes.indices.to_numpy()
+        order = np.lexsort((secu, factors["f"].to_numpy(), file))
+        secu, file, ret = secu[order], file[order], returns["ret"].to_numpy()
+        for u, name in enumerate(universes.dictionary.to_pylist()):
+            own = row[universe == u]
+            own = own[np.argsort(held[own], kind="stable")]
+            n = np.bincount(held[own], minlength=len(rank))
+            times = n[secu]  # an inner join: a factor's row for each return of its security
+            at = np.repeat((np.cumsum(n) - n)[secu] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            got, sizes = ret[own][at], np.bincount(np.repeat(file, times), minlength=len(files.dictionary))
+            for label, part in zip(files.dictionary.to_pylist(), np.split(got, np.cumsum(sizes)[:-1]), strict=True):
+                whole, more = divmod(len(part), groups)
+                layers = {groups: part[len(part) - whole :], 1: part[: whole + (more > 0)]}
+                found += [(label, name, key[0].as_py(), k, float((x - part.mean()).mean())) for k, x in layers.items() if len(x)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 5, _DAY_LAYERS.types, strict=True)], schema=_DAY_LAYERS)
+
+    return ends
+
+
+_DAY_LAYERS = pa.schema([("file", pa.string()), ("universe", pa.string()), (DAY, pa.date32()), ("layer", pa.int32()), ("over", pa.float64())])
+
+
+def folder_layers(factors: DataFrame, returns: DataFrame | dict[str, DataFrame], groups: int, threshold: dict[str, float]) -> DataFrame:
     """(file, universe, first, last, notable): layers of every factor file in every universe, in one plan.
 
-    returns: for each universe (SecuCode, TradingDay, ret), whose days and securities are those
-    looked at; threshold: what the first or last layer's running return has to exceed there.
+    returns: (SecuCode, TradingDay, ret, universes), with the names of the universes a row is in, or for
+    each universe (SecuCode, TradingDay, ret), whose days and securities are those looked at;
+    threshold: what the first or last layer's running return has to exceed there.
+
+    Factors and returns of a day meet in a task, the only place where they are put side by side.
     """
-    parts = [r.select(F.lit(u).alias("universe"), F.col(SECU).cast("string").alias(SECU), DAY, "ret") for u, r in returns.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return notable_factors(factors.join(every, [SECU, DAY]), groups, threshold)
+    if isinstance(returns, dict):
+        returns = reduce(DataFrame.unionByName, [r.select(SECU, DAY, "ret", F.array(F.lit(u)).alias("universes")) for u, r in returns.items()])
+    every = returns.select(F.col(SECU).cast("string").alias(SECU), DAY, F.col("ret").cast("double").alias("ret"), "universes").where(f"{SECU} is not null and {DAY} is not null and ret is not null")
+    values = factors.select("file", F.col(SECU).cast("string").alias(SECU), DAY, finite(F.col("factor")).alias("f")).where(f"file is not null and {SECU} is not null and {DAY} is not null and f is not null")
+    daily = values.groupBy(DAY).cogroup(every.groupBy(DAY)).applyInArrow(_day_layers(groups), f"file string, universe string, {DAY} date, layer int, over double")
+    return notable_ends(daily, groups, threshold)
 
 
 def notable_files(layers: DataFrame) -> DataFrame:

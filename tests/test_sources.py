@@ -54,3 +54,10 @@ def test_members(spark):
     df = spark.createDataFrame([("a", DAYS[0], True), ("b", DAYS[1], None), ("c", DAYS[2], False), ("d", DAYS[3], True)], "SecuCode string, TradingDay date, m boolean")
     assert [r[0] for r in source.members(df, "m").collect()] == ["a", "d"]
     assert [r[0] for r in source.members(df, None, "2020-01-02", "2020-01-03").collect()] == ["b", "c"]
+
+
+def test_lines_are_dealt_once_for_a_panel(spark, sf):
+    from factorweave.sources.panel import read_panel
+
+    plan = read_panel(spark, sf).drop("excess_return")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(SecuCode") == 1 and "partial_sum" in plan

@@ -1,4 +1,5 @@
 import math
+import time
 from datetime import date
 
 import pytest
@@ -105,3 +106,88 @@ def test_large_files_are_written_in_parts(spark, tmp_path):
     parts = list((tmp_path / "wide" / "file=x").glob("*.txt"))
     assert len(parts) > 1 and all(p.read_text().startswith("TradingDay,a,b,c\n") for p in parts)
     assert rows(wide.read_wide(spark, str(tmp_path / "wide"))) == rows(df)
+
+
+def dealt(spark, job):
+    """How many rows a job writes to shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def rows_by_stage():
+        stages = store.stageList(None, False, False, none, None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = rows_by_stage()
+    job()
+    return sum(n for k, n in rows_by_stage().items() if k not in before)
+
+
+def long_rows(spark, files="xyz", codes=20, days=50):
+    return spark.range(codes * days).selectExpr(f"explode(split('{','.join(files)}', ',')) file", f"cast(id % {codes} as int) SecuCode", f"date_add(date'2020-01-01', cast(id div {codes} as int)) TradingDay", "cast(xxhash64(id) as double) factor")
+
+
+def test_cells_are_dealt_once_to_be_written(spark, tmp_path):
+    df = long_rows(spark)
+    assert dealt(spark, lambda: wide.write_wide(df, str(tmp_path / "wide"))) < 1.2 * df.count()
+    assert rows(wide.read_wide(spark, str(tmp_path / "wide"))) == rows(df.withColumn("SecuCode", F.col("SecuCode").cast("string")))
+
+
+def test_factors_and_returns_are_dealt_once_to_be_layered(spark):
+    factors = long_rows(spark)
+    ret = long_rows(spark, "r").select("SecuCode", "TradingDay", F.col("factor").alias("ret"))
+    layers = wide.folder_layers(factors, {"all": ret, "few": ret.where("SecuCode < 12")}, 5, {"all": 0.0, "few": 0.0})
+    key = "spark.sql.autoBroadcastJoinThreshold"  # else rows as few as these would be broadcast
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        assert dealt(spark, layers.collect) < 1.2 * (factors.count() + 1.6 * ret.count())
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_layers_equal_those_of_joined_rows(spark):
+    """Of repeated rows, ties, days of few securities, keys of one side and missing values, with universes as dicts and as lists."""
+    factors = long_rows(spark).withColumn("factor", F.when(F.col("SecuCode") == 3, float("nan")).otherwise(F.pmod(F.col("factor"), F.lit(7.0)))).where("TradingDay < '2020-02-10' or SecuCode < 2")
+    ret = long_rows(spark, "r", 23).select("SecuCode", "TradingDay", F.when(F.col("SecuCode") != 5, F.col("factor") / 1e19).alias("ret"))
+    again = ret.where("SecuCode = 7").unionByName(ret)
+    few = ret.where("SecuCode in (0, 4, 7, 11)")
+    least = {"all": 0.1, "few": 0.2}
+    factors = factors.unionByName(factors.where("SecuCode = 8"))
+    joined = again.withColumn("universe", F.lit("all")).unionByName(few.withColumn("universe", F.lit("few"))).withColumn("SecuCode", F.col("SecuCode").cast("string"))
+    want = portfolio.notable_factors(factors.withColumn("SecuCode", F.col("SecuCode").cast("string")).join(joined, ["SecuCode", "TradingDay"]), 5, least)
+    got = wide.folder_layers(factors, {"all": again, "few": few}, 5, least)
+    listed = again.withColumn("universes", F.array(F.lit("all"))).unionByName(few.withColumn("universes", F.array(F.lit("few"))))
+    for df in (got, wide.folder_layers(factors, listed, 5, least)):
+        for a, b in zip(rows(df), rows(want), strict=True):
+            assert (a[0], a[1], a[4]) == (b[0], b[1], b[4]) and a[2:4] == pytest.approx(b[2:4])
+
+
+def test_odd_cells_are_written_and_read_back(spark, tmp_path):
+    day = lambda d: date(2020, 1, d)
+    long = [("x", "b", day(1), None), ("x", "b", day(2), 2.0), ("x", "b", day(2), math.inf), ("x", "b", day(2), None), ("x", "a", day(2), -1e300), ("x", "a", day(3), math.nan), ("x", "a", day(3), 1.0), ("x", "zz", day(4), 5e-324), ("one", "q", day(1), 0.0)]
+    df = spark.createDataFrame(long, "file string, SecuCode string, TradingDay date, factor double")
+    wide.write_wide(df, str(tmp_path / "wide"), compression="gzip")
+    assert list((tmp_path / "wide" / "file=x").glob("*.txt.gz"))
+    got = rows(wide.read_wide(spark, str(tmp_path / "wide")))
+    assert math.isnan(got.pop(2)[3]) and got == [("one", "q", day(1), 0.0), ("x", "a", day(2), -1e300), ("x", "b", day(2), math.inf), ("x", "zz", day(4), 5e-324)]
+
+
+def test_quoted_and_spaced_numbers(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('d,a,b,c,e,f\n2020-01-02,"1.5", 2 ,"", -Infinity,+inf\n')
+    assert [r[3] for r in rows(wide.read_wide(spark, str(tmp_path)))] == [1.5, 2.0, -math.inf, math.inf]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {str(f) for f in map(every.apply, range(every.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    before = files()
+    with Store(spark) as store:
+        store.saved(spark.range(1000).repartition("id"), "kept")
+        wide.write_wide(long_rows(spark), store.folder("wide"))
+        until = time.time() + 10  # they are dropped in the background
+        while files() - before and time.time() < until:
+            time.sleep(0.1)
+        assert files() <= before
