@@ -83,17 +83,16 @@ def _part_lines(key, cells: pa.Table, head: pa.Table) -> pa.Table:
         return schema.empty_table()
     days, line = np.unique(cells[DAY].to_numpy(), return_inverse=True)
     at, v, have = pc.index_in(cells["code"], value_set=codes).to_numpy(), cells["v"].to_numpy(), cells["v"].is_valid().to_numpy()
-    order = np.lexsort((v, have, line))  # of cells of one place the last one stands, which is the largest
-    stop, text = np.searchsorted(line[order], np.arange(len(days) + 1)), cells["v"].cast(pa.string()).combine_chunks()
-    lines = ["TradingDay," + ",".join(codes.to_pylist())]
-    for i, day in enumerate(days):
-        own = order[stop[i] : stop[i + 1]]
+    order, stop = np.argsort(line, kind="stable"), np.cumsum(np.bincount(line))
+    lines = [pa.array(["TradingDay," + ",".join(codes.to_pylist())])]
+    for day, own in zip(days, np.split(order, stop[:-1]), strict=True):
+        own = own[np.lexsort((v[own], have[own]))]  # of cells of one place the last one stands, which is the largest
         place = np.full(len(codes), -1)
         place[at[own]] = own
-        row = text.take(pa.array(place, mask=place < 0)).fill_null("")
-        lines.append(f"{day}," + pc.binary_join(pa.ListArray.from_arrays([0, len(row)], row), ",")[0].as_py())
-    names = ["", *map(str, days)]
-    return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(lines)), pa.array([key[1].as_py()] * len(lines), pa.int32()), pa.array(names), pa.array(lines)], schema=schema)
+        row = pa.array(v[place], mask=(place < 0) | ~have[place]).cast(pa.string()).fill_null("")
+        lines.append(pc.binary_join_element_wise(str(day), pc.binary_join(pa.ListArray.from_arrays([0, len(row)], row), ","), ","))  # a chunk a line: nothing is copied once more
+    n = len(lines)
+    return pa.Table.from_arrays([pa.repeat(key[0], n), pa.repeat(key[1], n), pa.array(["", *map(str, days)]), pa.chunked_array(lines)], schema=schema)
 
 
 def write_wide(df: DataFrame, path: str, file_col: str = "file", value_col: str = "factor", part_cells: int = 4_000_000, compression: str | None = None) -> None:
